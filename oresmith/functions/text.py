@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Regular expressions of the clone normaliser, in the order they apply.
 CLONE_PATTERNS = (
     (r""""[^"\n]*"|'[^'\n]*'""", "STR"),
-    (r"(?U)\b\d+\b", "NUM"),
+    (r"(?U)(?=\d)\b\d+\b", "NUM"),
     (r"(?U)\s+", " "),
 )
 

@@ -26,17 +26,18 @@ from oresmith.session import shared_folder
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, size, tokens): sorted distinct hashes of all runs of ``width`` words.
+    """(id, size, tokens): distinct hashes of all runs of ``width`` words.
 
     A shorter text is one run. The words are a column of their own, because an expression
     inside the lambda would split the text again for every run.
     """
     words = texts.select("id", F.split("text", " ").alias("words"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))
-    runs = F.transform(
-        starts, lambda i: F.xxhash64(F.array_join(F.slice(F.col("words"), i, F.lit(width)), " "))
-    )
-    sets = words.select("id", F.array_sort(F.array_distinct(runs)).alias("tokens"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))
+
+    def run(start: Column) -> Column:
+        return F.xxhash64(*[F.get(F.col("words"), start + n) for n in range(width)])
+
+    sets = words.select("id", F.array_distinct(F.transform(starts, run)).alias("tokens"))
     return sets.select("id", F.size("tokens").alias("size"), "tokens")
 
 
@@ -91,7 +92,7 @@ def near_duplicates(
     texts = df.select(
         F.col(id_column).alias("id"), normalize_for_clones(F.lower(text_column)).alias("text")
     )
-    marked = texts.select("id", F.sha2("text", 256).alias("mark"))
+    marked = _stored(texts.select("id", F.sha2("text", 256).alias("mark")), folder, "marks")
     originals = marked.groupBy("mark").agg(F.min("id").alias("first_id"))
     copies = marked.join(originals, "mark").where(F.col("id") > F.col("first_id")).select("id")
 
