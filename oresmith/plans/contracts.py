@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oresmith.functions.aggregates import count_if
-from oresmith.functions.text import trim_to_null
 
 LINEAGE = ("ingestion_timestamp", "source_table")
 
@@ -22,16 +21,17 @@ class Field:
     type: str
     clean: str = ""
 
-    def typed(self) -> Column:
-        """The source column in the contract's type; a value that does not fit becomes NULL."""
+    def typed(self) -> str:
+        """SQL for the source column in the contract's type; a value that does not fit is NULL."""
         if self.type != "string":
-            return F.col(self.name).try_cast(self.type).alias(self.name)
-        text = F.col(self.name).cast("string")
-        if self.clean == "blank":
-            text = trim_to_null(text)
+            value = f"try_cast({self.name} AS {self.type})"
+        elif self.clean == "blank":
+            value = f"nullif(trim(CAST({self.name} AS string)), '')"
         elif self.clean == "trim":
-            text = F.trim(text)
-        return text.alias(self.name)
+            value = f"trim(CAST({self.name} AS string))"
+        else:
+            value = f"CAST({self.name} AS string)"
+        return f"{value} AS {self.name}"
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,9 @@ class Contract:
     def columns(self) -> list[str]:
         return [f.name for f in self.fields]
 
-    def project(self, source: DataFrame, *carry: str | Column) -> DataFrame:
+    def project(self, source: DataFrame, *carry: str) -> DataFrame:
         """Exactly the contract's columns, typed and cleaned, plus the ``carry`` columns."""
-        return source.select(*[f.typed() for f in self.fields], *carry)
+        return source.selectExpr(*[f.typed() for f in self.fields], *carry)
 
     def cast_failures(self, source: DataFrame) -> DataFrame:
         """One row: per non-text column, the rows whose value is present but does not fit."""

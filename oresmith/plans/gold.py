@@ -17,7 +17,7 @@ def _renamed(pairs: str) -> list[Column]:
     columns = []
     for pair in pairs.split():
         new, _, old = pair.partition("=")
-        columns.append(F.col(old or new).alias(new))
+        columns.append(F.expr(f"{old} AS {new}") if old else F.col(new))
     return columns
 
 

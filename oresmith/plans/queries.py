@@ -6,9 +6,9 @@ that other engines' results can be compared value by value.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import date
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,9 @@ from oresmith.operators.near_duplicates import near_duplicates
 from oresmith.operators.references import keep_optional, keep_required, orphans, reference_flags
 from oresmith.functions.text import normalize_for_clones, trim_to_null
 from oresmith.plans import gold, silver
-from oresmith.plans.bronze import bronze_ingest
+from oresmith.plans.bronze import SOURCES, bronze_ingest
 from oresmith.plans.contracts import LINEAGE, SALES
+from oresmith.plans.layers import GOLD_TABLES
 from oresmith.quality.enforce import expectation_report
 from oresmith.quality.issues import issues
 from oresmith.quality.metrics import (
@@ -77,6 +78,26 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+class Tables(dict):
+    """Tables by name, each built when it is first asked for."""
+
+    def __init__(self, names: Iterable[str], build: Callable[[str], DataFrame]):
+        super().__init__()
+        self._names, self._build = tuple(names), build
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        self[name] = self._build(name)
+        return self[name]
+
+    def all(self) -> dict[str, DataFrame]:
+        return {name: self[name] for name in self._names}
+
+
+DIMENSIONS = ("silver_date_dim", "silver_item", "silver_store", "silver_customer")
+
+
 class Star:
     """Bronze, silver and gold frames over one folder, built on first use.
 
@@ -85,56 +106,73 @@ class Star:
 
     def __init__(self, spark: SparkSession, folder: str, enforced: bool = True):
         self.spark, self.folder, self.enforced = spark, folder, enforced
+        self._bronze = Tables(SOURCES, lambda name: retail_bronze(spark, folder, name))
+        self._silver = Tables((*DIMENSIONS, "silver_store_sales"), self._build_silver)
+        self._gold = Tables(GOLD_TABLES, self._build_gold)
 
-    @cached_property
+    def bronze_table(self, name: str) -> DataFrame:
+        return self._bronze[name]
+
+    def silver_table(self, name: str) -> DataFrame:
+        return self._silver[name]
+
+    def gold_table(self, name: str) -> DataFrame:
+        return self._gold[name]
+
+    @property
     def bronze(self) -> dict[str, DataFrame]:
-        return retail_bronze(self.spark, self.folder)
+        return self._bronze.all()
 
-    @cached_property
+    @property
+    def silver(self) -> dict[str, DataFrame]:
+        return self._silver.all()
+
+    @property
+    def gold(self) -> dict[str, DataFrame]:
+        return self._gold.all()
+
+    @property
     def dims(self) -> dict[str, DataFrame]:
-        """Loads of one key differ in time, so the load time alone decides."""
-        return {
-            name: build(self.bronze[name.replace("silver_", "bronze_", 1)], tie_break=(), enforced=self.enforced)
-            for name, build in silver.BUILDERS.items()
-        }
+        return {name: self._silver[name] for name in DIMENSIONS}
 
-    @cached_property
-    def references(self) -> list:
-        names = ("silver_date_dim", "silver_item", "silver_store", "silver_customer")
-        return silver.sales_references(*[self.dims[n] for n in names])
+    @property
+    def sales(self) -> DataFrame:
+        return self._silver["silver_store_sales"]
+
+    def _build_silver(self, name: str) -> DataFrame:
+        if name == "silver_store_sales":
+            bronze = self._bronze["bronze_store_sales"]
+            return silver.silver_sales(bronze, self.references, SALES_TIES, enforced=self.enforced)
+        bronze = self._bronze[name.replace("silver_", "bronze_", 1)]
+        # Loads of one key differ in time, so the load time alone decides.
+        return silver.BUILDERS[name](bronze, tie_break=(), enforced=self.enforced)
+
+    def _build_gold(self, name: str) -> DataFrame:
+        if name == "gold_top_items_month":
+            return gold.top_items_month(
+                self._gold["gold_fact_store_sales"], self._gold["gold_dim_date"], self._gold["gold_dim_item"]
+            )
+        source, build = {
+            "gold_dim_date": ("silver_date_dim", gold.gold_date),
+            "gold_dim_item": ("silver_item", gold.gold_item),
+            "gold_dim_store": ("silver_store", gold.gold_store),
+            "gold_dim_customer": ("silver_customer", partial(gold.gold_customer, as_of=AS_OF)),
+            "gold_fact_store_sales": ("silver_store_sales", gold.gold_sales),
+        }[name]
+        return build(self._silver[source])
 
     @cached_property
-    def sales(self) -> DataFrame:
-        return silver.silver_sales(
-            self.bronze["bronze_store_sales"], self.references, SALES_TIES, enforced=self.enforced
-        )
+    def references(self) -> list:
+        return silver.sales_references(*[self._silver[n] for n in DIMENSIONS])
 
     @cached_property
     def annotated(self) -> DataFrame:
-        return silver.annotated_sales(self.bronze["bronze_store_sales"], self.references, SALES_TIES)
+        return silver.annotated_sales(self._bronze["bronze_store_sales"], self.references, SALES_TIES)
 
     @property
     def typed_sales(self) -> DataFrame:
         """The raw fact in silver types, duplicates included."""
-        return SALES.project(self.bronze["bronze_store_sales"])
-
-    @cached_property
-    def silver(self) -> dict[str, DataFrame]:
-        return {**self.dims, "silver_store_sales": self.sales}
-
-    @cached_property
-    def gold(self) -> dict[str, DataFrame]:
-        tables = {
-            "gold_dim_date": gold.gold_date(self.dims["silver_date_dim"]),
-            "gold_dim_item": gold.gold_item(self.dims["silver_item"]),
-            "gold_dim_store": gold.gold_store(self.dims["silver_store"]),
-            "gold_dim_customer": gold.gold_customer(self.dims["silver_customer"], AS_OF),
-            "gold_fact_store_sales": gold.gold_sales(self.sales),
-        }
-        tables["gold_top_items_month"] = gold.top_items_month(
-            tables["gold_fact_store_sales"], tables["gold_dim_date"], tables["gold_dim_item"]
-        )
-        return tables
+        return SALES.project(self._bronze["bronze_store_sales"])
 
 
 # --- ingest, casts, keys -------------------------------------------------------------------
@@ -162,7 +200,7 @@ def cast_contract(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def cast_failures(spark: SparkSession, folder: str) -> DataFrame:
     """Failed casts per money column when the fact's totals are scaled up by ten."""
-    raw = Star(spark, folder).bronze["bronze_store_sales"]
+    raw = Star(spark, folder).bronze_table("bronze_store_sales")
     return SALES.cast_failures(raw.withColumn("ss_net_paid", F.col("ss_net_paid") * 10)).select(
         "ss_net_paid", "ss_ext_list_price", "ss_quantity"
     )
@@ -207,29 +245,29 @@ def replicate_offset(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def silver_date(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).dims["silver_date_dim"]
+    return Star(spark, folder).silver_table("silver_date_dim")
 
 
 @_query
 def silver_item(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).dims["silver_item"]
+    return Star(spark, folder).silver_table("silver_item")
 
 
 @_query
 def silver_item_validate_first(spark: SparkSession, folder: str) -> DataFrame:
     """An older good version stands in where the latest one is bad."""
-    bronze = Star(spark, folder).bronze["bronze_item"]
+    bronze = Star(spark, folder).bronze_table("bronze_item")
     return silver.silver_item(bronze, tie_break=(), validate_first=True)
 
 
 @_query
 def silver_store(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).dims["silver_store"]
+    return Star(spark, folder).silver_table("silver_store")
 
 
 @_query
 def silver_customer(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).dims["silver_customer"]
+    return Star(spark, folder).silver_table("silver_customer")
 
 
 @_query
@@ -278,27 +316,27 @@ def fk_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def gold_date(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).gold["gold_dim_date"]
+    return Star(spark, folder).gold_table("gold_dim_date")
 
 
 @_query
 def gold_item(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).gold["gold_dim_item"]
+    return Star(spark, folder).gold_table("gold_dim_item")
 
 
 @_query
 def gold_store(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).gold["gold_dim_store"]
+    return Star(spark, folder).gold_table("gold_dim_store")
 
 
 @_query
 def gold_customer(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).gold["gold_dim_customer"]
+    return Star(spark, folder).gold_table("gold_dim_customer")
 
 
 @_query
 def gold_sales(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).gold["gold_fact_store_sales"]
+    return Star(spark, folder).gold_table("gold_fact_store_sales")
 
 
 @_query
@@ -309,7 +347,7 @@ def gold_sales_null_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def top_items_month(spark: SparkSession, folder: str) -> DataFrame:
-    return Star(spark, folder).gold["gold_top_items_month"]
+    return Star(spark, folder).gold_table("gold_top_items_month")
 
 
 # --- quality -------------------------------------------------------------------------------
@@ -333,7 +371,7 @@ def dup_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def null_pct(spark: SparkSession, folder: str) -> DataFrame:
-    sales = Star(spark, folder).bronze["bronze_store_sales"]
+    sales = Star(spark, folder).bronze_table("bronze_store_sales")
     columns = ("ss_item_sk", "ss_store_sk", "ss_customer_sk", "ss_promo_sk", "ss_quantity")
     return sales.agg(
         row_count().alias("row_count"),
@@ -405,7 +443,7 @@ def write_verify(spark: SparkSession, folder: str) -> DataFrame:
     """Store two gold tables and count what was stored."""
     star, space = Star(spark, folder), _space(spark, "verify")
     for name in ("gold_dim_item", "gold_dim_customer"):
-        space.write(star.gold[name], name, f"{name} of one run")
+        space.write(star.gold_table(name), name, f"{name} of one run")
     return kpi.row_counts({name: space.read(name) for name in space.tables()})
 
 
@@ -533,9 +571,9 @@ def rule_impact(spark: SparkSession, folder: str) -> DataFrame:
     star = Star(spark, folder)
     tables = {
         **star.bronze,
-        "silver_date_dim": star.dims["silver_date_dim"],
-        "silver_customer": star.dims["silver_customer"],
-        "gold_dim_customer": star.gold["gold_dim_customer"],
+        "silver_date_dim": star.silver_table("silver_date_dim"),
+        "silver_customer": star.silver_table("silver_customer"),
+        "gold_dim_customer": star.gold_table("gold_dim_customer"),
     }
     return kpi.rule_impact(catalog_frame(spark), kpi.row_counts(tables))
 

@@ -14,9 +14,7 @@ from oresmith.rules.model import Expectation, holds, violates
 
 def enforce(df: DataFrame, rules: Iterable[Expectation]) -> DataFrame:
     """Keep the rows on which every predicate is true; NULL is not true."""
-    for rule in rules:
-        df = df.where(F.expr(rule.predicate))
-    return df
+    return df.where(" AND ".join(f"({rule.predicate})" for rule in rules))
 
 
 def enforce_table(df: DataFrame, object_name: str) -> DataFrame:

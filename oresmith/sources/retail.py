@@ -38,7 +38,7 @@ def _day_key(day: str) -> str:
 
 
 def sales_sql(lineitem: str, orders: str, part: str) -> str:
-    retail = "CAST(p_retailprice AS DECIMAL(7,2))"
+    retail = "p_retail"
     return f"""
     SELECT l_orderkey AS ss_ticket_number,
            CASE WHEN l_orderkey % 89 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS ss_item_sk,
@@ -50,7 +50,7 @@ def sales_sql(lineitem: str, orders: str, part: str) -> str:
            o_custkey % 100 AS ss_hdemo_sk,
            o_custkey AS ss_addr_sk,
            CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_partkey % 300 END AS ss_promo_sk,
-           quantity AS ss_quantity,
+           CAST(quantity AS INT) AS ss_quantity,
            cost AS ss_wholesale_cost,
            list_price AS ss_list_price,
            sales_price AS ss_sales_price,
@@ -58,10 +58,10 @@ def sales_sql(lineitem: str, orders: str, part: str) -> str:
            CAST(sales_price * quantity AS DECIMAL(12,2)) AS ss_ext_sales_price,
            CAST(cost * quantity AS DECIMAL(12,2)) AS ss_ext_wholesale_cost,
            CAST(list_price * quantity AS DECIMAL(12,2)) AS ss_ext_list_price,
-           CAST(sales_price * quantity * tax_rate AS DECIMAL(12,2)) AS ss_ext_tax,
+           CAST(CAST(sales_price * quantity AS DECIMAL(9,2)) * tax_rate AS DECIMAL(12,2)) AS ss_ext_tax,
            CAST(CASE WHEN l_orderkey % 11 = 0 THEN 5 ELSE 0 END AS DECIMAL(12,2)) AS ss_coupon_amt,
            CAST(sales_price * quantity AS DECIMAL(12,2)) AS ss_net_paid,
-           CAST(sales_price * quantity * (1 + tax_rate) AS DECIMAL(12,2)) AS ss_net_paid_inc_tax,
+           CAST(CAST(sales_price * quantity AS DECIMAL(9,2)) * (1 + tax_rate) AS DECIMAL(12,2)) AS ss_net_paid_inc_tax,
            CAST((sales_price - cost) * quantity AS DECIMAL(12,2)) AS ss_net_profit,
            l_linenumber * CAST(1000000000 AS BIGINT) + l_suppkey AS ss_row_seq,
            l_shipdate AS loaded_at
@@ -69,8 +69,8 @@ def sales_sql(lineitem: str, orders: str, part: str) -> str:
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, o_custkey,
                {_day_key('o_orderdate')} AS sold,
                CASE WHEN (l_orderkey + l_partkey) % 101 = 0 THEN NULL
-                    WHEN (l_orderkey + l_partkey) % 103 = 0 THEN 0
-                    ELSE CAST(l_quantity AS INT) END AS quantity,
+                    WHEN (l_orderkey + l_partkey) % 103 = 0 THEN CAST(0 AS DECIMAL(3,0))
+                    ELSE CAST(CAST(l_quantity AS INT) AS DECIMAL(3,0)) END AS quantity,
                CAST(l_tax AS DECIMAL(4,2)) AS tax_rate,
                CASE WHEN l_partkey % 53 = 0 THEN CAST(0 AS DECIMAL(7,2)) ELSE {retail} END AS list_price,
                CAST({retail} * CASE WHEN l_orderkey % 107 = 0 THEN CAST(1.6 AS DECIMAL(6,2))
@@ -79,7 +79,9 @@ def sales_sql(lineitem: str, orders: str, part: str) -> str:
                                END AS DECIMAL(7,2)) AS sales_price,
                CASE WHEN l_orderkey % 113 = 0 THEN CAST(-1 AS DECIMAL(7,2))
                     ELSE CAST({retail} * CAST(0.7 AS DECIMAL(2,1)) AS DECIMAL(7,2)) END AS cost
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+             JOIN (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(7,2)) AS p_retail FROM {part}) retail
+             ON l_partkey = p_partkey
     ) priced
     """
 
@@ -226,32 +228,49 @@ def customer_sql(customer: str, dialect: Dialect = SPARK) -> str:
     """
 
 
-def _read(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+# Columns of the order tables the sources are derived from.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+}
+
+
+def order_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the order tables; its schema is declared, so no file is opened to find it."""
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+
+_STATEMENTS = {
+    "store_sales": (sales_sql, "lineitem orders part"),
+    "date_dim": (date_sql, "orders"),
+    "item": (item_sql, "part"),
+    "store": (store_sql, "supplier nation region"),
+    "customer": (customer_sql, "customer"),
+}
+
+
+def retail_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A source table with a ``loaded_at`` column."""
+    statement, inputs = _STATEMENTS[name]
+    tables = {t: order_table(spark, folder, t) for t in inputs.split()}
+    return spark.sql(statement(*["{" + t + "}" for t in tables]), **tables)
 
 
 def retail_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The five source tables by name, each with a ``loaded_at`` column."""
-    t = _read(
-        spark, folder, "lineitem", "orders", "part", "supplier", "nation", "region", "customer"
-    )
-    return {
-        "store_sales": spark.sql(sales_sql("{lineitem}", "{orders}", "{part}"), **_only(t, "lineitem orders part")),
-        "date_dim": spark.sql(date_sql("{orders}"), **_only(t, "orders")),
-        "item": spark.sql(item_sql("{part}"), **_only(t, "part")),
-        "store": spark.sql(store_sql("{supplier}", "{nation}", "{region}"), **_only(t, "supplier nation region")),
-        "customer": spark.sql(customer_sql("{customer}"), **_only(t, "customer")),
-    }
-
-
-def _only(tables: dict[str, DataFrame], names: str) -> dict[str, DataFrame]:
-    return {n: tables[n] for n in names.split()}
-
-
-def retail_bronze(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Bronze tables over the sources; ``loaded_at`` becomes the ingestion time."""
-    sources = retail_sources(spark, folder)
-    return {
-        bronze: bronze_ingest(sources[name], name, F.col("loaded_at")).drop("loaded_at")
-        for bronze, name in SOURCES.items()
-    }
+    """The five source tables by name."""
+    return {name: retail_source(spark, folder, name) for name in _STATEMENTS}
+
+
+def retail_bronze(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A bronze table over its source; ``loaded_at`` becomes the ingestion time."""
+    source = SOURCES[name]
+    rows = retail_source(spark, folder, source)
+    return bronze_ingest(rows, source, F.col("loaded_at")).drop("loaded_at")
