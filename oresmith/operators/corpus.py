@@ -81,10 +81,12 @@ def identifier_counts(df: DataFrame, document: str, text: str, patterns: Sequenc
 
 
 def normalized_blocks(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """One row per non-blank line, normalised so that literals do not matter."""
+    """One row per non-blank line: the fingerprint of its text, normalised so that literals do
+    not matter. Sixteen bytes travel through the shuffles instead of the line."""
     block = normalize_for_clones("line")
     lines = df.select(*keep, F.explode(F.split(F.col(text), LINE_END, -1)).alias("line"))
-    return lines.select(*keep, block.alias("block")).where(F.col("block") != "")
+    blocks = lines.select(*keep, block.alias("text")).where(F.col("text") != "")
+    return blocks.select(*keep, F.unhex(F.md5("text")).alias("block"))
 
 
 def clone_report(df: DataFrame, text: str, by: str) -> DataFrame:

@@ -30,6 +30,13 @@ GOLD_TABLES = (
     "gold_fact_store_sales",
     "gold_top_items_month",
 )
+COMMENTS = {
+    **{name: f"Raw rows of {source} with lineage" for name, source in SOURCES.items()},
+    **{name: "Typed, cleaned, deduplicated and validated rows" for name in SILVER_TABLES},
+    **{name: "Business names and derived measures" for name in GOLD_TABLES},
+    "dq_store_sales_quarantine": "Fact rows kept out of silver, one row per broken rule",
+    "dq_rule_catalog": "Rules of all layers",
+}
 ANNOTATED = "staging_store_sales_annotated"
 
 
@@ -114,6 +121,7 @@ def run_all(
     tie_break: Mapping[str, Sequence[str]] | None = None,
     as_of: date | None = None,
     variant: str = DECLARATIVE,
+    partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, int]:
     """All layers of one run; returns the stored row count per table."""
     null_ratio = "zero" if variant == DECLARATIVE else "null"
@@ -123,4 +131,4 @@ def run_all(
         **gold_builders(as_of, null_ratio),
         **quality_builders(variant),
     }
-    return run_layer(space, builders)
+    return run_layer(space, builders, COMMENTS, partition_by)

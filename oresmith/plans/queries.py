@@ -66,7 +66,7 @@ def _plain(df: DataFrame) -> DataFrame:
 
 def _query(function: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _plain(function(apply_scale_settings(spark), folder))
+        return _plain(function(apply_scale_settings(spark, folder), folder))
 
     run.__name__ = function.__name__
     run.__doc__ = function.__doc__
@@ -469,7 +469,7 @@ def csv_summary(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderstatus") == "F",
         "o_custkey",
     )
-    write_csv(shares.select("o_orderpriority", "num_members", "num_subset_members"), target)
+    write_csv(shares.select("o_orderpriority", "num_members", "num_subset_members"), target, single_file=True)
     schema = "o_orderpriority string, num_members bigint, num_subset_members bigint"
     return spark.read.schema(schema).option("header", True).csv(target)
 

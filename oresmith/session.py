@@ -34,13 +34,39 @@ def local_session(app: str = "oresmith", cores: str = "8", **conf: str) -> Spark
     return spark
 
 
-def apply_scale_settings(spark: SparkSession) -> SparkSession:
-    """Switch on the adaptive settings in a session someone else created."""
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of the files below a folder, asked of its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.getContentSummary(path).getLength()
+
+
+def shuffle_partitions(input_bytes: int, at_least: int, expansion: int = 4, target: int = 128 << 20) -> int:
+    """Partitions that keep a shuffle of the whole input near ``target`` bytes each.
+
+    Columnar files grow by about ``expansion`` when their rows are shuffled.
+    """
+    return max(at_least, -(-input_bytes * expansion // target))
+
+
+def apply_scale_settings(spark: SparkSession, folder: str | None = None) -> SparkSession:
+    """Switch on the adaptive settings in a session someone else created.
+
+    With a ``folder``, shuffles start with enough partitions for the files in it; adaptive
+    execution merges those that turn out small.
+    """
     for key, value in SCALE_SETTINGS.items():
         spark.conf.set(key, value)
+    if folder is not None:
+        configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = shuffle_partitions(stored_bytes(spark, folder), configured)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 
+_fallback_folders: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
@@ -49,6 +75,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="oresmith-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _fallback_folders:
+            _fallback_folders.append(tempfile.mkdtemp(prefix="oresmith-"))
+        root = _fallback_folders[0]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

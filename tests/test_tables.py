@@ -1,6 +1,6 @@
 import pytest
 
-from oresmith.session import shared_folder
+from oresmith.session import apply_scale_settings, shared_folder, shuffle_partitions, stored_bytes
 from oresmith.sources.tables import TableSpace, run_layer, write_csv
 
 
@@ -52,9 +52,28 @@ def test_layer_run_reads_what_was_stored(space, spark):
     assert counts == {"a": 4, "b": 2}
 
 
-def test_csv(spark):
+def test_view_is_not_stored(space, spark):
+    assert space.view(spark.range(4), "a_view").count() == 4
+    assert space.tables() == []
+
+
+def test_shuffle_sizing():
+    assert shuffle_partitions(0, 200) == 200
+    assert shuffle_partitions(100 << 40, 200) == 3276800
+    assert shuffle_partitions(128 << 20, 1) == 4
+
+
+def test_scale_settings_follow_the_input(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    assert stored_bytes(spark, str(tmp_path)) > 1000
+    apply_scale_settings(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "8"
+
+
+@pytest.mark.parametrize("single_file", [True, False])
+def test_csv(spark, single_file):
     folder = shared_folder(spark, "csv")
-    write_csv(spark.range(3).selectExpr("id", "'a,b' AS s"), folder)
+    write_csv(spark.range(3).selectExpr("id", "'a,b' AS s"), folder, single_file)
     back = spark.read.option("header", True).schema("id bigint, s string").csv(folder)
     assert sorted(tuple(r) for r in back.collect()) == [(0, "a,b"), (1, "a,b"), (2, "a,b")]
 
