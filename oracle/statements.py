@@ -6,10 +6,11 @@ from the package; everything else is spelled out here on its own.
 
 from __future__ import annotations
 
+import re
+
 from oresmith.plans.contracts import CUSTOMER, DATE, ITEM, SALES, STORE, Contract
 from oresmith.rules.catalog import (
     BRONZE_KEYS,
-    EXTRA_EXPECTATIONS,
     GOLD_ISSUES,
     OWNERS,
     QUARANTINE_RULES,
@@ -277,8 +278,6 @@ def _needs(sql: str, seen: list[str]) -> None:
 
 
 def _mentions(sql: str, name: str) -> bool:
-    import re
-
     return re.search(rf"(?<![A-Za-z0-9_.']){name}(?![A-Za-z0-9_'])", sql) is not None
 
 
@@ -488,15 +487,14 @@ IDS = r"""(SELECT doc_id, source, unnest(list_concat(list_concat(regexp_extract_
     regexp_extract_all(text, '"([0-9a-f]{40})"', 1)), regexp_extract_all(text, '([A-Z]{4,})', 1))) AS identifier
     FROM documents) ids"""
 
-DOC_LINES = rf"""(SELECT doc_id, source, len(list_filter({LINE_SPLIT}, lambda l: {CODE_LINE})) AS code_lines,
-    len(list_filter({LINE_SPLIT}, lambda l: {CODE_LINE} AND {LINE_HIT})) AS pattern_lines FROM documents) lines"""
+DOC_LINES = rf"""(SELECT doc_id, source, CAST(len(list_filter({LINE_SPLIT}, lambda l: {CODE_LINE})) AS INT) AS code_lines,
+    CAST(len(list_filter({LINE_SPLIT}, lambda l: {CODE_LINE} AND {LINE_HIT})) AS INT) AS pattern_lines FROM documents) lines"""
 
 
 def statements() -> dict[str, str]:
     sql = {
-        "bronze_ingest_rows": "SELECT *, 'lineitem' AS source_table, FROM lineitem".replace(
-            "*,", "* EXCLUDE (l_shipdate), CAST(l_shipdate AS VARCHAR) AS l_shipdate,"
-        ).replace(", FROM", " FROM"),
+        "bronze_ingest_rows": """SELECT * EXCLUDE (l_shipdate), CAST(l_shipdate AS VARCHAR) AS l_shipdate,
+            'lineitem' AS source_table FROM lineitem""",
         "cast_contract": """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS quantity,
             CAST(TRY_CAST(l_extendedprice AS DECIMAL(7,2)) AS DOUBLE) AS extended_price,
             (l_extendedprice IS NOT NULL AND TRY_CAST(l_extendedprice AS DECIMAL(7,2)) IS NULL) AS cast_failed,
@@ -650,6 +648,12 @@ def statements() -> dict[str, str]:
             ON t.object_name = n.object_name GROUP BY change_scenario""",
         "corpus_scan": """SELECT 'documents.parquet' AS file_name, 'documents' AS job, 'unknown' AS layer,
             false AS is_data_quality, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents""",
+        "path_and_unit_labels": """SELECT event_id,
+            CASE event_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'bronze' WHEN 2 THEN 'silver' ELSE 'gold' END AS layer,
+            '0' || CAST(event_id % 4 AS VARCHAR) || '_' || event_type AS job,
+            event_id % 3 = 0 AS is_data_quality,
+            CASE WHEN event_type LIKE 'dec%' OR event_id % 5 = 0 THEN 'declarative' ELSE 'imperative' END AS variant,
+            value / 60 AS minutes FROM events""",
         "pattern_lines": f"SELECT doc_id, source, code_lines, pattern_lines FROM {DOC_LINES}",
         "extract_ids": f"""SELECT identifier, count(*) AS occurrences, count(DISTINCT doc_id) AS documents
             FROM {IDS} GROUP BY identifier""",
@@ -687,6 +691,3 @@ def statements() -> dict[str, str]:
                   FROM {DOC_LINES} GROUP BY source) a ON a.source = s.source""",
     }
     return {name: query(statement) for name, statement in sql.items()}
-
-
-__all__ = ["EXTRA_EXPECTATIONS", "statements"]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from oresmith.plans import gold, silver
 from oresmith.plans.bronze import SOURCES, bronze_ingest
+from oresmith.quality.enforce import expectation_report
 from oresmith.quality.issues import issues
 from oresmith.quality.metrics import (
     bronze_metrics,
@@ -104,6 +105,7 @@ def quality_builders(variant: str = DECLARATIVE) -> dict[str, Builder]:
         "dq_bronze_observability": lambda s: bronze_observability(
             s.read("dq_bronze_metrics").drop("validation_mode"), s.read("dq_rule_catalog")
         ),
+        "dq_silver_monitors": lambda s: expectation_report(stored(s, SILVER_TABLES), "monitor"),
         "dq_silver_issues": lambda s: issues(stored(s, SILVER_TABLES), SILVER_ISSUES, variant),
         "dq_silver_rule_status": lambda s: rule_status(stored(s, SILVER_TABLES), variant=variant),
         "dq_gold_issues": lambda s: issues(stored(s, GOLD_TABLES), GOLD_ISSUES, variant),

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oresmith.functions.aggregates import count_if, pct_null, row_count
+from oresmith.functions.measures import seconds_to_minutes
+from oresmith.functions.text import normalize_for_clones, trim_to_null, variant_label
 from oresmith.operators import corpus, kpi
 from oresmith.operators.keys import duplicate_row_count, latest_by_key
 from oresmith.operators.near_duplicates import near_duplicates
 from oresmith.operators.references import keep_optional, keep_required, orphans, reference_flags
-from oresmith.functions.text import normalize_for_clones, trim_to_null
 from oresmith.plans import gold, silver
 from oresmith.plans.bronze import SOURCES, bronze_ingest
-from oresmith.plans.contracts import LINEAGE, SALES
+from oresmith.plans.contracts import SALES
 from oresmith.plans.layers import GOLD_TABLES
 from oresmith.quality.enforce import expectation_report
 from oresmith.quality.issues import issues
@@ -595,6 +596,26 @@ def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def path_and_unit_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels read from a job path and a variant name made of each event, and its value in minutes."""
+    events = _table(spark, folder, "events")
+    number = F.col("event_id")
+    directory = F.when(number % 3 == 0, "/jobs/data_quality/").otherwise("/jobs/")
+    path = F.concat(directory, F.lit("0"), (number % 4).cast("string"), F.lit("_"), F.col("event_type"), F.lit(".py"))
+    named = events.withColumn("path", path).withColumn(
+        "written_as", F.when(number % 5 == 0, "Declared").otherwise(F.col("event_type"))
+    )
+    return corpus.with_path_labels(named).select(
+        "event_id",
+        "layer",
+        "job",
+        "is_data_quality",
+        variant_label("written_as").alias("variant"),
+        seconds_to_minutes(F.col("value")).alias("minutes"),
+    )
+
+
 @_query
 def pattern_lines(spark: SparkSession, folder: str) -> DataFrame:
     counted = corpus.pattern_lines(_documents(spark, folder), "text", LINE_PATTERNS)
@@ -636,5 +657,3 @@ def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
     return kpi.summary("source", share, reused, complexity)
 
-
-__all__ = ["LINEAGE", "QUERIES", "Star"]

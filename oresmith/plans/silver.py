@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from oresmith.functions.text import year_month, yes_flag
 from oresmith.operators.keys import latest_by_key, latest_of_complete_keys
 from oresmith.operators.references import Reference, keep_resolved, reference_flags
-from oresmith.plans.contracts import CONTRACTS, CUSTOMER, DATE, ITEM, LINEAGE, SALES, STORE, Contract
+from oresmith.plans.contracts import CUSTOMER, DATE, ITEM, LINEAGE, SALES, STORE, Contract
 from oresmith.quality.enforce import enforce_table
 from oresmith.quality.issues import issue_frame
 from oresmith.rules.catalog import QUARANTINE_RULES
@@ -179,5 +179,3 @@ BUILDERS = {
     STORE.name: silver_store,
     CUSTOMER.name: silver_customer,
 }
-
-__all__ = ["BUILDERS", "CONTRACTS", "annotated_sales", "kept_sales", "sales_quarantine", "silver_sales"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oresmith.functions.aggregates import count_if, row_count
 from oresmith.rules.catalog import expectations
-from oresmith.rules.model import Expectation, holds, violates
+from oresmith.rules.model import Expectation, violates
 
 
 def enforce(df: DataFrame, rules: Iterable[Expectation]) -> DataFrame:
@@ -59,6 +59,3 @@ def monitored(df: DataFrame, object_name: str) -> tuple[DataFrame, Observation]:
     observation = Observation(f"{object_name}_monitors")
     counts = [count_if(violates(r.predicate)).alias(r.name) for r in expectations(object_name, "monitor")]
     return df.observe(observation, row_count().alias("row_count"), *counts), observation
-
-
-__all__ = ["enforce", "enforce_table", "expectation_report", "holds", "monitored"]

@@ -1,3 +1,5 @@
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oresmith.operators.keys import (
@@ -51,3 +53,21 @@ def test_duplicates(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (1, 1), (2, None), (2, None), (3, 1)], "a int, b int")
     assert duplicate_row_count(df, ["a", "b"]).first()[0] == 3
     assert duplicate_row_count(df.where("a > 9"), ["a", "b"]).first()[0] == 0
+
+
+small = st.one_of(st.none(), st.integers(0, 3))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(small, small, st.integers(0, 5)), min_size=1, max_size=30))
+def test_latest_matches_plain_python(spark, rows):
+    df = spark.createDataFrame(rows, "k int, ingestion_timestamp int, n int")
+    best = {}
+    for k, at, n in rows:
+        rank = (-1 if at is None else at, n)
+        if k not in best or rank > best[k]:
+            best[k] = rank
+    got = {r.k: (-1 if r.ingestion_timestamp is None else r.ingestion_timestamp, r.n) for r in latest_by_key(df, ["k"]).collect()}
+    assert got == best
+    repeats = len(rows) - len(best)
+    assert duplicate_row_count(df, ["k"]).first()[0] == repeats

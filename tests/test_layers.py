@@ -161,6 +161,14 @@ def test_quarantine_rules_cover_the_enforced_rules():
     }
 
 
+def test_imperative_variant(raw_star):
+    rows = issues(raw_star.silver, SILVER_ISSUES, "imperative")
+    assert {r.rule_id[:3] for r in rows.select("rule_id").distinct().collect()} == {"IP_"}
+    assert rows.where("paradigm <> 'imperative'").isEmpty()
+    metrics = gold_metrics(raw_star.gold, "imperative").first()
+    assert (metrics.object_type, metrics.validation_mode) == ("DELTA_TABLE", "post_load_validation")
+
+
 def test_a_whole_run(spark, star):
     space = TableSpace(spark, "whole_run").create(shared_folder(spark, "whole_run"))
     counts = run_all(
@@ -172,5 +180,6 @@ def test_a_whole_run(spark, star):
     assert counts["dq_bronze_observability"] == 17
     assert counts["dq_gold_observability"] == 7
     assert counts["dq_rule_catalog"] == 37
+    assert counts["dq_silver_monitors"] == 6
     assert same_rows(space.read("gold_top_items_month"), star.gold["gold_top_items_month"])
     assert space.read("dq_silver_rule_status").where("rule_status = 'FAIL'").isEmpty()
