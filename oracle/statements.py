@@ -491,9 +491,18 @@ DOC_LINES = rf"""(SELECT doc_id, source, CAST(len(list_filter({LINE_SPLIT}, lamb
     CAST(len(list_filter({LINE_SPLIT}, lambda l: {CODE_LINE} AND {LINE_HIT})) AS INT) AS pattern_lines FROM documents) lines"""
 
 
+CLONES = f"""SELECT source, CAST(sum(n) AS BIGINT) AS total_blocks,
+    count(*) FILTER (WHERE everywhere > 1) AS duplicated_blocks,
+    CAST(sum(n * (n - 1) // 2) AS BIGINT) AS equal_pairs
+    FROM (SELECT source, block, count(*) AS n, sum(count(*)) OVER (PARTITION BY block) AS everywhere
+          FROM (SELECT source, {_normalized('line')} AS block
+                FROM (SELECT source, unnest({LINE_SPLIT}) AS line FROM documents) l) b
+          WHERE block <> '' GROUP BY source, block) counted GROUP BY source"""
+
+
 def statements() -> dict[str, str]:
     sql = {
-        "bronze_ingest_rows": """SELECT * EXCLUDE (l_shipdate), CAST(l_shipdate AS VARCHAR) AS l_shipdate,
+        "bronze_ingest": """SELECT * EXCLUDE (l_shipdate), CAST(l_shipdate AS VARCHAR) AS l_shipdate,
             'lineitem' AS source_table FROM lineitem""",
         "cast_contract": """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS quantity,
             CAST(TRY_CAST(l_extendedprice AS DECIMAL(7,2)) AS DOUBLE) AS extended_price,
@@ -505,12 +514,12 @@ def statements() -> dict[str, str]:
             AND TRY_CAST(ss_ext_list_price AS DECIMAL(7,2)) IS NULL) AS ss_ext_list_price,
             count(*) FILTER (WHERE ss_quantity IS NOT NULL AND TRY_CAST(ss_quantity AS INT) IS NULL) AS ss_quantity
             FROM raw_sales""",
-        "trim_to_null_rows": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE trim(c_name) END AS clean_name,
+        "trim_to_null": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE trim(c_name) END AS clean_name,
             CASE WHEN c_custkey % 7 = 0 THEN '' ELSE trim(c_name) END AS trimmed_name FROM customer""",
-        "latest_by_key_rows": """SELECT * EXCLUDE (l_shipdate), CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM lineitem
+        "latest_by_key": """SELECT * EXCLUDE (l_shipdate), CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM lineitem
             QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY lineitem.l_shipdate DESC,
                 l_linenumber DESC, l_suppkey DESC) = 1""",
-        "replicate_rows": """SELECT l_orderkey, l_linenumber, l_partkey, 1 AS scale_factor_copy FROM lineitem
+        "replicate": """SELECT l_orderkey, l_linenumber, l_partkey, 1 AS scale_factor_copy FROM lineitem
             UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 2 FROM lineitem""",
         "replicate_offset": """SELECT o_orderkey + (c - 1) * 10000000000 AS o_orderkey, o_custkey,
             CAST(c AS INT) AS scale_factor_copy FROM orders, (SELECT unnest([1, 2, 3]) AS c) copies""",
@@ -553,8 +562,8 @@ def statements() -> dict[str, str]:
             for c in ("ss_item_sk", "ss_store_sk", "ss_customer_sk", "ss_promo_sk", "ss_quantity")
         )
         + " FROM raw_sales",
-        "bronze_table_metrics": _bronze_metrics(),
-        "bronze_rule_observability": f"""SELECT m.*, c.* EXCLUDE (object_name) FROM ({_bronze_metrics()}) m
+        "bronze_metrics": _bronze_metrics(),
+        "bronze_observability": f"""SELECT m.*, c.* EXCLUDE (object_name) FROM ({_bronze_metrics()}) m
             JOIN ({_catalog_values()}) c ON m.object_name = c.object_name WHERE c.layer = 'bronze'""",
         "rule_catalog": "SELECT c.*, n.row_count FROM ("
         + _catalog_values()
@@ -583,9 +592,9 @@ def statements() -> dict[str, str]:
                 for s in QUARANTINE_RULES
             ]
         ),
-        "silver_rule_status": _rule_status("u_"),
-        "gold_table_metrics": _gold_metrics("gu_"),
-        "gold_rule_observability": f"""SELECT m.*, c.* EXCLUDE (object_name, layer) FROM ({_gold_metrics('gu_')}) m
+        "rule_status": _rule_status("u_"),
+        "gold_metrics": _gold_metrics("gu_"),
+        "gold_observability": f"""SELECT m.*, c.* EXCLUDE (object_name, layer) FROM ({_gold_metrics('gu_')}) m
             JOIN ({_catalog_values()}) c ON m.object_name = c.object_name WHERE c.layer = 'gold'""",
         "write_verify": _row_counts({"gold_dim_item": "s_item", "gold_dim_customer": "s_customer"}),
         "schema_reset": """SELECT 'keep_orders' AS object_name, count(*) AS row_count FROM orders
@@ -658,14 +667,8 @@ def statements() -> dict[str, str]:
         "extract_ids": f"""SELECT identifier, count(*) AS occurrences, count(DISTINCT doc_id) AS documents
             FROM {IDS} GROUP BY identifier""",
         "normalize_text": f"SELECT doc_id, {_normalized('text')} AS normalized FROM documents",
-        "clone_blocks": f"""SELECT source, CAST(sum(n) AS BIGINT) AS total_blocks,
-            count(*) FILTER (WHERE everywhere > 1) AS duplicated_blocks,
-            CAST(sum(n * (n - 1) // 2) AS BIGINT) AS equal_pairs
-            FROM (SELECT source, block, count(*) AS n, sum(count(*)) OVER (PARTITION BY block) AS everywhere
-                  FROM (SELECT source, {_normalized('line')} AS block
-                        FROM (SELECT source, unnest({LINE_SPLIT}) AS line FROM documents) l) b
-                  WHERE block <> '' GROUP BY source, block) counted GROUP BY source""",
-        "near_duplicate_docs": f"""SELECT DISTINCT doc_id FROM (
+        "clone_blocks": CLONES,
+        "near_duplicates": f"""SELECT DISTINCT doc_id FROM (
             WITH words AS (SELECT doc_id, regexp_split_to_array({_normalized('lower(text)')}, ' ') AS w FROM documents),
             runs AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS run
                      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words) s),
@@ -674,7 +677,8 @@ def statements() -> dict[str, str]:
                       JOIN runs b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
             SELECT p.doc_id FROM pairs p JOIN sizes x ON x.doc_id = p.earlier JOIN sizes y ON y.doc_id = p.doc_id
             WHERE 10 * common >= 8 * (x.n + y.n - common)) found""",
-        "kpi_summary": f"""SELECT s.*, r.* EXCLUDE (source), a.avg_pattern_lines FROM (
+        "kpi_summary": f"""SELECT s.*, r.* EXCLUDE (source), a.avg_pattern_lines, c.duplicated_blocks,
+            CAST(c.duplicated_blocks AS DOUBLE) / r.unique_items AS duplicate_block_ratio FROM (
                 SELECT source, CAST(sum(code_lines) AS BIGINT) AS total_value,
                        CAST(coalesce(sum(code_lines) FILTER (WHERE pattern_lines > 0), 0) AS BIGINT) AS subset_value,
                        count(*) AS num_members, count(*) FILTER (WHERE pattern_lines > 0) AS num_subset_members,
@@ -688,6 +692,7 @@ def statements() -> dict[str, str]:
                              AS duplicate_instance_ratio
                   FROM {IDS} GROUP BY source) r ON r.source = s.source
             JOIN (SELECT source, avg(pattern_lines) FILTER (WHERE pattern_lines > 0) AS avg_pattern_lines
-                  FROM {DOC_LINES} GROUP BY source) a ON a.source = s.source""",
+                  FROM {DOC_LINES} GROUP BY source) a ON a.source = s.source
+            JOIN ({CLONES}) c ON c.source = s.source""",
     }
     return {name: query(statement) for name, statement in sql.items()}

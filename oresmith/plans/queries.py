@@ -65,16 +65,22 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def _query(function: Query) -> Query:
+def _query(function: Query, name: str | None = None) -> Query:
+    """Register a query under its function's name, or another where a builder has that name."""
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return _plain(function(apply_scale_settings(spark, folder), folder))
 
-    run.__name__ = function.__name__
+    run.__name__ = name or function.__name__
     run.__doc__ = function.__doc__
-    QUERIES[function.__name__] = run
+    QUERIES[run.__name__] = run
     return run
 
 
+def _query_as(name: str) -> Callable[[Query], Query]:
+    return lambda function: _query(function, name)
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -179,7 +185,7 @@ class Star:
 # --- ingest, casts, keys -------------------------------------------------------------------
 
 
-@_query
+@_query_as("bronze_ingest")
 def bronze_ingest_rows(spark: SparkSession, folder: str) -> DataFrame:
     return bronze_ingest(_table(spark, folder, "lineitem"), "lineitem").drop("ingestion_timestamp")
 
@@ -207,7 +213,7 @@ def cast_failures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_query
+@_query_as("trim_to_null")
 def trim_to_null_rows(spark: SparkSession, folder: str) -> DataFrame:
     padded = F.when(F.col("c_custkey") % 7 == 0, F.lit("   ")).otherwise(
         F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))
@@ -217,7 +223,7 @@ def trim_to_null_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_query
+@_query_as("latest_by_key")
 def latest_by_key_rows(spark: SparkSession, folder: str) -> DataFrame:
     return latest_by_key(
         _table(spark, folder, "lineitem"),
@@ -227,7 +233,7 @@ def latest_by_key_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_query
+@_query_as("replicate")
 def replicate_rows(spark: SparkSession, folder: str) -> DataFrame:
     return kpi.replicate(_table(spark, folder, "lineitem"), 2).select(
         "l_orderkey", "l_linenumber", "l_partkey", "scale_factor_copy"
@@ -381,12 +387,12 @@ def null_pct(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_query
+@_query_as("bronze_metrics")
 def bronze_table_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return bronze_metrics(Star(spark, folder).bronze).drop("observed_at")
 
 
-@_query
+@_query_as("bronze_observability")
 def bronze_rule_observability(spark: SparkSession, folder: str) -> DataFrame:
     metrics = bronze_metrics(Star(spark, folder).bronze).drop("observed_at")
     return bronze_observability(metrics, catalog_frame(spark))
@@ -415,17 +421,17 @@ def sales_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return silver.sales_quarantine(Star(spark, folder).annotated).drop("observed_at")
 
 
-@_query
+@_query_as("rule_status")
 def silver_rule_status(spark: SparkSession, folder: str) -> DataFrame:
     return rule_status(Star(spark, folder, enforced=False).silver).drop("observed_at")
 
 
-@_query
+@_query_as("gold_metrics")
 def gold_table_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return gold_metrics(Star(spark, folder, enforced=False).gold).drop("observed_at")
 
 
-@_query
+@_query_as("gold_observability")
 def gold_rule_observability(spark: SparkSession, folder: str) -> DataFrame:
     metrics = gold_metrics(Star(spark, folder, enforced=False).gold).drop("observed_at")
     return gold_observability(metrics, catalog_frame(spark))
@@ -637,14 +643,14 @@ def clone_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.clone_report(_documents(spark, folder), "text", "source")
 
 
-@_query
+@_query_as("near_duplicates")
 def near_duplicate_docs(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder), "doc_id", "text", 0.8)
 
 
 @_query
 def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares, reuse and the mean number of pattern lines per source, side by side."""
+    """Shares, reuse, repeated blocks and the mean number of pattern lines per source."""
     docs = _documents(spark, folder)
     lines = corpus.pattern_lines(docs, "text", LINE_PATTERNS).select(
         "source", "doc_id", "code_lines", "pattern_lines"
@@ -655,5 +661,8 @@ def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
     complexity = kpi.mean_where(
         lines, ["source"], "pattern_lines", F.col("pattern_lines") > 0, "avg_pattern_lines"
     )
-    return kpi.summary("source", share, reused, complexity)
+    clones = corpus.clone_report(docs, "text", "source").select("source", "duplicated_blocks")
+    ratio = F.col("duplicated_blocks") / F.nullif(F.col("unique_items"), F.lit(0))
+    combined = kpi.summary("source", share, reused, clones, complexity)
+    return combined.withColumn("duplicate_block_ratio", ratio)
 
