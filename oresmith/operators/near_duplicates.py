@@ -8,9 +8,10 @@ result as long as the copies and not as long as their pairs. Equal texts are cou
 The rest uses prefix filtering, which is exact: ordered by rarity, two sets of Jaccard ``t`` or
 more share a shingle among the first ``n - ceil(t * n) + 1`` of each. Every text is first
 compared with the earliest text under each of its prefix shingles, which settles the members of
-a large family of near copies with one comparison each; only texts that stay unsettled are
-compared with all earlier texts that share a prefix shingle. Shingles are compared by 64-bit
-hash.
+a large family of near copies with a few comparisons each; only texts that stay unsettled are
+compared with all earlier texts that share a prefix shingle. That last step is costly only where
+many texts share their rarest shingles and still are not similar. Shingles are compared by
+64-bit hash.
 """
 
 from __future__ import annotations
