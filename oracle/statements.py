@@ -677,22 +677,26 @@ def statements() -> dict[str, str]:
                       JOIN runs b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
             SELECT p.doc_id FROM pairs p JOIN sizes x ON x.doc_id = p.earlier JOIN sizes y ON y.doc_id = p.doc_id
             WHERE 10 * common >= 8 * (x.n + y.n - common)) found""",
-        "kpi_summary": f"""SELECT s.*, r.* EXCLUDE (source), a.avg_pattern_lines, c.duplicated_blocks,
-            CAST(c.duplicated_blocks AS DOUBLE) / r.unique_items AS duplicate_block_ratio FROM (
+        "kpi_summary": f"""SELECT s.*, coalesce(r.unique_items, 0) AS unique_items,
+            coalesce(r.total_uses, 0) AS total_uses, coalesce(r.duplicate_instances, 0) AS duplicate_instances,
+            coalesce(r.reuse_ratio, 0) AS reuse_ratio,
+            coalesce(r.duplicate_instance_ratio, 0) AS duplicate_instance_ratio,
+            a.avg_pattern_lines, coalesce(c.duplicated_blocks, 0) AS duplicated_blocks,
+            coalesce(CAST(c.duplicated_blocks AS DOUBLE) / r.unique_items, 0) AS duplicate_block_ratio FROM (
                 SELECT source, CAST(sum(code_lines) AS BIGINT) AS total_value,
                        CAST(coalesce(sum(code_lines) FILTER (WHERE pattern_lines > 0), 0) AS BIGINT) AS subset_value,
                        count(*) AS num_members, count(*) FILTER (WHERE pattern_lines > 0) AS num_subset_members,
                        coalesce({_pct('sum(code_lines) FILTER (WHERE pattern_lines > 0)', 'sum(code_lines)')}, 0.0)
                            AS subset_percentage
                 FROM {DOC_LINES} GROUP BY source) s
-            JOIN (SELECT source, count(DISTINCT identifier) AS unique_items, count(*) AS total_uses,
+            LEFT JOIN (SELECT source, count(DISTINCT identifier) AS unique_items, count(*) AS total_uses,
                          count(*) - count(DISTINCT identifier) AS duplicate_instances,
                          CAST(count(*) AS DOUBLE) / count(DISTINCT identifier) AS reuse_ratio,
                          CAST(count(*) - count(DISTINCT identifier) AS DOUBLE) / count(DISTINCT identifier)
                              AS duplicate_instance_ratio
                   FROM {IDS} GROUP BY source) r ON r.source = s.source
-            JOIN (SELECT source, avg(pattern_lines) FILTER (WHERE pattern_lines > 0) AS avg_pattern_lines
+            LEFT JOIN (SELECT source, avg(pattern_lines) FILTER (WHERE pattern_lines > 0) AS avg_pattern_lines
                   FROM {DOC_LINES} GROUP BY source) a ON a.source = s.source
-            JOIN ({CLONES}) c ON c.source = s.source""",
+            LEFT JOIN ({CLONES}) c ON c.source = s.source""",
     }
     return {name: query(statement) for name, statement in sql.items()}

@@ -190,6 +190,10 @@ def rule_impact(catalog: DataFrame, counts: DataFrame, scenarios: Sequence[Scena
     return totals.withColumn("complexity_score", F.col("objects_touched") * F.col("touch_points"))
 
 
-def summary(on: str, *frames: DataFrame) -> DataFrame:
-    """One row per group with the columns of every indicator table."""
-    return reduce(lambda a, b: a.join(b, on, "inner"), frames)
+def summary(on: str, base: DataFrame, *others: DataFrame, zero: Sequence[str] = ()) -> DataFrame:
+    """One row per group of ``base`` with the columns of every indicator table.
+
+    Groups another table does not know keep their row; the ``zero`` columns are 0 for them.
+    """
+    combined = reduce(lambda a, b: a.join(b, on, "left"), others, base)
+    return combined.fillna(0, list(zero)) if zero else combined

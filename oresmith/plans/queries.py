@@ -662,7 +662,8 @@ def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
         lines, ["source"], "pattern_lines", F.col("pattern_lines") > 0, "avg_pattern_lines"
     )
     clones = corpus.clone_report(docs, "text", "source").select("source", "duplicated_blocks")
-    ratio = F.col("duplicated_blocks") / F.nullif(F.col("unique_items"), F.lit(0))
-    combined = kpi.summary("source", share, reused, clones, complexity)
+    counts = [c for c in (*reused.columns, *clones.columns) if c != "source"]
+    combined = kpi.summary("source", share, reused, clones, complexity, zero=counts)
+    ratio = F.coalesce(F.col("duplicated_blocks") / F.nullif(F.col("unique_items"), F.lit(0)), F.lit(0.0))
     return combined.withColumn("duplicate_block_ratio", ratio)
 

@@ -78,3 +78,5 @@ def test_mean_and_summary(spark):
     df = spark.createDataFrame([("g", 2), ("g", 4), ("g", 0)], "g string, v int")
     mean = kpi.mean_where(df, ["g"], "v", F.col("v") > 0, "mean_v")
     assert rows(kpi.summary("g", df.groupBy("g").count(), mean)) == [("g", 3, 3.0)]
+    lacking = kpi.summary("g", df.groupBy("g").count(), mean.where("false"), zero=["mean_v"])
+    assert rows(lacking) == [("g", 3, 0.0)]
