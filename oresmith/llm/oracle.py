@@ -33,7 +33,38 @@ FROM ruled
 """
 
 
+LINES_SQL = """
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+numbered AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_number FROM docs),
+taking_part AS (SELECT *, length(line) AS n FROM numbered WHERE length(trim(line, ' ')) >= 10),
+firsts AS (
+  SELECT line, n, min((doc_id, line_number)) AS first FROM taking_part GROUP BY line, n),
+halves AS (
+  SELECT line, n, first, unnest([
+    ('a', n, left(line, n // 2)), ('b', n, right(line, n - n // 2)),
+    ('a', n - 1, left(line, (n - 1) // 2)), ('b', n - 1, right(line, n - 1 - (n - 1) // 2))]) AS half
+  FROM firsts),
+near AS (
+  SELECT DISTINCT x.line FROM halves x JOIN halves y ON x.half = y.half
+  WHERE y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 1),
+marked AS (
+  SELECT t.doc_id, t.line_number
+  FROM taking_part t JOIN firsts f ON t.line = f.line LEFT JOIN near n ON n.line = t.line
+  WHERE n.line IS NOT NULL OR (t.doc_id, t.line_number) > f.first),
+left_over AS (
+  SELECT n.doc_id, count(*) AS n_lines, count(m.doc_id) AS n_dropped,
+         coalesce(string_agg(n.line, chr(10) ORDER BY n.line_number) FILTER (m.doc_id IS NULL), '') AS text
+  FROM numbered n LEFT JOIN marked m ON n.doc_id = m.doc_id AND n.line_number = m.line_number
+  GROUP BY n.doc_id)
+SELECT doc_id, n_lines, n_dropped,
+       n_dropped > 0 AND trim(translate(text, chr(10) || chr(9) || chr(13), '')) = '' AS emptied,
+       md5(text) AS text_md5
+FROM left_over
+"""
+
+
 def statements() -> dict[str, str]:
     from oresmith.llm.queries import PAGE_PATTERNS
 
-    return {"op7_rarest_token_rules": url_sql(PAGE_PATTERNS)}
+    return {"op7_rarest_token_rules": url_sql(PAGE_PATTERNS), "op10_deletion_neighbourhood": LINES_SQL}

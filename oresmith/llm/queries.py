@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oresmith.llm import bpe_monoid, language, licenses, packing, toxicity, url_rules
+from oresmith.llm import bpe_monoid, language, licenses, line_dedup, packing, toxicity, url_rules
 from oresmith.llm.common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +126,13 @@ def op9_monoid_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_deletion_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
+    """What line dedup leaves of every document: counts and a digest of the text."""
+    docs = _table(spark, folder, "documents")
+    left = line_dedup.without_repeated_lines(docs, "doc_id", "text")
+    return left.select("doc_id", "n_lines", "n_dropped", "emptied", F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -135,5 +142,6 @@ QUERIES: dict[str, Query] = {
         op6_string_kernel,
         op7_rarest_token_rules,
         op9_monoid_bpe,
+        op10_deletion_neighbourhood,
     )
 }
