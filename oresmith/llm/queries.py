@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oresmith.llm import bpe_monoid, language, licenses, line_dedup, packing, toxicity, url_rules
+from oresmith.llm import bpe_monoid, language, licenses, line_dedup, packing, partenum, toxicity, url_rules
 from oresmith.llm.common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,11 @@ def op7_rarest_token_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_partenum(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents with a Jaccard index of 0.9 or more over 3-word shingles."""
+    return partenum.jaccard_components(_table(spark, folder, "documents"), "doc_id", "text")
+
+
 def op9_monoid_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     pattern = public_tokenizers.PATTERN
@@ -141,6 +146,7 @@ QUERIES: dict[str, Query] = {
         op5_minimum_bin_slack,
         op6_string_kernel,
         op7_rarest_token_rules,
+        op8_partenum,
         op9_monoid_bpe,
         op10_deletion_neighbourhood,
     )
