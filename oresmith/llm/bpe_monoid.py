@@ -188,6 +188,21 @@ def decode(ids: str | Column, ranks_path: str, pattern: str) -> Column:
     return decoded(ids)
 
 
+def round_trip(text: str | Column, ranks_path: str, pattern: str) -> Column:
+    """struct(ids, decoded): ``encode`` and ``decode`` of its ids in one pass through Python.
+
+    Two calls side by side would have the text encoded twice, once for each result.
+    """
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        encoder = text_encoder(ranks_path, pattern)
+        ids = [encoder.encode(t) for t in texts]
+        return pd.DataFrame({"ids": ids, "decoded": [encoder.decode(i) for i in ids]}, dtype=object)
+
+    return both(text)
+
+
 def unpack(ids: str | Column) -> Column:
     """Packed ids as an array of integers."""
 

@@ -121,13 +121,12 @@ def op9_monoid_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     pattern = public_tokenizers.PATTERN
     docs = _table(spark, folder, "documents")
-    encoded = docs.select("doc_id", bpe_monoid.encode("text", BPE_RANKS, pattern).alias("ids"))
-    decoded = encoded.withColumn("decoded", bpe_monoid.decode("ids", BPE_RANKS, pattern))
-    return decoded.select(
+    done = docs.select("doc_id", bpe_monoid.round_trip("text", BPE_RANKS, pattern).alias("done"))
+    return done.select(
         "doc_id",
-        bpe_monoid.n_tokens("ids").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        bpe_monoid.n_tokens("done.ids").alias("n_tokens"),
+        F.sha2("done.ids", 256).alias("ids_sha256"),
+        F.sha2("done.decoded", 256).alias("decoded_sha256"),
     )
 
 
