@@ -6,9 +6,9 @@ ordered rules: a rule is a sequence of identifiers, rules are tried from the mos
 specific, and the first that fits at a place takes its sentences. Sentences that no rule takes
 are reported as incomplete.
 
-Sentences are cut twice, once with line ends as borders and once with line ends as blanks,
-because licence texts are wrapped and licence lines stand alone; a sentence's place is the
-number of words before it, which is the same for both.
+Sentences are cut twice, once with line ends as borders and once with only blank lines as
+borders, because licence lines stand alone and licence texts are wrapped; a sentence's place is
+the number of words before it, which is the same for both.
 """
 
 from __future__ import annotations
@@ -130,6 +130,9 @@ _word = re.compile(r"[^\W_]+").findall
 _border = re.compile(r"[.!?]+(?=\s|$)|[;:](?=\s|$)")
 
 
+_blank_lines = re.compile(r"\n[ \t]*\n\s*")
+
+
 @dataclass(frozen=True)
 class Recognizer:
     """Known sentences by their normalised words, and rules by their first identifier."""
@@ -143,9 +146,10 @@ class Recognizer:
         """(first word, words, identifier) of the known sentences, by place and without overlap."""
         if not text or not self.anchors.search(text.lower()):
             return []
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
         found: set[tuple[int, int, str]] = set()
         for lines_end_sentences in (True, False):
-            lines = text.splitlines() if lines_end_sentences else [text]
+            lines = text.splitlines() if lines_end_sentences else _blank_lines.split(text)
             place = 0
             for line in lines:
                 parts: list[list[str]] = [_word(part.lower()) for part in _border.split(line)]

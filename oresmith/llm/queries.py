@@ -11,7 +11,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oresmith.llm import bpe_monoid, language, licenses, line_dedup, packing, partenum, toxicity, url_rules
+from oresmith.llm import (
+    bpe_monoid,
+    graph_dedup,
+    language,
+    licenses,
+    line_dedup,
+    packing,
+    partenum,
+    permutation_index,
+    toxicity,
+    url_rules,
+)
 from oresmith.llm.common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +71,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and groups of near-duplicate embeddings by range search on a pruned graph."""
+    return graph_dedup.linked_vectors(_table(spark, folder, "embeddings"))
+
+
+def op2_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20, among all others."""
+    found = permutation_index.nearest(_table(spark, folder, "embeddings"), "id % 20 = 0")
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op3_factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document by a factorization machine over hashed words."""
     docs = _table(spark, folder, "documents")
@@ -140,6 +162,8 @@ def op10_deletion_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op1_pruned_graph,
+        op2_permutation_index,
         op3_factorization_machine,
         op4_license_sentences,
         op5_minimum_bin_slack,
