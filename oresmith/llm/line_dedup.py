@@ -13,8 +13,9 @@ to a variant: the work is linear in the variants, also where thousands of lines
 Found pairs are verified by edit distance.
 
 Variants are many, so only lines with a chance of a partner emit them: lines one edit apart
-share their first or second half (of the shorter length), and a line without such a shared
-half has no partner. Lines are told apart by two 64-bit hashes.
+agree in one of two halves, and in seven of eight equal parts (of the shorter length), so a line
+that shares no half, or no seven eighths, with another has no partner. Lines are told apart by
+two 64-bit hashes, variants by one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from oresmith.llm.common import semi_join, step_folder, stored
 
 MIN_CHARS = 10
 _LINE = ["h1", "h2"]
+_FEW = 2_000_000  # rows of one or two hashes
 
 
 def _two_hashes(*parts: Column) -> list[Column]:
@@ -53,30 +55,39 @@ def text_lines(docs: DataFrame, id_column: str, text_column: str, min_chars: int
     return lines.select("*", F.char_length("line").alias("n"), h1.alias("h1"), h2.alias("h2"))
 
 
-def _half_keys() -> Column:
-    """Hashes of both halves for pairs whose shorter line has ``n`` or ``n - 1`` characters."""
-    keys = []
+def _shared_parts(parts: int) -> Column:
+    """Hashes of the line without one of ``parts`` equal parts, for pairs whose shorter line has
+    ``n`` or ``n - 1`` characters. Lines one edit apart agree outside the part with the edit."""
+    line, keys = F.col("line"), []
     for shorter in (F.col("n"), F.col("n") - 1):
-        half = F.floor(shorter / 2).cast("int")
-        rest = (shorter - half).cast("int")
-        keys.append(F.xxhash64(F.lit(0), shorter, F.substring(F.col("line"), F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit(1), shorter, F.substring(F.col("line"), F.col("n") - rest + 1, rest)))
+        for part in range(parts):
+            left = F.floor(shorter * part / parts).cast("int")
+            right = (shorter - F.floor(shorter * (part + 1) / parts)).cast("int")
+            ends = F.substring(line, F.lit(1), left), F.substring(line, F.col("n") - right + 1, right)
+            keys.append(F.xxhash64(F.lit(part), shorter, *ends))
     return F.array(*keys)
 
 
 def _deletions() -> Column:
-    """(position, k1, k2): hashes of every deletion variant, and of the line itself at -1."""
+    """(position, key): hash of every deletion variant, and of the line itself at -1."""
     line = F.col("line")
 
     def variant(i: Column) -> Column:
-        left = F.substring(line, F.lit(1), i)
-        shorter = F.concat(left, F.substring(line, i + 2, F.col("n")))
-        k1, k2 = _two_hashes(F.when(i < 0, line).otherwise(shorter))
-        return F.struct(i.alias("position"), k1.alias("k1"), k2.alias("k2"))
+        shorter = F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, F.col("n")))
+        return F.struct(i.alias("position"), F.xxhash64(F.when(i < 0, line).otherwise(shorter)).alias("key"))
 
     return F.transform(F.sequence(F.lit(-1), F.col("n") - 1), variant)
 
 
+def _sharing(lines: DataFrame, keys: Column, folder: str, name: str) -> DataFrame:
+    """(h1, h2) of the lines that share one of their keys with a different line."""
+    spread = lines.select(*_LINE, F.explode(keys).alias("key"))
+    line = F.struct(*_LINE)
+    shared = spread.groupBy("key").agg(F.min(line).alias("a"), F.max(line).alias("b")).where("a <> b")
+    shared = stored(shared.select("key"), folder, f"{name}-keys")
+    return stored(semi_join(spread, shared, ["key"], _FEW).select(*_LINE).distinct(), folder, name)
+
+
 def dropped_lines(docs: DataFrame, id_column: str, text_column: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, text_hash, line_number) of the line occurrences that have an earlier equal or near line.
 
@@ -84,37 +95,32 @@ def dropped_lines(docs: DataFrame, id_column: str, text_column: str, min_chars:
     """
     spark = docs.sparkSession
     folder = step_folder(spark, "line-dedup")
-    few = 2_000_000  # lines told by two hashes, 32 bytes a row
 
     # Every distinct line once, with its first occurrence and its half keys; no text moves.
     occurrences = text_lines(docs, id_column, text_column, min_chars)
-    distinct = occurrences.select(*_LINE, "n", _first_line("doc").alias("first"), _half_keys().alias("halves"))
+    distinct = occurrences.select(*_LINE, "n", _first_line("doc").alias("first"), _shared_parts(2).alias("halves"))
     distinct = distinct.groupBy(*_LINE).agg(
         F.count(F.lit(1)).alias("times"), F.min("first").alias("first"), F.first("halves").alias("halves")
     )
     distinct = stored(distinct, folder, "lines")
 
-    halves = distinct.select(*_LINE, F.explode("halves").alias("half"))
-    line = F.struct(*_LINE)
-    shared = halves.groupBy("half").agg(F.min(line).alias("a"), F.max(line).alias("b")).where("a <> b")
-    shared = stored(shared.select("half"), folder, "shared-halves")
-    hopeful = semi_join(halves, shared, ["half"], few).select(*_LINE).distinct()
-    hopeful = stored(hopeful, folder, "hopeful")
-
-    # The texts of those lines, and their variants.
-    with_text = semi_join(occurrences.select(*_LINE, "n", "line"), hopeful, _LINE, few)
+    # The texts of lines that share a half, and of those the ones that share seven eighths.
+    hopeful = _sharing(distinct, F.col("halves"), folder, "sharing-halves")
+    with_text = semi_join(occurrences.select(*_LINE, "n", "line"), hopeful, _LINE, _FEW)
     with_text = with_text.groupBy(*_LINE).agg(F.first("n").alias("n"), F.first("line").alias("line"))
     texts = stored(with_text.join(distinct.select(*_LINE, "first"), _LINE), folder, "texts")
-    spread = texts.repartition(*_LINE).select(*_LINE, "first", F.explode(_deletions()).alias("v"))
-    variants = spread.select("v.position", "v.k1", "v.k2", F.struct("first", *_LINE).alias("line"))
+    likely = _sharing(texts, _shared_parts(8), folder, "sharing-eighths")
+    spread = texts.join(likely, _LINE, "left_semi").repartition(*_LINE)
+    spread = spread.select(*_LINE, "first", F.explode(_deletions()).alias("v"))
+    variants = spread.select("v.position", "v.key", F.struct("first", *_LINE).alias("line"))
     variants = stored(variants, folder, "variants")
 
     deleted = variants.where("position >= 0")
-    earliest = deleted.groupBy("k1", "k2", "position").agg(F.min("line").alias("other"), F.count(F.lit(1)).alias("lines"))
+    earliest = deleted.groupBy("key", "position").agg(F.min("line").alias("other"), F.count(F.lit(1)).alias("lines"))
     earliest = stored(earliest.where("lines > 1").drop("lines"), folder, "replaced")
-    replaced = deleted.join(earliest, ["k1", "k2", "position"]).select("line", "other")
-    whole = variants.where("position = -1").select("k1", "k2", F.col("line").alias("whole"))
-    inserted = stored(deleted.join(whole, ["k1", "k2"]).select("line", "whole").distinct(), folder, "inserted")
+    replaced = deleted.join(earliest, ["key", "position"]).select("line", "other")
+    whole = variants.where("position = -1").select("key", F.col("line").alias("whole"))
+    inserted = stored(deleted.join(whole, "key").select("line", "whole").distinct(), folder, "inserted")
     pairs = replaced.union(inserted.toDF("line", "other"))
     pairs = pairs.union(inserted.select(F.col("whole").alias("line"), F.col("line").alias("other")))
     pairs = pairs.where("other < line").distinct()
