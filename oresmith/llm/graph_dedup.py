@@ -32,7 +32,7 @@ TARGET = 8192  # vectors per cluster, over all labels
 PART = 2048  # vectors of one label in one part of a shard, and queries in one block
 CLUSTERS, CLUSTER_SAMPLE = 1024, 20_000
 OVERLAP = 2
-DEGREE, CANDIDATES, ALPHA = 24, 48, 1.2
+DEGREE, FAR, CANDIDATES, ALPHA = 24, 2, 48, 1.2
 BEAM = 32
 AUDITED, RECALL = 32, 0.97
 
@@ -93,7 +93,10 @@ def shard_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATE
         best = np.argpartition(-sims, near - 1, axis=1)[:, :near]
         order = np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable")
         kept.append(robust_prune(x, rows, np.take_along_axis(best, order, 1), degree, alpha))
-    forward = np.concatenate(kept)
+    # A few random edges, as in the random graph that such builds start from, connect far parts.
+    far = np.random.default_rng(n).integers(0, n - 1, (n, FAR))
+    far += far >= np.arange(n)[:, None]
+    forward = np.concatenate([np.concatenate(kept), far], 1)
     source = np.repeat(np.arange(n), forward.shape[1])
     target = forward.ravel()
     source, target = source[target >= 0], target[target >= 0]
@@ -103,8 +106,9 @@ def shard_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATE
     order = np.lexsort((-sims, source))
     source, target = source[order], target[order]
     place = np.arange(len(source)) - np.searchsorted(source, source, "left")
-    within = place < 2 * degree
-    graph = np.full((n, 2 * degree), -1, dtype=np.int64)
+    most = 2 * (degree + FAR)
+    within = place < most
+    graph = np.full((n, most), -1, dtype=np.int64)
     graph[source[within], place[within]] = target[within]
     return graph
 

@@ -169,12 +169,17 @@ def _signed_sets(texts: Column, width: int, percent: int) -> Column:
             own, following = signatures(s, band, percent), signatures(s, band + 1, percent)
             node = int(_signed(_node(s))[0])
             rows.append((len(s), node, len(own), _signed(np.concatenate([own, following]))))
-        frame = pd.DataFrame(rows, columns=["n", "node", "n_own", "signatures"])
-        return frame.astype({"node": "Int64"})
+        return _frame(rows, ["n", "node", "n_own", "signatures"])
 
     return made(texts)
 
 
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows as a frame whose nodes stay whole numbers beside missing ones."""
+    columns = dict(zip(names, zip(*rows))) if rows else {name: () for name in names}
+    return pd.DataFrame({k: pd.Series(v, dtype="Int64" if k == "node" else None) for k, v in columns.items()})
+
+
 def _node(s: np.ndarray) -> np.ndarray:
     weight = _mixed(s * np.uint64(2) + np.uint64(1))
     return _mixed(np.array([np.add.reduce(weight) + np.uint64(len(s))], dtype=np.uint64))
@@ -196,7 +201,7 @@ def _whole_sets(texts: Column, width: int, percent: int) -> Column:
             band = band_of(len(s), percent)
             node = int(_signed(_node(s))[0])
             rows.append((node, _signed(s), sketch(s, band, percent), sketch(s, band + 1, percent)))
-        return pd.DataFrame(rows, columns=["node", "shingles", "own", "following"]).astype({"node": "Int64"})
+        return _frame(rows, ["node", "shingles", "own", "following"])
 
     return made(texts)
 
