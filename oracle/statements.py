@@ -493,7 +493,7 @@ DOC_LINES = rf"""(SELECT doc_id, source, CAST(len(list_filter({LINE_SPLIT}, lamb
 
 CLONES = f"""SELECT source, CAST(sum(n) AS BIGINT) AS total_blocks,
     count(*) FILTER (WHERE everywhere > 1) AS duplicated_blocks,
-    CAST(sum(n * (n - 1) // 2) AS BIGINT) AS equal_pairs
+    CAST(sum(n * (n - 1) // 2) AS DOUBLE) AS equal_pairs
     FROM (SELECT source, block, count(*) AS n, sum(count(*)) OVER (PARTITION BY block) AS everywhere
           FROM (SELECT source, {_normalized('line')} AS block
                 FROM (SELECT source, unnest({LINE_SPLIT}) AS line FROM documents) l) b
@@ -597,8 +597,7 @@ def statements() -> dict[str, str]:
         "gold_observability": f"""SELECT m.*, c.* EXCLUDE (object_name, layer) FROM ({_gold_metrics('gu_')}) m
             JOIN ({_catalog_values()}) c ON m.object_name = c.object_name WHERE c.layer = 'gold'""",
         "write_verify": _row_counts({"gold_dim_item": "s_item", "gold_dim_customer": "s_customer"}),
-        "schema_reset": """SELECT 'keep_orders' AS object_name, count(*) AS row_count FROM orders
-            WHERE o_orderstatus = 'F'""",
+        "schema_reset": "SELECT 'keep_orders' AS object_name, count(*) AS row_count FROM orders",
         "csv_summary": """SELECT o_orderpriority, count(DISTINCT o_custkey) AS num_members,
             count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') AS num_subset_members
             FROM orders GROUP BY o_orderpriority""",

@@ -89,6 +89,12 @@ def normalized_blocks(df: DataFrame, text: str, keep: Sequence[str]) -> DataFram
     return blocks.select(*keep, F.unhex(F.md5("text")).alias("block"))
 
 
+def _pairs_of(n: Column) -> Column:
+    """Pairs among ``n`` equal things, as a decimal: a common line has more than fit a bigint."""
+    twice = n.cast("decimal(19,0)") * (n - 1).cast("decimal(19,0)")
+    return (twice / 2).cast("decimal(38,0)")
+
+
 def clone_report(df: DataFrame, text: str, by: str) -> DataFrame:
     """Repeated blocks per group: blocks, distinct blocks, distinct blocks that recur anywhere.
 
@@ -100,7 +106,7 @@ def clone_report(df: DataFrame, text: str, by: str) -> DataFrame:
     totals = per_group.groupBy(by).agg(
         F.sum("n").alias("total_blocks"),
         row_count().alias("distinct_blocks"),
-        F.sum(F.expr("n * (n - 1) div 2")).alias("equal_pairs"),
+        F.sum(_pairs_of(F.col("n"))).alias("equal_pairs"),
     )
     lonely = (
         per_group.groupBy("block")

@@ -108,14 +108,25 @@ def mean_where(df: DataFrame, by: Sequence[str], value: str, condition: Column,
 
 
 def pivot_labels(
-    df: DataFrame, row: str, label: str, labels: Sequence[str], value: str, row_order: Sequence[str]
+    df: DataFrame,
+    row: str,
+    label: str,
+    labels: Sequence[str],
+    value: str,
+    row_order: Sequence[str],
+    other: str | None = None,
 ) -> DataFrame:
-    """One row per ``row`` value and one column per label; rows outside ``row_order`` vanish.
+    """One row per ``row`` value and one column per label, the sum of the cell's values.
 
-    The labels are given, so Spark needs no extra pass to find them.
+    Rows outside ``row_order`` come last. The labels are given, so Spark needs no extra pass to
+    find them; ``other`` names a column for the sum of all further labels.
     """
-    wide = df.where(F.col(row).isin(*row_order)).groupBy(row).pivot(label, list(labels)).agg(F.first(value))
-    return wide.withColumn("position", order_position(row, row_order)).orderBy("position")
+    cells = [F.sum(F.when(F.col(label) == name, F.col(value))).alias(name) for name in labels]
+    if other:
+        known = F.coalesce(F.col(label).isin(*labels), F.lit(False))
+        cells.append(F.sum(F.when(~known, F.col(value))).alias(other))
+    position = F.coalesce(order_position(row, row_order), F.lit(len(row_order) + 1))
+    return df.groupBy(row).agg(*cells).withColumn("position", position).orderBy("position", row)
 
 
 def order_position(column: str, order: Sequence[str]) -> Column:
@@ -185,7 +196,8 @@ def rule_impact(catalog: DataFrame, counts: DataFrame, scenarios: Sequence[Scena
     totals = per_object.groupBy("change_scenario").agg(
         row_count().alias("objects_touched"),
         F.sum("touch_points").alias("touch_points"),
-        F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows_governed"),
+        # One object without a count leaves the sum unknown.
+        F.when(F.count("row_count") == F.count(F.lit(1)), F.sum("row_count")).alias("rows_governed"),
     )
     return totals.withColumn("complexity_score", F.col("objects_touched") * F.col("touch_points"))
 

@@ -6,7 +6,8 @@ an edit ratio over characters: unlike that, it can be found without comparing ev
 The result is one row per redundant text, not one per pair, so many copies of one text give a
 result as long as the copies and not as long as their pairs. Equal texts are counted out first.
 The rest uses prefix filtering, which is exact: ordered by rarity, two sets of Jaccard ``t`` or
-more share a shingle among the first ``n - ceil(t * n) + 1`` of each. Every text is first
+more share a shingle among the first ``n - ceil(t * n) + 1`` of each, and from the first one
+they share on, enough shingles must be left on both sides. Every text is first
 compared with the earliest text under each of its prefix shingles, which settles the members of
 a large family of near copies with a few comparisons each; only texts that stay unsettled are
 compared with all earlier texts that share a prefix shingle. That last step is costly only where
@@ -23,36 +24,30 @@ from pyspark.sql import functions as F
 
 from oresmith.functions.aggregates import row_count
 from oresmith.functions.text import normalize_for_clones
-from oresmith.session import shared_folder
+from oresmith.session import shared_folder, stored
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, size, tokens): distinct hashes of all runs of ``width`` words.
+    """The texts with ``tokens`` and their ``size``: distinct hashes of all runs of ``width`` words.
 
     A shorter text is one run. The words are a column of their own, because an expression
     inside the lambda would split the text again for every run.
     """
-    words = texts.select("id", F.split("text", " ").alias("words"))
+    words = texts.withColumn("words", F.split("text", " "))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)))
 
     def run(start: Column) -> Column:
         return F.xxhash64(*[F.get(F.col("words"), start + n) for n in range(width)])
 
-    sets = words.select("id", F.array_distinct(F.transform(starts, run)).alias("tokens"))
-    return sets.select("id", F.size("tokens").alias("size"), "tokens")
-
-
-def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Written out and read back, so later steps do not compute it again."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    sets = words.withColumn("tokens", F.array_distinct(F.transform(starts, run))).drop("text", "words")
+    return sets.withColumn("size", F.size("tokens"))
 
 
 def _prefixes(sets: DataFrame, share: Column) -> DataFrame:
-    """(id, size, token): the rarest shingles of every set, without those no other set has.
+    """(id, size, token, place): the rarest shingles of every set, without those no other set has.
 
     A shingle of a single set comes before all shared ones and fills prefix places for them.
+    ``place`` is the position from 1 in the whole set, rarest first.
     """
     tokens = sets.select("id", "size", F.explode("tokens").alias("token"))
     frequency = tokens.groupBy("token").agg(row_count().alias("sets")).where(F.col("sets") > 1)
@@ -65,9 +60,8 @@ def _prefixes(sets: DataFrame, share: Column) -> DataFrame:
         }
     )
     length = F.col("size") - F.ceil(share * F.col("size")) + 1
-    return ranked.where(F.col("position") <= length - (F.col("size") - F.col("shared"))).select(
-        "id", "size", "token"
-    )
+    place = F.col("position") + F.col("size") - F.col("shared")
+    return ranked.withColumn("place", place).where(F.col("place") <= length).select("id", "size", "token", "place")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, share: Column) -> DataFrame:
@@ -80,6 +74,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, share: Column) -> DataFrame:
     return both.where(reached).select("id").distinct()
 
 
+def candidate_pairs(mine: DataFrame, prefixes: DataFrame, comparable) -> DataFrame:
+    """(id, earlier): texts that share a prefix shingle under which they can still be similar."""
+    others = prefixes.select(
+        "token",
+        F.col("id").alias("earlier"),
+        F.col("size").alias("earlier_size"),
+        F.col("place").alias("earlier_place"),
+    )
+    met = mine.join(others, "token")
+    possible = comparable(F.col("earlier"), F.col("earlier_size"), F.col("earlier_place"))
+    return met.where(possible).select("id", "earlier").distinct()
+
+
 def near_duplicates(
     df: DataFrame, id_column: str, text_column: str, threshold: float = 0.8, width: int = 3
 ) -> DataFrame:
@@ -92,36 +99,36 @@ def near_duplicates(
 
     texts = df.select(
         F.col(id_column).alias("id"), normalize_for_clones(F.lower(text_column)).alias("text")
-    )
-    marked = _stored(texts.select("id", F.sha2("text", 256).alias("mark")), folder, "marks")
-    originals = marked.groupBy("mark").agg(F.min("id").alias("first_id"))
-    copies = marked.join(originals, "mark").where(F.col("id") > F.col("first_id")).select("id")
-
-    distinct_texts = texts.join(originals, F.col("id") == F.col("first_id"), "left_semi")
-    sets = _stored(shingle_sets(distinct_texts, width), folder, "sets")
-    prefixes = _stored(_prefixes(sets, share), folder, "prefixes")
-
-    def comparable(earlier_id: Column, earlier_size: Column) -> Column:
+    ).withColumn("mark", F.sha2("text", 256))
+    # The one pass over the texts: marks of whole texts, and their shingles.
+    every_set = stored(shingle_sets(texts, width), folder, "sets")
+    originals = stored(every_set.groupBy("mark").agg(F.min("id").alias("first_id")), folder, "originals")
+    copies = every_set.select("id", "mark").join(originals, "mark").where(F.col("id") > F.col("first_id")).select("id")
+
+    sets = every_set.join(originals.select(F.col("first_id").alias("id")), "id", "left_semi")
+    prefixes = stored(_prefixes(sets, share), folder, "prefixes")
+
+    def comparable(earlier_id: Column, earlier_size: Column, earlier_place: Column) -> Column:
+        """Earlier, of a fitting size, and with enough shingles left from the shared one on.
+
+        The first shingle that two sets share, rarest first, has nothing common before it, so
+        at most the shorter rest after it is common too. Pairs of sets that are similar pass
+        under that shingle; what others would pass under it alone is not needed.
+        """
         n = F.col("size")
         close = F.least(n, earlier_size) >= share * F.greatest(n, earlier_size)
-        return (earlier_id < F.col("id")) & close
+        most = F.least(n - F.col("place"), earlier_size - earlier_place) + 1
+        enough = most * (1 + share) >= share * (n + earlier_size)
+        return (earlier_id < F.col("id")) & close & enough
 
-    heads = prefixes.groupBy("token").agg(F.min(F.struct("id", "size")).alias("head"))
+    heads = prefixes.groupBy("token").agg(F.min(F.struct("id", "size", "place")).alias("head"))
     first_pairs = (
         prefixes.join(heads, "token")
-        .where(comparable(F.col("head.id"), F.col("head.size")))
+        .where(comparable(F.col("head.id"), F.col("head.size"), F.col("head.place")))
         .select("id", F.col("head.id").alias("earlier"))
         .distinct()
     )
-    settled = _stored(_similar(first_pairs, sets, share), folder, "settled")
-
-    others = prefixes.select("token", F.col("id").alias("earlier"), F.col("size").alias("earlier_size"))
-    open_pairs = (
-        prefixes.join(settled, "id", "left_anti")
-        .join(others, "token")
-        .where(comparable(F.col("earlier"), F.col("earlier_size")))
-        .select("id", "earlier")
-        .distinct()
-    )
-    late = _similar(open_pairs, sets, share)
+    settled = stored(_similar(first_pairs, every_set, share), folder, "settled")
+    open_pairs = candidate_pairs(prefixes.join(settled, "id", "left_anti"), prefixes, comparable)
+    late = _similar(open_pairs, every_set, share)
     return copies.union(settled).union(late).select(F.col("id").alias(id_column))

@@ -2,8 +2,8 @@
 
 No join is hinted: Spark broadcasts a dimension's key column only below its configured size
 limit and otherwise shuffles both sides, where a hot key is split by the adaptive skew join.
-Rows without a foreign key would all meet in one shuffle partition, so they travel under
-scattered keys no dimension can contain.
+Keys are compared in their own type. Rows without a foreign key would all meet in one shuffle
+partition, so a salt travels beside the key: 0 with every key, scattered for missing ones.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BELOW_INT = -(1 << 40)
 _SPREAD = 1 << 20
 _KEY = "__reference_key"
+_SALT = "__reference_salt"
 _FOUND = "__reference_found"
 
 
@@ -32,25 +32,26 @@ class Reference:
 
 
 def _lookup(dimension: DataFrame, key: str, unique: bool) -> DataFrame:
-    keys = dimension.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(_KEY))
+    keys = dimension.where(F.col(key).isNotNull()).select(F.col(key).alias(_KEY))
     if not unique:
         keys = keys.distinct()
-    return keys.withColumn(_FOUND, F.lit(True))
+    return keys.withColumn(_SALT, F.lit(0).cast("bigint")).withColumn(_FOUND, F.lit(True))
 
 
-def _scattered(column: str, spread_by: Sequence[str]) -> Column:
-    """The key itself, or a value below every int key that differs from row to row."""
-    scatter = F.lit(_BELOW_INT) - F.pmod(F.xxhash64(*spread_by), F.lit(_SPREAD))
-    return F.coalesce(F.col(column).cast("bigint"), scatter)
+def _salt(column: str, spread_by: Sequence[str]) -> Column:
+    """0 for a present key; from 1 on, differing from row to row, for a missing one."""
+    scatter = F.pmod(F.xxhash64(*spread_by), F.lit(_SPREAD)) + 1
+    return F.when(F.col(column).isNull(), scatter).otherwise(F.lit(0).cast("bigint"))
 
 
 def _flagged(fact: DataFrame, ref: Reference, spread_by: Sequence[str], unique: bool) -> DataFrame:
     lookup = _lookup(ref.dimension, ref.key, unique)
-    joined = fact.join(lookup, _scattered(ref.column, spread_by) == F.col(_KEY), "left")
+    same = (F.col(ref.column) == F.col(_KEY)) & (_salt(ref.column, spread_by) == F.col(_SALT))
+    joined = fact.join(lookup, same, "left")
     valid = F.col(_FOUND).isNotNull()
     if not ref.required:
         valid = valid | F.col(ref.column).isNull()
-    return joined.withColumn(ref.flag, F.when(valid, 1).otherwise(0)).drop(_KEY, _FOUND)
+    return joined.withColumn(ref.flag, F.when(valid, 1).otherwise(0)).drop(_KEY, _SALT, _FOUND)
 
 
 def _spread_columns(fact: DataFrame, column: str, at_most: int = 4) -> list[str]:

@@ -41,7 +41,7 @@ def sales_sql(lineitem: str, orders: str, part: str) -> str:
     retail = "p_retail"
     return f"""
     SELECT l_orderkey AS ss_ticket_number,
-           CASE WHEN l_orderkey % 89 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS ss_item_sk,
+           CASE WHEN l_orderkey % 89 = 0 THEN 2147483647 - l_partkey % 1000000 ELSE l_partkey END AS ss_item_sk,
            CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE l_suppkey END AS ss_store_sk,
            CASE WHEN l_orderkey % 83 = 0 THEN NULL ELSE o_custkey END AS ss_customer_sk,
            sold AS ss_sold_date_sk,

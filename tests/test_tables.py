@@ -59,14 +59,16 @@ def test_view_is_not_stored(space, spark):
 
 def test_shuffle_sizing():
     assert shuffle_partitions(0, 200) == 200
-    assert shuffle_partitions(100 << 40, 200) == 3276800
+    assert shuffle_partitions(1 << 40, 200) == 4000
+    assert shuffle_partitions(10 << 40, 200) == 20480
+    assert shuffle_partitions(100 << 40, 200) == shuffle_partitions(1 << 50, 200) == 30000
     assert shuffle_partitions(128 << 20, 1) == 4
 
 
 def test_scale_settings_follow_the_input(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "t"))
-    assert stored_bytes(spark, str(tmp_path)) > 1000
-    apply_scale_settings(spark, str(tmp_path))
+    assert stored_bytes(spark, [str(tmp_path)]) > 1000
+    apply_scale_settings(spark, [str(tmp_path)])
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "8"
 
 
