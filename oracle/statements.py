@@ -53,8 +53,19 @@ def _typed(contract: Contract, *more: str) -> str:
     return ", ".join([*columns, *more])
 
 
+def _lost(contract: Contract) -> str:
+    """What a row loses to the contract's types, as text."""
+    parts = [
+        f"CASE WHEN {f.name} IS NOT NULL AND TRY_CAST({f.name} AS {f.type}) IS NULL "
+        f"THEN '{f.name}=' || CAST({f.name} AS VARCHAR) END"
+        for f in contract.fields
+        if f.type != "string"
+    ]
+    return f"nullif(concat_ws('; ', {', '.join(parts)}), '') AS cast_failed"
+
+
 def _latest(source: str, contract: Contract, name: str, *more: str) -> str:
-    typed = _typed(contract, *more, "loaded_at AS ingestion_timestamp", f"{text(name)} AS source_table")
+    typed = _typed(contract, *more, _lost(contract), "loaded_at AS ingestion_timestamp", f"{text(name)} AS source_table")
     window = LATEST.format(keys=", ".join(contract.key), order="ingestion_timestamp DESC NULLS LAST")
     return f"SELECT * FROM (SELECT {typed} FROM {source}) t QUALIFY {window}"
 
@@ -117,19 +128,19 @@ CTES: dict[str, str] = {
     "u_item": _latest("raw_item", ITEM, "item"),
     "u_store": _latest("raw_store", STORE, "store"),
     "u_customer": _latest("raw_customer", CUSTOMER, "customer"),
-    "s_date": f"SELECT * FROM u_date WHERE {DATE_RULES}",
-    "s_item": f"SELECT * FROM u_item WHERE {ITEM_RULES}",
-    "s_store": f"SELECT * FROM u_store WHERE {STORE_RULES}",
-    "s_customer": f"SELECT * FROM u_customer WHERE {CUSTOMER_RULES}",
+    "s_date": f"SELECT * FROM u_date WHERE cast_failed IS NULL AND {DATE_RULES}",
+    "s_item": f"SELECT * FROM u_item WHERE cast_failed IS NULL AND {ITEM_RULES}",
+    "s_store": f"SELECT * FROM u_store WHERE cast_failed IS NULL AND {STORE_RULES}",
+    "s_customer": f"SELECT * FROM u_customer WHERE cast_failed IS NULL AND {CUSTOMER_RULES}",
     "t_sales": "SELECT "
-    + _typed(SALES, "loaded_at AS ingestion_timestamp", "'store_sales' AS source_table", "ss_row_seq")
+    + _typed(SALES, _lost(SALES), "loaded_at AS ingestion_timestamp", "'store_sales' AS source_table", "ss_row_seq")
     + " FROM raw_sales",
     "l_sales": "SELECT * EXCLUDE (ss_row_seq) FROM t_sales QUALIFY "
     + LATEST.format(
         keys="ss_ticket_number, ss_item_sk", order="ingestion_timestamp DESC NULLS LAST, ss_row_seq DESC NULLS LAST"
     ),
     "u_sales": f"SELECT * FROM l_sales WHERE {_resolved('u_')}",
-    "s_sales": f"SELECT * FROM l_sales WHERE {SALES_RULES} AND {_resolved('s_')}",
+    "s_sales": f"SELECT * FROM l_sales WHERE cast_failed IS NULL AND {SALES_RULES} AND {_resolved('s_')}",
     "annotated": f"""SELECT *,
         CASE WHEN ss_sold_date_sk IS NULL OR {_exists('ss_sold_date_sk', 's_date', 'd_date_sk')} THEN 1 ELSE 0 END
             AS has_valid_date_fk,
@@ -440,6 +451,60 @@ def _rule_status(p: str) -> str:
     return _union(parts)
 
 
+# Names and predicates of the rules that keep a dimension row, spelled out for the rejects.
+DIMENSION_CHECKS = {
+    "date": (
+        ("d_date_sk", "d_date_id"),
+        ("DP_SILVER_001", "d_date_sk IS NOT NULL"),
+        ("DP_SILVER_002", "d_date IS NOT NULL"),
+        ("DP_SILVER_003", "d_year >= 1900 AND d_year <= 2100"),
+        ("DP_SILVER_004", "d_moy >= 1 AND d_moy <= 12"),
+        ("pk_date_sk_positive", "d_date_sk >= 1"),
+        ("valid_day_of_month", "d_dom >= 1 AND d_dom <= 31"),
+        ("valid_day_of_week", "d_dow >= 0 AND d_dow <= 6"),
+        ("valid_quarter", "d_qoy >= 1 AND d_qoy <= 4"),
+    ),
+    "item": (
+        ("i_item_sk", "i_item_id"),
+        ("DP_SILVER_005", "i_item_sk IS NOT NULL AND i_item_id IS NOT NULL"),
+        ("DP_SILVER_006", "i_current_price >= 0"),
+        ("DP_SILVER_007", "coalesce(i_wholesale_cost, 0) >= 0"),
+        ("pk_item_sk_positive", "i_item_sk >= 1"),
+    ),
+    "store": (
+        ("s_store_sk", "s_store_id"),
+        ("DP_SILVER_008", "s_store_sk IS NOT NULL AND s_store_id IS NOT NULL AND s_store_name IS NOT NULL"),
+        ("pk_store_sk_positive", "s_store_sk >= 1"),
+        ("valid_employees", "coalesce(s_number_employees, 0) >= 0"),
+        ("valid_floor_space", "coalesce(s_floor_space, 0) >= 0"),
+    ),
+    "customer": (
+        ("c_customer_sk", "c_customer_id"),
+        ("DP_SILVER_009", "c_customer_sk IS NOT NULL AND c_customer_id IS NOT NULL"),
+        ("pk_customer_sk_positive", "c_customer_sk >= 1"),
+        ("valid_birth_year", "coalesce(c_birth_year, 2000) BETWEEN 1900 AND 2100"),
+        ("valid_birth_month", "coalesce(c_birth_month, 1) BETWEEN 1 AND 12"),
+        ("valid_birth_day", "coalesce(c_birth_day, 1) BETWEEN 1 AND 31"),
+    ),
+}
+
+
+def _dimension_rejects() -> str:
+    names = {"date": "silver_date_dim", "item": "silver_item", "store": "silver_store", "customer": "silver_customer"}
+    parts = []
+    for source, ((first, second), *checks) in DIMENSION_CHECKS.items():
+        broken = ", ".join(
+            ["CASE WHEN cast_failed IS NOT NULL THEN 'cast_contract' END"]
+            + [f"CASE WHEN NOT coalesce({p}, false) THEN '{n}' END" for n, p in checks]
+        )
+        parts.append(
+            f"""SELECT * FROM (SELECT '{names[source]}' AS object_name, CAST({first} AS VARCHAR) AS key_1,
+            CAST({second} AS VARCHAR) AS key_2, concat_ws(', ', {broken}) AS broken_rules, cast_failed
+            FROM u_{source}) r WHERE broken_rules <> ''"""
+        )
+    return _union(parts)
+
+
 def _row_counts(tables: dict[str, str]) -> str:
     return _union([f"SELECT {text(n)} AS object_name, count(*) AS row_count FROM {s}" for n, s in tables.items()])
 
@@ -514,6 +579,24 @@ def statements() -> dict[str, str]:
             AND TRY_CAST(ss_ext_list_price AS DECIMAL(7,2)) IS NULL) AS ss_ext_list_price,
             count(*) FILTER (WHERE ss_quantity IS NOT NULL AND TRY_CAST(ss_quantity AS INT) IS NULL) AS ss_quantity
             FROM raw_sales""",
+        "cast_quarantine": f"""SELECT CAST(ss_ticket_number AS VARCHAR) AS key_1, CAST(ss_item_sk AS VARCHAR) AS key_2,
+            'cast_contract' AS rule_id, 'CAST_FAILED' AS issue_reason, cast_failed FROM (
+            SELECT {_typed(SALES, _lost(SALES), 'loaded_at AS ingestion_timestamp', 'ss_row_seq')} FROM (
+                SELECT * REPLACE (ss_net_paid * 10 AS ss_net_paid, CASE WHEN ss_ticket_number % 50 = 0
+                    THEN 3000000000 + ss_customer_sk ELSE ss_customer_sk END AS ss_customer_sk) FROM raw_sales) r) t
+            QUALIFY cast_failed IS NOT NULL AND {LATEST.format(
+                keys='ss_ticket_number, ss_item_sk',
+                order='ingestion_timestamp DESC NULLS LAST, ss_row_seq DESC NULLS LAST')}""",
+        "cast_failure_counts": _union(
+            [
+                f"""SELECT {text(c.name)} AS object_name, {text(f.name)} AS column_name, count(*) FILTER (WHERE
+                {f.name} IS NOT NULL AND TRY_CAST({f.name} AS {f.type}) IS NULL) AS failed_rows FROM {source}"""
+                for c, source in zip((SALES, DATE, ITEM, STORE, CUSTOMER), BRONZE_TABLES.values())
+                for f in c.fields
+                if f.type != "string"
+            ]
+        ),
+        "dimension_rejects": _dimension_rejects(),
         "trim_to_null": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE trim(c_name) END AS clean_name,
             CASE WHEN c_custkey % 7 = 0 THEN '' ELSE trim(c_name) END AS trimmed_name FROM customer""",
         "latest_by_key": """SELECT * EXCLUDE (l_shipdate), CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM lineitem
@@ -528,8 +611,8 @@ def statements() -> dict[str, str]:
         "silver_item_validate_first": _plain(
             ITEM,
             "(SELECT * FROM (SELECT "
-            + _typed(ITEM, "loaded_at AS ingestion_timestamp", "'item' AS source_table")
-            + f" FROM raw_item) t WHERE {ITEM_RULES} QUALIFY "
+            + _typed(ITEM, _lost(ITEM), "loaded_at AS ingestion_timestamp", "'item' AS source_table")
+            + f" FROM raw_item) t WHERE cast_failed IS NULL AND {ITEM_RULES} QUALIFY "
             + LATEST.format(keys="i_item_sk", order="ingestion_timestamp DESC NULLS LAST")
             + ") v",
         ),
@@ -587,7 +670,7 @@ def statements() -> dict[str, str]:
                     CAST(ss_list_price AS DOUBLE) AS ss_list_price,
                     CAST(ss_wholesale_cost AS DOUBLE) AS ss_wholesale_cost, CAST(ss_net_paid AS DOUBLE) AS ss_net_paid,
                     CAST(ss_net_profit AS DOUBLE) AS ss_net_profit,
-                    CAST(ingestion_timestamp AS VARCHAR) AS ingestion_timestamp, source_table""",
+                    CAST(ingestion_timestamp AS VARCHAR) AS ingestion_timestamp, source_table, cast_failed""",
                 )
                 for s in QUARANTINE_RULES
             ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from oresmith.functions.aggregates import count_if
 
 LINEAGE = ("ingestion_timestamp", "source_table")
+# Holds what a row lost to its contract's types, as ``column=raw value; ...``; NULL if nothing.
+CAST_FAILED = "cast_failed"
 
 
 @dataclass(frozen=True)
@@ -21,6 +24,16 @@ class Field:
     type: str
     clean: str = ""
 
+    def lost(self) -> str:
+        """SQL for ``column=raw value`` where a value is present but does not fit, else NULL.
+
+        ``greatest(x, x)`` is x. Written with x alone, the cast would equal the typed column, and
+        the optimizer would derive every way of putting one for the other: 2 to the power of the
+        columns.
+        """
+        fits = f"{self.name} IS NULL OR try_cast(greatest({self.name}, {self.name}) AS {self.type}) IS NOT NULL"
+        return f"CASE WHEN NOT ({fits}) THEN concat('{self.name}=', CAST({self.name} AS string)) END"
+
     def typed(self) -> str:
         """SQL for the source column in the contract's type; a value that does not fit is NULL."""
         if self.type != "string":
@@ -48,6 +61,11 @@ class Contract:
         """Exactly the contract's columns, typed and cleaned, plus the ``carry`` columns."""
         return source.selectExpr(*[f.typed() for f in self.fields], *carry)
 
+    def checked(self, source: DataFrame, *carry: str) -> DataFrame:
+        """``project`` with ``CAST_FAILED`` as its last column."""
+        lost = ", ".join(f.lost() for f in self.fields if f.type != "string")
+        return self.project(source, *carry, f"nullif(concat_ws('; ', {lost}), '') AS {CAST_FAILED}")
+
     def cast_failures(self, source: DataFrame) -> DataFrame:
         """One row: per non-text column, the rows whose value is present but does not fit."""
         return source.agg(
@@ -231,3 +249,24 @@ CUSTOMER = _contract(
 )
 
 CONTRACTS = {c.name: c for c in (SALES, DATE, ITEM, STORE, CUSTOMER)}
+
+CONTRACTS = {c.name: c for c in (DATE, ITEM, STORE, CUSTOMER, SALES)}
+
+
+def cast_failure_report(bronze: Mapping[str, DataFrame]) -> DataFrame:
+    """(object_name, column_name, failed_rows) for every typed column of the given bronze tables.
+
+    One scan per table; the object is the silver table that the contract describes.
+    """
+    frames = []
+    for name, source in bronze.items():
+        contract = CONTRACTS[name.replace("bronze_", "silver_", 1)]
+        counts = contract.cast_failures(source)
+        rows = [
+            F.struct(
+                F.lit(contract.name).alias("object_name"), F.lit(c).alias("column_name"), F.col(c).alias("failed_rows")
+            )
+            for c in counts.columns
+        ]
+        frames.append(counts.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, frames)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
 from oresmith.plans import gold, silver
 from oresmith.plans.bronze import SOURCES, bronze_ingest
+from oresmith.plans.contracts import cast_failure_report
 from oresmith.quality.enforce import expectation_report
 from oresmith.quality.issues import issues
 from oresmith.quality.metrics import (
@@ -37,10 +39,18 @@ COMMENTS = {
     **{name: "Business names and derived measures" for name in GOLD_TABLES},
     "dq_store_sales_quarantine": "Fact rows kept out of silver, one row per broken rule",
     "dq_rule_catalog": "Rules of all layers",
+    "dq_dimension_rejects": "Dimension rows kept out of silver, with the rules they break",
+    "dq_cast_failures": "Values that do not fit their types, counted per column",
+    "dq_silver_dropped": "Rows that pass and fail each enforced rule, counted before enforcement",
 }
 ANNOTATED = "staging_store_sales_annotated"
 
 
+def staged(silver_table: str) -> str:
+    """The table of a dimension's latest rows before its rules."""
+    return silver_table.replace("silver_", "staging_", 1)
+
+
 def bronze_builders(sources: Mapping[str, DataFrame], loaded_at: str | None = None) -> dict[str, Builder]:
     """``loaded_at`` names a source column that holds the load time; otherwise it is now."""
 
@@ -58,14 +68,21 @@ def silver_builders(
 ) -> dict[str, Builder]:
     """Dimensions, then the fact.
 
-    The fact is deduplicated and checked once, into a staging table; the silver fact and the
-    quarantine are two filters over it.
+    Every table is deduplicated once, into a staging table; the silver table and what is kept
+    out of it are two filters over that.
     """
     ties = tie_break or {}
 
-    def dimension(name: str) -> Builder:
+    def latest(name: str) -> Builder:
         bronze = name.replace("silver_", "bronze_", 1)
-        return lambda s: silver.BUILDERS[name](s.read(bronze), ties.get(bronze))
+        return lambda s: silver.latest_dimension(name, s.read(bronze), ties.get(bronze))
+
+    def kept(name: str) -> Builder:
+        return lambda s: silver.kept_dimension(name, s.read(staged(name)))
+
+    def rejects(s: TableSpace) -> DataFrame:
+        frames = [silver.dimension_rejects(n, s.read(staged(n))) for n in silver.BUILDERS]
+        return reduce(DataFrame.unionByName, frames)
 
     def annotate(s: TableSpace) -> DataFrame:
         dims = [s.read(t) for t in ("silver_date_dim", "silver_item", "silver_store", "silver_customer")]
@@ -75,7 +92,9 @@ def silver_builders(
         )
 
     return {
-        **{name: dimension(name) for name in silver.BUILDERS},
+        **{staged(name): latest(name) for name in silver.BUILDERS},
+        **{name: kept(name) for name in silver.BUILDERS},
+        "dq_dimension_rejects": rejects,
         ANNOTATED: annotate,
         "silver_store_sales": lambda s: silver.kept_sales(s.read(ANNOTATED)),
         "dq_store_sales_quarantine": lambda s: silver.sales_quarantine(s.read(ANNOTATED), variant=variant),
@@ -105,6 +124,10 @@ def quality_builders(variant: str = DECLARATIVE) -> dict[str, Builder]:
         "dq_bronze_observability": lambda s: bronze_observability(
             s.read("dq_bronze_metrics").drop("validation_mode"), s.read("dq_rule_catalog")
         ),
+        "dq_cast_failures": lambda s: cast_failure_report(stored(s, tuple(SOURCES))),
+        "dq_silver_dropped": lambda s: expectation_report(
+            {**{n: s.read(staged(n)) for n in silver.BUILDERS}, "silver_store_sales": s.read(ANNOTATED)}, "drop"
+        ),
         "dq_silver_monitors": lambda s: expectation_report(stored(s, SILVER_TABLES), "monitor"),
         "dq_silver_issues": lambda s: issues(stored(s, SILVER_TABLES), SILVER_ISSUES, variant),
         "dq_silver_rule_status": lambda s: rule_status(stored(s, SILVER_TABLES), variant=variant),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from datetime import date
-from functools import cached_property, partial
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from oresmith.operators.near_duplicates import near_duplicates
 from oresmith.operators.references import keep_optional, keep_required, orphans, reference_flags
 from oresmith.plans import gold, silver
 from oresmith.plans.bronze import SOURCES, bronze_ingest
-from oresmith.plans.contracts import SALES
+from oresmith.plans.contracts import SALES, cast_failure_report
 from oresmith.plans.layers import GOLD_TABLES
 from oresmith.quality.enforce import expectation_report
 from oresmith.quality.issues import issues
@@ -213,6 +213,28 @@ def cast_failures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def cast_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Fact rows rejected for lost values: totals times ten, and some keys beyond their types."""
+    star = Star(spark, folder)
+    raw = star.bronze_table("bronze_store_sales").withColumns(
+        {
+            "ss_net_paid": F.col("ss_net_paid") * 10,
+            "ss_customer_sk": F.when(F.col("ss_ticket_number") % 50 == 0, F.lit(3_000_000_000) + F.col("ss_customer_sk"))
+            .otherwise(F.col("ss_customer_sk"))
+        }
+    )
+    annotated = silver.annotated_sales(raw, star.references, SALES_TIES)
+    lost = silver.sales_quarantine(annotated).where("issue_reason = 'CAST_FAILED'")
+    return lost.select("key_1", "key_2", "rule_id", "issue_reason", "cast_failed")
+
+
+@_query
+def cast_failure_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that do not fit, per column of every bronze table."""
+    return cast_failure_report(Star(spark, folder).bronze)
+
+
 @_query_as("trim_to_null")
 def trim_to_null_rows(spark: SparkSession, folder: str) -> DataFrame:
     padded = F.when(F.col("c_custkey") % 7 == 0, F.lit("   ")).otherwise(
@@ -406,6 +428,17 @@ def rule_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return catalog_frame(spark).join(counts, "object_name", "left")
 
 
+@_query
+def dimension_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Dimension rows that the rules drop, with the rules they break."""
+    star = Star(spark, folder)
+    frames = [
+        silver.dimension_rejects(n, silver.latest_dimension(n, star.bronze_table(n.replace("silver_", "bronze_", 1)), ()))
+        for n in DIMENSIONS
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
 @_query
 def silver_issues(spark: SparkSession, folder: str) -> DataFrame:
     return issues(Star(spark, folder, enforced=False).silver, SILVER_ISSUES).drop("observed_at")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from oresmith.functions.aggregates import count_if, row_count
@@ -22,6 +22,11 @@ def enforce_table(df: DataFrame, object_name: str) -> DataFrame:
     return enforce(df, expectations(object_name, "drop"))
 
 
+def failed_expectations(object_name: str, action: str | None = None) -> list[Column]:
+    """Per expectation of a table, its name where a row fails it, else NULL."""
+    return [F.when(violates(r.predicate), F.lit(r.name)) for r in expectations(object_name, action)]
+
+
 def expectation_report(tables: Mapping[str, DataFrame], action: str | None = None) -> DataFrame:
     """One row per expectation: rows that pass and rows that fail. Each table is read once."""
     frames = []

@@ -207,7 +207,7 @@ KEY_CONFIG_SCHEMA = T.StructType(
 
 
 def catalog_frame(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The catalog as a table, one row per rule."""
+    """The catalog as a table, one row per rule; of a size that the planner knows."""
     rows = [
         (
             r.rule_id,
@@ -222,7 +222,12 @@ def catalog_frame(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataF
         )
         for r in rules
     ]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    listed = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS catalog({', '.join(CATALOG_SCHEMA.names)})")
+
+
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def key_config_frame(spark: SparkSession) -> DataFrame:
@@ -334,7 +339,9 @@ def _fact_spec(rule_id: str, group: str, *reasons: tuple[str, str]) -> IssueSpec
 
 # Why a fact row is kept out of silver. A row no entry fires on is kept, so the kept and the
 # quarantined rows together are the deduplicated input. ``has_valid_*_fk`` are the reference flags.
+CAST_RULE = "cast_contract"
 QUARANTINE_RULES = (
+    _fact_spec(CAST_RULE, "TYPE_VALIDITY", ("CAST_FAILED", "cast_failed IS NOT NULL")),
     _spec("DP_SILVER_010", SALES_KEYS, *SALES_KEY_REASONS),
     _fact_spec("fk_item_sk_positive", "KEY_VALIDITY", ("NON_POSITIVE_ITEM_SK", "ss_item_sk <= 0")),
     _spec("DP_SILVER_011", SALES_KEYS, *QUANTITY_REASONS),

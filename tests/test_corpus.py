@@ -102,3 +102,32 @@ def test_near_duplicates_match_brute_force(spark, threshold):
 def test_only_copies(spark):
     df = spark.range(500).select("id", F.lit("always the same few words").alias("text"))
     assert near_duplicates(df, "id", "text").count() == 499
+
+
+@pytest.mark.parametrize("threshold", [0.8])
+def test_a_shared_shingle_makes_no_candidates_of_texts_that_differ(spark, threshold, monkeypatch):
+    """Half of all texts share one shingle and little else: no text meets all of them."""
+    from oresmith.operators import near_duplicates as module
+
+    rng, texts = random.Random(3), []
+    for n in range(300):
+        words = [rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(rng.randrange(8, 40))]
+        texts.append((n, " ".join(words + ["one two three"] * (n % 2))))
+    seen = []
+    original = module.candidate_pairs
+
+    def counted(*args):
+        seen.append(original(*args).count())
+        return original(*args)
+
+    monkeypatch.setattr(module, "candidate_pairs", counted)
+    got = near_duplicates(spark.createDataFrame(texts, "id bigint, text string"), "id", "text", threshold)
+    assert sorted(r.id for r in got.collect()) == brute_force(texts, threshold)
+    assert seen and max(seen) < 2 * len(texts)
+
+
+def test_pairs_of_very_many_equal_lines(spark):
+    from oresmith.operators.corpus import _pairs_of
+
+    pairs = spark.sql("SELECT 4000000000L AS n").select(_pairs_of(F.col("n")).alias("p")).first()["p"]
+    assert int(pairs) == 4_000_000_000 * 3_999_999_999 // 2

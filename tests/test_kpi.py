@@ -46,7 +46,22 @@ def test_pivot_keeps_the_given_order(spark):
         [("gold", "a", 1), ("bronze", "a", 2), ("bronze", "b", 3), ("other", "a", 9)], "layer string, p string, v int"
     )
     wide = kpi.pivot_labels(df, "layer", "p", ["a", "b"], "v", ["catalog", "bronze", "silver", "gold"])
-    assert [tuple(r) for r in wide.collect()] == [("bronze", 2, 3, 2), ("gold", 1, None, 4)]
+    assert [tuple(r) for r in wide.collect()] == [("bronze", 2, 3, 2), ("gold", 1, None, 4), ("other", 9, None, 5)]
+
+
+def test_pivot_loses_no_row_and_no_label(spark):
+    df = spark.createDataFrame(
+        [("x", "a", 1), ("x", "a", 2), ("x", "z", 4), ("x", None, 8), (None, "a", 16)], "layer string, p string, v int"
+    )
+    wide = kpi.pivot_labels(df, "layer", "p", ["a"], "v", ["x"], other="rest")
+    assert [tuple(r) for r in wide.collect()] == [("x", 3, 12, 1), (None, 16, None, 2)]
+
+
+def test_impact_of_an_object_without_a_count_is_unknown(spark):
+    catalog = spark.createDataFrame([("r1", "a"), ("r2", "b")], "rule_id string, object_name string")
+    counts = spark.createDataFrame([("a", 5)], "object_name string, row_count bigint")
+    known = kpi.rule_impact(catalog, counts, [kpi.Scenario("one", "object_name = 'a'"), kpi.Scenario("two", "true")])
+    assert {r.change_scenario: r.rows_governed for r in known.collect()} == {"one": 5, "two": None}
 
 
 def test_change_per_doubling_matches_published_figures(spark):

@@ -79,7 +79,7 @@ def test_quarantine_columns(star):
 
 
 def test_validate_first_falls_back_to_an_older_version(spark):
-    fields = {f.name: "x" for f in ITEM.fields}
+    fields = {f.name: "x" if f.type == "string" else None for f in ITEM.fields}
     base = {**fields, "i_item_sk": "1", "i_item_id": "I1", "i_wholesale_cost": "1"}
     versions = [
         {**base, "i_current_price": "5", "ingestion_timestamp": 1, "source_table": "item"},
@@ -152,6 +152,7 @@ def test_profiles(spark, star):
 
 def test_quarantine_rules_cover_the_enforced_rules():
     assert {s.rule_id for s in QUARANTINE_RULES} == {
+        "cast_contract",
         "DP_SILVER_010",
         "DP_SILVER_011",
         "DP_SILVER_012",
@@ -183,3 +184,42 @@ def test_a_whole_run(spark, star):
     assert counts["dq_silver_monitors"] == 6
     assert same_rows(space.read("gold_top_items_month"), star.gold["gold_top_items_month"])
     assert space.read("dq_silver_rule_status").where("rule_status = 'FAIL'").isEmpty()
+    # What the run drops is recorded: by rule before enforcement, and row by row.
+    dropped = {(r.object_name, r.expectation): r.failed_rows for r in space.read("dq_silver_dropped").collect()}
+    assert dropped["silver_customer", "valid_birth_year"] > 0 or sum(dropped.values()) > 0
+    for name in ("silver_date_dim", "silver_item", "silver_store", "silver_customer"):
+        rejects = space.read("dq_dimension_rejects").where(F.col("object_name") == name).count()
+        assert counts[name.replace("silver_", "staging_", 1)] == counts[name] + rejects
+    failed = space.read("dq_cast_failures")
+    assert failed.count() == 72
+    lost = space.read("staging_store_sales_annotated").where("cast_failed IS NOT NULL").count()
+    rejected = space.read("dq_store_sales_quarantine").where("issue_reason = 'CAST_FAILED'")
+    assert rejected.count() == lost
+
+
+def test_values_that_do_not_fit_are_rejected_with_their_raw_value(star):
+    raw = star.bronze["bronze_store_sales"].withColumns(
+        {
+            "ss_ext_sales_price": F.col("ss_ext_sales_price") * 10,
+            "ss_customer_sk": F.col("ss_customer_sk") + F.lit(3_000_000_000),
+            "ss_store_sk": F.when(F.col("ss_store_sk") % 2 == 0, F.lit("x7")).otherwise(F.col("ss_store_sk").cast("string")),
+        }
+    )
+    annotated = silver.annotated_sales(raw, star.references, SALES_TIES)
+    kept, keys = silver.kept_sales(annotated), ["ss_ticket_number", "ss_item_sk"]
+    rejected = silver.sales_quarantine(annotated)
+    latest = silver.latest_sales(raw, SALES_TIES).select(*keys)
+    both = kept.select(*keys).union(
+        rejected.select(F.col("key_1").cast("bigint"), F.col("key_2").cast("int")).distinct()
+    )
+    assert same_rows(both, latest)
+    # A kept row without a key came without one: no key was erased.
+    raw_keys = raw.select(*[F.col(k).alias(f"raw_{k}") for k in keys], "ss_customer_sk", "ss_store_sk")
+    erased = kept.where("ss_customer_sk IS NULL").join(
+        raw_keys.where("ss_customer_sk IS NOT NULL"),
+        (F.col("ss_ticket_number") == F.col("raw_ss_ticket_number")) & (F.col("ss_item_sk") == F.col("raw_ss_item_sk")),
+        "left_semi",
+    )
+    assert erased.isEmpty()
+    text = rejected.where("issue_reason = 'CAST_FAILED'").select("cast_failed").first()[0]
+    assert "ss_customer_sk=30000" in text or "ss_store_sk=x7" in text or "ss_ext_sales_price=" in text

@@ -59,13 +59,24 @@ def test_repeated_dimension_keys_do_not_multiply_rows(frames, spark):
 def test_missing_keys_are_spread_over_shuffle_partitions(spark):
     from pyspark.sql import functions as F
 
-    from oresmith.operators.references import _scattered
+    from oresmith.operators.references import _salt
 
     fact = spark.range(4000).withColumn("fk", F.lit(None).cast("int"))
-    keys = fact.select(_scattered("fk", ["id"]).alias("k"))
-    per_partition = keys.repartition(8, "k").groupBy(F.spark_partition_id()).count().collect()
+    keys = fact.select("fk", _salt("fk", ["id"]).alias("salt"))
+    per_partition = keys.repartition(8, "fk", "salt").groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in per_partition) < 1000
-    assert keys.where("k >= -2147483648").count() == 0
+    assert keys.where("salt <= 0").count() == 0
+
+
+@pytest.mark.parametrize("kind, present", [("string", ["S1", "x", ""]), ("bigint", [-(1 << 40), -(1 << 60), (1 << 62)])])
+def test_keys_of_any_type(spark, join_mode, kind, present):
+    fact = spark.createDataFrame([(n, k) for n, k in enumerate([*present, None])], f"id bigint, fk {kind}")
+    dim = spark.createDataFrame([(k,) for k in present[:2]], f"k {kind}")
+    ref = Reference("fk", dim, "k", "ok")
+    assert [r.ok for r in reference_flags(fact, [ref]).orderBy("id").collect()] == [1, 1, 0, 1]
+    assert ids(keep_optional(fact, ref)) == [0, 1, 3]
+    assert ids(keep_required(fact, ref)) == [0, 1]
+    assert ids(orphans(fact, ref)) == [2]
 
 
 def test_one_hot_key_gives_the_same_result(spark, join_mode):
