@@ -125,16 +125,17 @@ def learn(
     known = known.groupBy(F.col(id_column).alias("id")).agg(F.min(lang_column).alias("lang"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def places(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if (p := presence(t)) is None else p.astype(np.int32) for t in texts], dtype=object)
+        found = [presence(t) for t in texts]
+        return pd.Series([None if p is None else p.astype("<i4").tobytes() for p in found], dtype=object)
 
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     # At most ``sample`` rows of an id and a name, so the broadcast is bounded.
     rows = texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("h"), "id", "lang", places("text").alias("places"))
     learned = [r for r in rows.collect() if r["places"]]
     learned.sort(key=lambda r: (r["h"], r["id"], len(r["places"])))
-    return fit([np.array(r["places"], dtype=np.int64) for r in learned], [r["lang"] for r in learned])
+    return fit([np.frombuffer(r["places"], dtype="<i4") for r in learned], [r["lang"] for r in learned])
 
 
 def language(text: str | Column, classifier: StringKernelClassifier) -> Column:

@@ -203,7 +203,8 @@ def _whole_sets(texts: Column, width: int, percent: int) -> Column:
             rows.append((node, _signed(s), sketch(s, band, percent), sketch(s, band + 1, percent)))
         return _frame(rows, ["node", "shingles", "own", "following"])
 
-    return made(texts)
+    # Not to be run ahead of the join that picks the texts, to filter on its result.
+    return made.asNondeterministic()(texts)
 
 
 # ---------------------------------------------------------------- comparison of sets

@@ -107,8 +107,10 @@ def nearest(
     asked = stored(in_blocks(queries, query_blocks), folder, "queries")
     asked = asked.toDF("query_block", "query_ids", "query_vectors", "query_files")
     # Every block of queries meets every block of the index: the stated queries against all rows.
-    meetings = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    meetings = meetings.repartition(blocks * query_blocks, "block", "query_block").join(asked, "query_block")
+    every_query_block = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    meetings = index.withColumn("query_block", every_query_block)
+    meetings = meetings.join(asked.withColumn("block", every_block), ["block", "query_block"])
 
     def matrix(data: bytes, rows: int, kind=float) -> np.ndarray:
         return np.frombuffer(data, dtype=kind).reshape(rows, -1)

@@ -152,15 +152,15 @@ def learn(
     labelled = labelled.agg(F.max(F.col(label_column)).alias("label"))
     chosen = labelled.orderBy(F.xxhash64("id"), "id").limit(sample)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def places(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(term_places(t, bits), dtype=np.int32) for t in texts], dtype=object)
+        return pd.Series([np.array(sorted(term_places(t, bits)), dtype="<i4").tobytes() for t in texts], dtype=object)
 
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     # At most ``sample`` rows of two numbers, so the broadcast is bounded.
     rows = texts.join(F.broadcast(chosen), "id").select("id", "label", places("text").alias("places")).collect()
-    rows.sort(key=lambda r: (r["id"], sorted(r["places"])))
-    return fit([np.array(r["places"], dtype=np.int64) for r in rows], np.array([r["label"] for r in rows]), bits)
+    rows.sort(key=lambda r: (r["id"], bytes(r["places"])))
+    return fit([np.frombuffer(r["places"], dtype="<i4") for r in rows], np.array([r["label"] for r in rows]), bits)
 
 
 def toxicity(text: str | Column, machine: FactorizationMachine) -> Column:
