@@ -737,8 +737,31 @@ def statements() -> dict[str, str]:
                   GROUP BY ALL) t
             JOIN ({_row_counts({**BRONZE_TABLES, 'silver_date_dim': 's_date', 'silver_customer': 's_customer', 'gold_dim_customer': 's_customer'})}) n
             ON t.object_name = n.object_name GROUP BY change_scenario""",
-        "corpus_scan": """SELECT 'documents.parquet' AS file_name, 'documents' AS job, 'unknown' AS layer,
-            false AS is_data_quality, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents""",
+        "corpus_scan": f"""SELECT source, 'unknown' AS layer, false AS is_data_quality,
+            CAST(sum(length(text) + 1) AS BIGINT) AS characters,
+            CAST(sum(len(list_filter({LINE_SPLIT}, lambda l: {CODE_LINE}))) AS BIGINT) AS code_lines
+            FROM documents GROUP BY source""",
+        "overwrite_keeps_schema": """SELECT o_orderpriority, count(*) AS orders,
+            CAST(sum(CAST(trunc(o_totalprice) AS BIGINT)) AS DOUBLE) AS price FROM orders GROUP BY o_orderpriority""",
+        "view_dataset": """SELECT o_orderstatus, count(*) AS orders, count(DISTINCT o_custkey) AS customers
+            FROM orders GROUP BY o_orderstatus""",
+        "publish_view": """SELECT c_nationkey, count(*) AS customers,
+            (SELECT count(DISTINCT c_nationkey) FROM customer) AS published_rows FROM customer GROUP BY c_nationkey""",
+        "layer_run": _row_counts(
+            {
+                **BRONZE_TABLES,
+                **{t: "s_" + n for t, n in SILVER_TABLES.items()},
+                **{t: "gs_" + n for t, n in GOLD_TABLES.items()},
+            }
+        ),
+        "key_config": _union(
+            [
+                f"""SELECT {text(t)} AS object_name, {text(', '.join(BRONZE_KEYS[t]))} AS key_cols,
+                (SELECT count(*) FROM {n}) AS row_count,
+                (SELECT count(*) FROM (SELECT 1 FROM {n} GROUP BY {', '.join(BRONZE_KEYS[t])}) g) AS distinct_keys"""
+                for t, n in BRONZE_TABLES.items()
+            ]
+        ),
         "path_and_unit_labels": """SELECT event_id,
             CASE event_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'bronze' WHEN 2 THEN 'silver' ELSE 'gold' END AS layer,
             '0' || CAST(event_id % 4 AS VARCHAR) || '_' || event_type AS job,

@@ -64,9 +64,14 @@ def pattern_lines(df: DataFrame, text: str, patterns: Sequence[str]) -> DataFram
     return lines.withColumns(counts).drop("__lines")
 
 
+def identifiers(text: Column, patterns: Sequence[str]) -> Column:
+    """All matches of the patterns' first group in a text."""
+    return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
+
+
 def extracted(df: DataFrame, text: str, patterns: Sequence[str], name: str) -> DataFrame:
     """One row per match of the patterns' first group, beside the other columns."""
-    found = F.concat(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)) for p in patterns])
+    found = identifiers(F.col(text), patterns)
     keep = [c for c in df.columns if c != text]
     return df.select(*keep, F.explode(found).alias(name))
 

@@ -62,9 +62,12 @@ class Contract:
         return source.selectExpr(*[f.typed() for f in self.fields], *carry)
 
     def checked(self, source: DataFrame, *carry: str) -> DataFrame:
-        """``project`` with ``CAST_FAILED`` as its last column."""
-        lost = ", ".join(f.lost() for f in self.fields if f.type != "string")
-        return self.project(source, *carry, f"nullif(concat_ws('; ', {lost}), '') AS {CAST_FAILED}")
+        """``project`` with ``CAST_FAILED`` as its last column. A column that has its type already
+        cannot lose a value and is not looked at."""
+        types = dict(source.dtypes)
+        lost = [f.lost() for f in self.fields if f.type != "string" and types.get(f.name) != f.type]
+        text = f"nullif(concat_ws('; ', {', '.join(lost)}), '')" if lost else "CAST(NULL AS string)"
+        return self.project(source, *carry, f"{text} AS {CAST_FAILED}")
 
     def cast_failures(self, source: DataFrame) -> DataFrame:
         """One row: per non-text column, the rows whose value is present but does not fit."""
@@ -85,167 +88,161 @@ class Contract:
         )
 
 
-def _contract(name: str, key: str, spec: str) -> Contract:
-    """Read ``column type [clean]`` lines."""
-    fields = [Field(*line.split()) for line in spec.strip().splitlines()]
-    return Contract(name, tuple(key.split()), tuple(fields))
-
-
 # Names, order and types of the silver columns.
-SALES = _contract(
+SALES = Contract(
     "silver_store_sales",
-    "ss_ticket_number ss_item_sk",
-    """
-    ss_sold_date_sk int
-    ss_sold_time_sk int
-    ss_item_sk int
-    ss_customer_sk int
-    ss_cdemo_sk int
-    ss_hdemo_sk int
-    ss_addr_sk int
-    ss_store_sk int
-    ss_promo_sk int
-    ss_ticket_number bigint
-    ss_quantity int
-    ss_wholesale_cost decimal(7,2)
-    ss_list_price decimal(7,2)
-    ss_sales_price decimal(7,2)
-    ss_ext_discount_amt decimal(7,2)
-    ss_ext_sales_price decimal(7,2)
-    ss_ext_wholesale_cost decimal(7,2)
-    ss_ext_list_price decimal(7,2)
-    ss_ext_tax decimal(7,2)
-    ss_coupon_amt decimal(7,2)
-    ss_net_paid decimal(7,2)
-    ss_net_paid_inc_tax decimal(7,2)
-    ss_net_profit decimal(7,2)
-    """,
+    ("ss_ticket_number", "ss_item_sk"),
+    (
+        Field("ss_sold_date_sk", "int"),
+        Field("ss_sold_time_sk", "int"),
+        Field("ss_item_sk", "int"),
+        Field("ss_customer_sk", "int"),
+        Field("ss_cdemo_sk", "int"),
+        Field("ss_hdemo_sk", "int"),
+        Field("ss_addr_sk", "int"),
+        Field("ss_store_sk", "int"),
+        Field("ss_promo_sk", "int"),
+        Field("ss_ticket_number", "bigint"),
+        Field("ss_quantity", "int"),
+        Field("ss_wholesale_cost", "decimal(7,2)"),
+        Field("ss_list_price", "decimal(7,2)"),
+        Field("ss_sales_price", "decimal(7,2)"),
+        Field("ss_ext_discount_amt", "decimal(7,2)"),
+        Field("ss_ext_sales_price", "decimal(7,2)"),
+        Field("ss_ext_wholesale_cost", "decimal(7,2)"),
+        Field("ss_ext_list_price", "decimal(7,2)"),
+        Field("ss_ext_tax", "decimal(7,2)"),
+        Field("ss_coupon_amt", "decimal(7,2)"),
+        Field("ss_net_paid", "decimal(7,2)"),
+        Field("ss_net_paid_inc_tax", "decimal(7,2)"),
+        Field("ss_net_profit", "decimal(7,2)"),
+    ),
 )
 
-DATE = _contract(
+DATE = Contract(
     "silver_date_dim",
-    "d_date_sk",
-    """
-    d_date_sk int
-    d_date_id string
-    d_date date
-    d_month_seq int
-    d_week_seq int
-    d_quarter_seq int
-    d_year int
-    d_dow int
-    d_moy int
-    d_dom int
-    d_qoy int
-    d_fy_year int
-    d_fy_quarter_seq int
-    d_fy_week_seq int
-    d_day_name string trim
-    d_quarter_name string trim
-    d_holiday string
-    d_weekend string
-    d_following_holiday string
-    d_first_dom int
-    d_last_dom int
-    d_same_day_ly int
-    d_same_day_lq int
-    d_current_day string
-    d_current_week string
-    d_current_month string
-    d_current_quarter string
-    d_current_year string
-    """,
+    ("d_date_sk",),
+    (
+        Field("d_date_sk", "int"),
+        Field("d_date_id", "string"),
+        Field("d_date", "date"),
+        Field("d_month_seq", "int"),
+        Field("d_week_seq", "int"),
+        Field("d_quarter_seq", "int"),
+        Field("d_year", "int"),
+        Field("d_dow", "int"),
+        Field("d_moy", "int"),
+        Field("d_dom", "int"),
+        Field("d_qoy", "int"),
+        Field("d_fy_year", "int"),
+        Field("d_fy_quarter_seq", "int"),
+        Field("d_fy_week_seq", "int"),
+        Field("d_day_name", "string", "trim"),
+        Field("d_quarter_name", "string", "trim"),
+        Field("d_holiday", "string"),
+        Field("d_weekend", "string"),
+        Field("d_following_holiday", "string"),
+        Field("d_first_dom", "int"),
+        Field("d_last_dom", "int"),
+        Field("d_same_day_ly", "int"),
+        Field("d_same_day_lq", "int"),
+        Field("d_current_day", "string"),
+        Field("d_current_week", "string"),
+        Field("d_current_month", "string"),
+        Field("d_current_quarter", "string"),
+        Field("d_current_year", "string"),
+    ),
 )
 
-ITEM = _contract(
+ITEM = Contract(
     "silver_item",
-    "i_item_sk",
-    """
-    i_item_sk int
-    i_item_id string blank
-    i_rec_start_date date
-    i_rec_end_date date
-    i_item_desc string blank
-    i_current_price decimal(7,2)
-    i_wholesale_cost decimal(7,2)
-    i_brand_id int
-    i_brand string blank
-    i_class_id int
-    i_class string blank
-    i_category_id int
-    i_category string blank
-    i_manufact_id int
-    i_manufact string blank
-    i_size string blank
-    i_formulation string blank
-    i_color string blank
-    i_units string blank
-    i_container string blank
-    i_manager_id int
-    i_product_name string blank
-    """,
+    ("i_item_sk",),
+    (
+        Field("i_item_sk", "int"),
+        Field("i_item_id", "string", "blank"),
+        Field("i_rec_start_date", "date"),
+        Field("i_rec_end_date", "date"),
+        Field("i_item_desc", "string", "blank"),
+        Field("i_current_price", "decimal(7,2)"),
+        Field("i_wholesale_cost", "decimal(7,2)"),
+        Field("i_brand_id", "int"),
+        Field("i_brand", "string", "blank"),
+        Field("i_class_id", "int"),
+        Field("i_class", "string", "blank"),
+        Field("i_category_id", "int"),
+        Field("i_category", "string", "blank"),
+        Field("i_manufact_id", "int"),
+        Field("i_manufact", "string", "blank"),
+        Field("i_size", "string", "blank"),
+        Field("i_formulation", "string", "blank"),
+        Field("i_color", "string", "blank"),
+        Field("i_units", "string", "blank"),
+        Field("i_container", "string", "blank"),
+        Field("i_manager_id", "int"),
+        Field("i_product_name", "string", "blank"),
+    ),
 )
 
-STORE = _contract(
+STORE = Contract(
     "silver_store",
-    "s_store_sk",
-    """
-    s_store_sk int
-    s_store_id string blank
-    s_rec_start_date date
-    s_rec_end_date date
-    s_closed_date_sk int
-    s_store_name string blank
-    s_number_employees int
-    s_floor_space int
-    s_hours string blank
-    s_manager string blank
-    s_market_id int
-    s_geography_class string blank
-    s_market_desc string blank
-    s_market_manager string blank
-    s_division_id int
-    s_division_name string blank
-    s_company_id int
-    s_company_name string blank
-    s_street_number string blank
-    s_street_name string blank
-    s_street_type string blank
-    s_suite_number string blank
-    s_city string blank
-    s_county string blank
-    s_state string blank
-    s_zip string blank
-    s_country string blank
-    s_gmt_offset decimal(5,2)
-    s_tax_precentage decimal(5,2)
-    """,
+    ("s_store_sk",),
+    (
+        Field("s_store_sk", "int"),
+        Field("s_store_id", "string", "blank"),
+        Field("s_rec_start_date", "date"),
+        Field("s_rec_end_date", "date"),
+        Field("s_closed_date_sk", "int"),
+        Field("s_store_name", "string", "blank"),
+        Field("s_number_employees", "int"),
+        Field("s_floor_space", "int"),
+        Field("s_hours", "string", "blank"),
+        Field("s_manager", "string", "blank"),
+        Field("s_market_id", "int"),
+        Field("s_geography_class", "string", "blank"),
+        Field("s_market_desc", "string", "blank"),
+        Field("s_market_manager", "string", "blank"),
+        Field("s_division_id", "int"),
+        Field("s_division_name", "string", "blank"),
+        Field("s_company_id", "int"),
+        Field("s_company_name", "string", "blank"),
+        Field("s_street_number", "string", "blank"),
+        Field("s_street_name", "string", "blank"),
+        Field("s_street_type", "string", "blank"),
+        Field("s_suite_number", "string", "blank"),
+        Field("s_city", "string", "blank"),
+        Field("s_county", "string", "blank"),
+        Field("s_state", "string", "blank"),
+        Field("s_zip", "string", "blank"),
+        Field("s_country", "string", "blank"),
+        Field("s_gmt_offset", "decimal(5,2)"),
+        Field("s_tax_precentage", "decimal(5,2)"),
+    ),
 )
 
-CUSTOMER = _contract(
+CUSTOMER = Contract(
     "silver_customer",
-    "c_customer_sk",
-    """
-    c_customer_sk int
-    c_customer_id string blank
-    c_current_cdemo_sk int
-    c_current_hdemo_sk int
-    c_current_addr_sk int
-    c_first_shipto_date_sk int
-    c_first_sales_date_sk int
-    c_salutation string blank
-    c_first_name string blank
-    c_last_name string blank
-    c_preferred_cust_flag string
-    c_birth_day int
-    c_birth_month int
-    c_birth_year int
-    c_birth_country string blank
-    c_login string blank
-    c_email_address string blank
-    c_last_review_date_sk int
-    c_last_review_date int
-    """,
+    ("c_customer_sk",),
+    (
+        Field("c_customer_sk", "int"),
+        Field("c_customer_id", "string", "blank"),
+        Field("c_current_cdemo_sk", "int"),
+        Field("c_current_hdemo_sk", "int"),
+        Field("c_current_addr_sk", "int"),
+        Field("c_first_shipto_date_sk", "int"),
+        Field("c_first_sales_date_sk", "int"),
+        Field("c_salutation", "string", "blank"),
+        Field("c_first_name", "string", "blank"),
+        Field("c_last_name", "string", "blank"),
+        Field("c_preferred_cust_flag", "string"),
+        Field("c_birth_day", "int"),
+        Field("c_birth_month", "int"),
+        Field("c_birth_year", "int"),
+        Field("c_birth_country", "string", "blank"),
+        Field("c_login", "string", "blank"),
+        Field("c_email_address", "string", "blank"),
+        Field("c_last_review_date_sk", "int"),
+        Field("c_last_review_date", "int"),
+    ),
 )
 
 CONTRACTS = {c.name: c for c in (SALES, DATE, ITEM, STORE, CUSTOMER)}

@@ -24,7 +24,7 @@ from oresmith.operators.references import keep_optional, keep_required, orphans,
 from oresmith.plans import gold, silver
 from oresmith.plans.bronze import SOURCES, bronze_ingest
 from oresmith.plans.contracts import SALES, cast_failure_report
-from oresmith.plans.layers import GOLD_TABLES
+from oresmith.plans.layers import GOLD_TABLES, SILVER_TABLES, run_all
 from oresmith.quality.enforce import expectation_report
 from oresmith.quality.issues import issues
 from oresmith.quality.metrics import (
@@ -34,9 +34,9 @@ from oresmith.quality.metrics import (
     gold_observability,
     rule_status,
 )
-from oresmith.rules.catalog import GOLD_ISSUES, SILVER_ISSUES, catalog_frame
+from oresmith.rules.catalog import BRONZE_KEYS, GOLD_ISSUES, SILVER_ISSUES, catalog_frame, key_config_frame
 from oresmith.session import shared_folder, stored
-from oresmith.sources.retail import retail_bronze
+from oresmith.sources.retail import retail_bronze, retail_sources
 from oresmith.sources.tables import TableSpace, write_csv
 
 AS_OF = date(2024, 1, 1)
@@ -102,6 +102,10 @@ class Tables(dict):
         return {name: self[name] for name in self._names}
 
 
+# What several branches of one query are built on.
+FACT = ("bronze_store_sales",)
+STAGED = (*FACT, *SILVER_TABLES, "gold_fact_store_sales")
+
 DIMENSIONS = ("silver_date_dim", "silver_item", "silver_store", "silver_customer")
 
 
@@ -109,13 +113,22 @@ class Star:
     """Bronze, silver and gold frames over one folder, built on first use.
 
     ``enforced=False`` leaves the row rules out, so the issue queries have something to find.
+    ``staged`` names tables that are stored when first asked for, as a layer run stores them, so
+    that what is built on them several times reads them instead of deriving them again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, enforced: bool = True):
+    def __init__(self, spark: SparkSession, folder: str, enforced: bool = True, staged: Iterable[str] = ()):
         self.spark, self.folder, self.enforced = spark, folder, enforced
-        self._bronze = Tables(SOURCES, lambda name: retail_bronze(spark, folder, name))
-        self._silver = Tables((*DIMENSIONS, "silver_store_sales"), self._build_silver)
-        self._gold = Tables(GOLD_TABLES, self._build_gold)
+        self._staged, self._place = frozenset(staged), None
+        self._bronze = Tables(SOURCES, lambda name: self._kept(name, retail_bronze(spark, folder, name)))
+        self._silver = Tables(SILVER_TABLES, lambda name: self._kept(name, self._build_silver(name)))
+        self._gold = Tables(GOLD_TABLES, lambda name: self._kept(name, self._build_gold(name)))
+
+    def _kept(self, name: str, table: DataFrame) -> DataFrame:
+        if name not in self._staged:
+            return table
+        self._place = self._place or shared_folder(self.spark, "star")
+        return stored(table, self._place, name)
 
     def bronze_table(self, name: str) -> DataFrame:
         return self._bronze[name]
@@ -307,7 +320,7 @@ def silver_sales(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def silver_sales_split(spark: SparkSession, folder: str) -> DataFrame:
     """The silver fact taken from the annotated fact; equal to the direct one."""
-    return silver.kept_sales(Star(spark, folder).annotated)
+    return silver.kept_sales(Star(spark, folder, staged=FACT).annotated)
 
 
 # --- references ----------------------------------------------------------------------------
@@ -390,7 +403,7 @@ def monitor_counts(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def expectation_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every expectation counted on the tables before enforcement."""
-    return expectation_report(Star(spark, folder, enforced=False).silver)
+    return expectation_report(Star(spark, folder, enforced=False, staged=STAGED).silver)
 
 
 @_query
@@ -423,7 +436,7 @@ def bronze_rule_observability(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def rule_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """The catalog with the rows each rule governs."""
-    star = Star(spark, folder)
+    star = Star(spark, folder, staged=STAGED)
     counts = kpi.row_counts({**star.bronze, **star.silver, **star.gold})
     return catalog_frame(spark).join(counts, "object_name", "left")
 
@@ -441,32 +454,32 @@ def dimension_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def silver_issues(spark: SparkSession, folder: str) -> DataFrame:
-    return issues(Star(spark, folder, enforced=False).silver, SILVER_ISSUES).drop("observed_at")
+    return issues(Star(spark, folder, enforced=False, staged=STAGED).silver, SILVER_ISSUES).drop("observed_at")
 
 
 @_query
 def gold_issues(spark: SparkSession, folder: str) -> DataFrame:
-    return issues(Star(spark, folder, enforced=False).gold, GOLD_ISSUES).drop("observed_at")
+    return issues(Star(spark, folder, enforced=False, staged=STAGED).gold, GOLD_ISSUES).drop("observed_at")
 
 
 @_query
 def sales_quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    return silver.sales_quarantine(Star(spark, folder).annotated).drop("observed_at")
+    return silver.sales_quarantine(Star(spark, folder, staged=FACT).annotated).drop("observed_at")
 
 
 @_query_as("rule_status")
 def silver_rule_status(spark: SparkSession, folder: str) -> DataFrame:
-    return rule_status(Star(spark, folder, enforced=False).silver).drop("observed_at")
+    return rule_status(Star(spark, folder, enforced=False, staged=STAGED).silver).drop("observed_at")
 
 
 @_query_as("gold_metrics")
 def gold_table_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return gold_metrics(Star(spark, folder, enforced=False).gold).drop("observed_at")
+    return gold_metrics(Star(spark, folder, enforced=False, staged=STAGED).gold).drop("observed_at")
 
 
 @_query_as("gold_observability")
 def gold_rule_observability(spark: SparkSession, folder: str) -> DataFrame:
-    metrics = gold_metrics(Star(spark, folder, enforced=False).gold).drop("observed_at")
+    metrics = gold_metrics(Star(spark, folder, enforced=False, staged=STAGED).gold).drop("observed_at")
     return gold_observability(metrics, catalog_frame(spark))
 
 
@@ -478,13 +491,20 @@ def _space(spark: SparkSession, purpose: str) -> TableSpace:
     return TableSpace(spark, folder.rsplit("/", 1)[1].replace("-", "_")).create(folder)
 
 
+def _settled(space: TableSpace, result: DataFrame) -> DataFrame:
+    """A result of a few rows, taken before the tables behind it are dropped."""
+    rows = result.collect()
+    space.drop()
+    return space.spark.createDataFrame(rows, result.schema)
+
+
 @_query
 def write_verify(spark: SparkSession, folder: str) -> DataFrame:
     """Store two gold tables and count what was stored."""
     star, space = Star(spark, folder), _space(spark, "verify")
     for name in ("gold_dim_item", "gold_dim_customer"):
         space.write(star.gold_table(name), name, f"{name} of one run")
-    return kpi.row_counts({name: space.read(name) for name in space.tables()})
+    return _settled(space, kpi.row_counts({name: space.read(name) for name in space.tables()}))
 
 
 @_query
@@ -495,7 +515,63 @@ def schema_reset(spark: SparkSession, folder: str) -> DataFrame:
     for name in ("i_orders", "d_orders", "keep_orders"):
         space.write(orders, name)
     space.reset(["i_", "d_"])
-    return kpi.row_counts({name: space.read(name) for name in space.tables()})
+    return _settled(space, kpi.row_counts({name: space.read(name) for name in space.tables()}))
+
+
+@_query
+def overwrite_keeps_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """A second load of other types and other rows in a table whose columns stay as they are."""
+    space, orders = _space(spark, "overwrite"), _table(spark, folder, "orders")
+    first = orders.select("o_orderpriority", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    space.write(first.where("price < 0"), "order_prices")
+    second = orders.select("o_orderpriority", F.col("o_totalprice").cast("int").alias("price"))
+    space.write(second, "order_prices", replace_schema=False)
+    kept = space.read("order_prices").groupBy("o_orderpriority").agg(row_count().alias("orders"), F.sum("price").alias("price"))
+    return _settled(space, kept)
+
+
+@_query
+def view_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """A dataset that is only named: orders per status through a view."""
+    space = TableSpace(spark, "default")
+    space.view(_table(spark, folder, "orders").select("o_orderstatus", "o_custkey"), "orders_view")
+    return spark.sql(
+        "SELECT o_orderstatus, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM orders_view GROUP BY o_orderstatus"
+    )
+
+
+@_query
+def publish_view(spark: SparkSession, folder: str) -> DataFrame:
+    """A view stored as a table, with the row count that publishing returns."""
+    space = _space(spark, "publish")
+    customers = _table(spark, folder, "customer").groupBy("c_nationkey").agg(row_count().alias("customers"))
+    count = space.publish(space.view(customers, "customers_view"), "customers_by_nation", "Customers per nation")
+    return _settled(space, space.read("customers_by_nation").withColumn("published_rows", F.lit(count).cast("bigint")))
+
+
+@_query
+def layer_run(spark: SparkSession, folder: str) -> DataFrame:
+    """All layers stored in one run: the rows of every bronze, silver and gold table."""
+    space = _space(spark, "layers")
+    counts = run_all(space, retail_sources(spark, folder), "loaded_at", {"bronze_store_sales": SALES_TIES}, AS_OF)
+    names = (*SOURCES, *SILVER_TABLES, *GOLD_TABLES)
+    rows = spark.createDataFrame([(n, counts[n]) for n in names], "object_name string, row_count bigint")
+    return _settled(space, rows)
+
+
+@_query
+def key_config(spark: SparkSession, folder: str) -> DataFrame:
+    """Key columns of every bronze table and the rows and distinct keys behind them."""
+    star, frames = Star(spark, folder), []
+    for name, keys in BRONZE_KEYS.items():
+        per_key = star.bronze_table(name).groupBy(*keys).agg(row_count().alias("n"))
+        frames.append(
+            per_key.agg(F.sum("n").alias("row_count"), row_count().alias("distinct_keys")).select(
+                F.lit(name).alias("object_name"), "row_count", "distinct_keys"
+            )
+        )
+    config = key_config_frame(spark).withColumn("key_cols", F.array_join("key_cols", ", "))
+    return config.join(reduce(DataFrame.unionByName, frames), "object_name")
 
 
 @_query
@@ -626,11 +702,15 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and characters per file, with what the file's path says."""
-    files = _documents(spark, folder).select(F.col("_metadata.file_path").alias("path"), "n_chars")
-    labelled = corpus.with_path_labels(files)
-    return labelled.groupBy("file_name", "job", "layer", "is_data_quality").agg(
-        row_count().alias("documents"), F.sum("n_chars").alias("n_chars")
+    """Whole texts stored as text files of a few documents each and read back, per source."""
+    place = shared_folder(spark, "corpus")
+    writer = _documents(spark, folder).select("source", "text").write.partitionBy("source")
+    writer.option("maxRecordsPerFile", 100).text(place)
+    files = corpus.with_path_labels(corpus.text_files(spark, place, ".txt"))
+    source = F.regexp_extract("path", "/source=([^/]+)/", 1)
+    return files.groupBy(source.alias("source"), "layer", "is_data_quality").agg(
+        F.sum(F.char_length("text")).alias("characters"),
+        F.sum(F.size(corpus.code_lines(F.col("text")))).alias("code_lines"),
     )
 
 
@@ -684,11 +764,14 @@ def near_duplicate_docs(spark: SparkSession, folder: str) -> DataFrame:
 def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Shares, reuse, repeated blocks and the mean number of pattern lines per source."""
     docs = _documents(spark, folder)
-    lines = corpus.pattern_lines(docs, "text", LINE_PATTERNS).select(
-        "source", "doc_id", "code_lines", "pattern_lines"
+    # The one pass over the texts for lines and identifiers; repeated blocks need their own shuffle.
+    found = corpus.identifiers(F.col("text"), ID_PATTERNS).alias("identifiers")
+    scanned = corpus.pattern_lines(docs, "text", LINE_PATTERNS).select(
+        "source", "doc_id", "code_lines", "pattern_lines", found
     )
+    lines = stored(scanned, shared_folder(spark, "summary"), "lines")
     share = kpi.share_of_total(lines, ["source"], "code_lines", F.col("pattern_lines") > 0, "doc_id")
-    ids = corpus.extracted(docs.select("source", "text"), "text", ID_PATTERNS, "identifier")
+    ids = lines.select("source", F.explode("identifiers").alias("identifier"))
     reused = kpi.reuse(ids, ["source"], "identifier")
     complexity = kpi.mean_where(
         lines, ["source"], "pattern_lines", F.col("pattern_lines") > 0, "avg_pattern_lines"

@@ -235,15 +235,15 @@ def key_config_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, list(keys)) for t, keys in BRONZE_KEYS.items()], KEY_CONFIG_SCHEMA)
 
 
-def _spec(rule_id: str, keys: str, *reasons: tuple[str, str]) -> IssueSpec:
+def _spec(rule_id: str, keys: tuple[str, ...], *reasons: tuple[str, str]) -> IssueSpec:
     owner = rule(rule_id)
     return IssueSpec(
-        owner.object_name, rule_id, owner.group, tuple(keys.split()), tuple(Reason(*r) for r in reasons)
+        owner.object_name, rule_id, owner.group, keys, tuple(Reason(*r) for r in reasons)
     )
 
 
-SALES_KEYS = "ss_ticket_number ss_item_sk ss_store_sk ss_customer_sk"
-FACT_KEYS = "ticket_number item_key store_key customer_key"
+SALES_KEYS = ("ss_ticket_number", "ss_item_sk", "ss_store_sk", "ss_customer_sk")
+FACT_KEYS = ("ticket_number", "item_key", "store_key", "customer_key")
 
 MONEY_REASONS = (
     ("NEGATIVE_SALES_PRICE", "ss_sales_price < 0"),
@@ -263,7 +263,7 @@ SALES_KEY_REASONS = (
 SILVER_ISSUES = (
     _spec(
         "DP_SILVER_001",
-        "d_date_sk d_date_id",
+        ("d_date_sk", "d_date_id"),
         ("NULL_DATE_SK", "d_date_sk IS NULL"),
         ("NULL_DATE", "d_date IS NULL"),
         ("NULL_YEAR", "d_year IS NULL"),
@@ -271,21 +271,21 @@ SILVER_ISSUES = (
     ),
     _spec(
         "DP_SILVER_006",
-        "i_item_sk i_item_id",
+        ("i_item_sk", "i_item_id"),
         ("NULL_CURRENT_PRICE", "i_current_price IS NULL"),
         ("NEGATIVE_CURRENT_PRICE", "i_current_price < 0"),
         ("NEGATIVE_WHOLESALE_COST", "i_wholesale_cost < 0"),
     ),
     _spec(
         "DP_SILVER_008",
-        "s_store_sk s_store_id s_store_name",
+        ("s_store_sk", "s_store_id", "s_store_name"),
         ("NULL_STORE_SK", "s_store_sk IS NULL"),
         ("NULL_STORE_ID", "s_store_id IS NULL"),
         ("NULL_STORE_NAME", "s_store_name IS NULL"),
     ),
     _spec(
         "DP_SILVER_009",
-        "c_customer_sk c_customer_id",
+        ("c_customer_sk", "c_customer_id"),
         ("NULL_CUSTOMER_SK", "c_customer_sk IS NULL"),
         ("NULL_CUSTOMER_ID", "c_customer_id IS NULL"),
     ),
@@ -296,19 +296,19 @@ SILVER_ISSUES = (
 GOLD_ISSUES = (
     _spec(
         "DP_GOLD_001",
-        "item_key item_id",
+        ("item_key", "item_id"),
         ("NEGATIVE_CURRENT_PRICE", "current_price < 0"),
         ("NEGATIVE_WHOLESALE_COST", "wholesale_cost < 0"),
     ),
     _spec(
         "DP_GOLD_002",
-        "store_key store_id store_name",
+        ("store_key", "store_id", "store_name"),
         ("NULL_STORE_ID", "store_id IS NULL"),
         ("NULL_STORE_NAME", "store_name IS NULL"),
     ),
     _spec(
         "DP_GOLD_003",
-        "customer_key customer_id email_address",
+        ("customer_key", "customer_id", "email_address"),
         ("NULL_CUSTOMER_ID", "customer_id IS NULL"),
         ("NULL_EMAIL_ADDRESS", "email_address IS NULL"),
     ),
@@ -323,7 +323,7 @@ GOLD_ISSUES = (
     ),
     _spec(
         "DP_GOLD_006",
-        "year month item_key item_id",
+        ("year", "month", "item_key", "item_id"),
         ("NULL_YEAR", "year IS NULL"),
         ("NULL_MONTH", "month IS NULL"),
         ("NULL_ITEM_KEY", "item_key IS NULL"),
@@ -333,7 +333,7 @@ GOLD_ISSUES = (
 
 def _fact_spec(rule_id: str, group: str, *reasons: tuple[str, str]) -> IssueSpec:
     return IssueSpec(
-        "silver_store_sales", rule_id, group, tuple(SALES_KEYS.split()), tuple(Reason(*r) for r in reasons)
+        "silver_store_sales", rule_id, group, SALES_KEYS, tuple(Reason(*r) for r in reasons)
     )
 
 
