@@ -1,7 +1,8 @@
 """SQL for DuckDB that computes what the registered queries compute.
 
-Column names and types, rule texts and the derivation of the source tables are data and come
-from the package; everything else is spelled out here on its own.
+Column names and types, the texts of the rule catalog and the derivation of the source tables are
+data and come from the package; everything else, the predicates of rules, issues and rejects
+among it, is spelled out here on its own.
 """
 
 from __future__ import annotations
@@ -9,17 +10,7 @@ from __future__ import annotations
 import re
 
 from oresmith.plans.contracts import CUSTOMER, DATE, ITEM, SALES, STORE, Contract
-from oresmith.rules.catalog import (
-    BRONZE_KEYS,
-    GOLD_ISSUES,
-    OWNERS,
-    QUARANTINE_RULES,
-    RULES,
-    SILVER_ISSUES,
-    VALIDATION_MODES,
-    expectations,
-)
-from oresmith.rules.model import IssueSpec
+from oresmith.rules.catalog import BRONZE_KEYS, OWNERS, RULES, VALIDATION_MODES
 from oresmith.sources import retail
 
 DUCK = retail.Dialect(
@@ -341,14 +332,70 @@ BRONZE_TABLES = {
 }
 
 
-def _issue_sql(spec: IssueSpec, source: str, context: str = "") -> str:
-    keys = [f"CAST({k} AS VARCHAR)" for k in spec.keys] + ["CAST(NULL AS VARCHAR)"] * (4 - len(spec.keys))
-    slots = ", ".join(f"{k} AS key_{n}" for n, k in enumerate(keys, start=1))
-    reasons = " ".join(f"WHEN {r.predicate} THEN {text(r.code)}" for r in spec.reasons)
-    broken = " OR ".join(f"({r.predicate})" for r in spec.reasons)
-    return f"""SELECT 'declarative' AS paradigm, {text(spec.object_name)} AS object_name,
-        {text(spec.rule_id)} AS rule_id, {text(spec.group)} AS rule_group, {slots},
-        CASE {reasons} ELSE 'UNKNOWN' END AS issue_reason{context} FROM {source} WHERE {broken}"""
+Issue = tuple[str, str, str, tuple[str, ...], tuple[tuple[str, str], ...]]
+_SALES_KEYS = ("ss_ticket_number", "ss_item_sk", "ss_store_sk", "ss_customer_sk")
+_FACT_KEYS = ("ticket_number", "item_key", "store_key", "customer_key")
+_NO_KEY = (("NULL_TICKET_NUMBER", "ss_ticket_number IS NULL"), ("NULL_ITEM_SK", "ss_item_sk IS NULL"))
+_QUANTITY = (("NULL_QUANTITY", "ss_quantity IS NULL"), ("INVALID_QUANTITY", "ss_quantity < 1"))
+_MONEY = (
+    ("NEGATIVE_SALES_PRICE", "ss_sales_price < 0"),
+    ("NEGATIVE_LIST_PRICE", "ss_list_price < 0"),
+    ("NEGATIVE_WHOLESALE_COST", "ss_wholesale_cost < 0"),
+    ("NEGATIVE_NET_PAID", "ss_net_paid < 0"),
+)
+# Table, rule, group, keys, and reasons in the order in which they are looked for.
+SILVER_ISSUES: tuple[Issue, ...] = (
+    ("silver_date_dim", "DP_SILVER_001", "KEY_VALIDITY", ("d_date_sk", "d_date_id"),
+     (("NULL_DATE_SK", "d_date_sk IS NULL"), ("NULL_DATE", "d_date IS NULL"),
+      ("NULL_YEAR", "d_year IS NULL"), ("NULL_MONTH", "d_moy IS NULL"))),
+    ("silver_item", "DP_SILVER_006", "BUSINESS_VALUE", ("i_item_sk", "i_item_id"),
+     (("NULL_CURRENT_PRICE", "i_current_price IS NULL"), ("NEGATIVE_CURRENT_PRICE", "i_current_price < 0"),
+      ("NEGATIVE_WHOLESALE_COST", "i_wholesale_cost < 0"))),
+    ("silver_store", "DP_SILVER_008", "KEY_VALIDITY", ("s_store_sk", "s_store_id", "s_store_name"),
+     (("NULL_STORE_SK", "s_store_sk IS NULL"), ("NULL_STORE_ID", "s_store_id IS NULL"),
+      ("NULL_STORE_NAME", "s_store_name IS NULL"))),
+    ("silver_customer", "DP_SILVER_009", "KEY_VALIDITY", ("c_customer_sk", "c_customer_id"),
+     (("NULL_CUSTOMER_SK", "c_customer_sk IS NULL"), ("NULL_CUSTOMER_ID", "c_customer_id IS NULL"))),
+    ("silver_store_sales", "DP_SILVER_010", "KEY_VALIDITY", _SALES_KEYS, (*_NO_KEY, *_QUANTITY)),
+    ("silver_store_sales", "DP_SILVER_012", "BUSINESS_VALUE", _SALES_KEYS, _MONEY),
+)
+GOLD_ISSUES: tuple[Issue, ...] = (
+    ("gold_dim_item", "DP_GOLD_001", "BUSINESS_VALUE", ("item_key", "item_id"),
+     (("NEGATIVE_CURRENT_PRICE", "current_price < 0"), ("NEGATIVE_WHOLESALE_COST", "wholesale_cost < 0"))),
+    ("gold_dim_store", "DP_GOLD_002", "BUSINESS_KEY", ("store_key", "store_id", "store_name"),
+     (("NULL_STORE_ID", "store_id IS NULL"), ("NULL_STORE_NAME", "store_name IS NULL"))),
+    ("gold_dim_customer", "DP_GOLD_003", "BUSINESS_KEY", ("customer_key", "customer_id", "email_address"),
+     (("NULL_CUSTOMER_ID", "customer_id IS NULL"), ("NULL_EMAIL_ADDRESS", "email_address IS NULL"))),
+    ("gold_fact_store_sales", "DP_GOLD_004", "MEASURE_VALIDITY", _FACT_KEYS, (("NEGATIVE_NET_PROFIT", "net_profit < 0"),)),
+    ("gold_fact_store_sales", "DP_GOLD_005", "BUSINESS_KEY", _FACT_KEYS,
+     (("NULL_SOLD_DATE_KEY", "sold_date_key IS NULL"), ("NULL_ITEM_KEY", "item_key IS NULL"),
+      ("NULL_STORE_KEY", "store_key IS NULL"), ("NULL_CUSTOMER_KEY", "customer_key IS NULL"))),
+    ("gold_top_items_month", "DP_GOLD_006", "BUSINESS_KEY", ("year", "month", "item_key", "item_id"),
+     (("NULL_YEAR", "year IS NULL"), ("NULL_MONTH", "month IS NULL"), ("NULL_ITEM_KEY", "item_key IS NULL"))),
+)
+QUARANTINE: tuple[Issue, ...] = (
+    ("silver_store_sales", "cast_contract", "TYPE_VALIDITY", _SALES_KEYS, (("CAST_FAILED", "cast_failed <> ''"),)),
+    ("silver_store_sales", "DP_SILVER_010", "KEY_VALIDITY", _SALES_KEYS, _NO_KEY),
+    ("silver_store_sales", "fk_item_sk_positive", "KEY_VALIDITY", _SALES_KEYS, (("NON_POSITIVE_ITEM_SK", "ss_item_sk < 1"),)),
+    ("silver_store_sales", "DP_SILVER_011", "BUSINESS_VALUE", _SALES_KEYS, _QUANTITY),
+    ("silver_store_sales", "DP_SILVER_012", "BUSINESS_VALUE", _SALES_KEYS, _MONEY),
+    ("silver_store_sales", "sales_price_reasonable", "BUSINESS_VALUE", _SALES_KEYS,
+     (("UNREASONABLE_SALES_PRICE", "2 * ss_sales_price > 3 * ss_list_price"),)),
+    ("silver_store_sales", "DP_SILVER_013", "REFERENTIAL_VALIDITY", _SALES_KEYS,
+     (("INVALID_DATE_FK", "has_valid_date_fk = 0"), ("INVALID_ITEM_FK", "has_valid_item_fk = 0"),
+      ("INVALID_STORE_FK", "has_valid_store_fk = 0"), ("INVALID_CUSTOMER_FK", "has_valid_customer_fk = 0"))),
+)
+
+
+def _issue_sql(issue: Issue, source: str, context: str = "") -> str:
+    table, rule_id, group, keys, reasons = issue
+    slots = [f"CAST({k} AS VARCHAR)" for k in keys] + ["CAST(NULL AS VARCHAR)"] * (4 - len(keys))
+    listed = ", ".join(f"{k} AS key_{n}" for n, k in enumerate(slots, start=1))
+    codes = " ".join(f"WHEN {p} THEN {text(code)}" for code, p in reasons)
+    broken = " OR ".join(f"({p})" for _, p in reasons)
+    return f"""SELECT 'declarative' AS paradigm, {text(table)} AS object_name,
+        {text(rule_id)} AS rule_id, {text(group)} AS rule_group, {listed},
+        CASE {codes} ELSE 'UNKNOWN' END AS issue_reason{context} FROM {source} WHERE {broken}"""
 
 
 def _union(parts: list[str]) -> str:
@@ -424,33 +471,6 @@ def _gold_metrics(p: str) -> str:
     )
 
 
-def _expectations(p: str, action: str | None) -> str:
-    parts = []
-    for table, source in SILVER_TABLES.items():
-        for e in expectations(table, action):
-            parts.append(
-                f"""SELECT {text(table)} AS object_name, {text(e.name)} AS expectation, {text(e.action)} AS action,
-                count(*) FILTER (WHERE {e.predicate}) AS passed_rows,
-                count(*) - count(*) FILTER (WHERE {e.predicate}) AS failed_rows FROM {p}{source}"""
-            )
-    return _union(parts)
-
-
-def _rule_status(p: str) -> str:
-    parts = []
-    for r in RULES:
-        if r.layer != "silver" or r.action != "EXPECT":
-            continue
-        met = f"count(*) FILTER (WHERE {r.expression})"
-        parts.append(
-            f"""SELECT 'declarative' AS paradigm, 'silver' AS layer, {text(r.object_name)} AS object_name,
-            {text(r.rule_id)} AS rule_id, {text(r.group)} AS rule_group,
-            CASE WHEN {met} = count(*) THEN 'PASS' ELSE 'FAIL' END AS rule_status,
-            count(*) - {met} AS violating_rows, {met} AS matching_rows FROM {p}{SILVER_TABLES[r.object_name]}"""
-        )
-    return _union(parts)
-
-
 # Names and predicates of the rules that keep a dimension row, spelled out for the rejects.
 DIMENSION_CHECKS = {
     "date": (
@@ -489,6 +509,56 @@ DIMENSION_CHECKS = {
 }
 
 
+SALES_CHECKS = (
+    ("DP_SILVER_010", "ss_ticket_number IS NOT NULL AND ss_item_sk IS NOT NULL"),
+    ("DP_SILVER_011", "ss_quantity >= 1"),
+    ("DP_SILVER_012", "least(coalesce(ss_sales_price, 0), coalesce(ss_list_price, 0), coalesce(ss_wholesale_cost, 0), "
+     "coalesce(ss_net_paid, 0)) >= 0"),
+    ("fk_item_sk_positive", "ss_item_sk >= 1"),
+    ("sales_price_reasonable", "ss_sales_price IS NULL OR ss_list_price IS NULL OR 2 * ss_sales_price <= 3 * ss_list_price"),
+)
+MONITORS = {
+    "date": (("valid_holiday_flag", "d_holiday = 'Y' OR d_holiday = 'N'"), ("valid_weekend_flag", "d_weekend = 'Y' OR d_weekend = 'N'")),
+    "item": (("valid_date_range", "i_rec_end_date IS NULL OR i_rec_start_date <= i_rec_end_date"),),
+    "store": (
+        ("valid_tax_pct", "coalesce(s_tax_precentage, 0) BETWEEN 0 AND 1"),
+        ("valid_gmt_offset", "coalesce(s_gmt_offset, 0) BETWEEN -12 AND 14"),
+        ("valid_date_range", "s_rec_end_date IS NULL OR s_rec_start_date <= s_rec_end_date"),
+    ),
+}
+
+
+def _expectations(p: str, action: str | None) -> str:
+    parts = []
+    for table, source in SILVER_TABLES.items():
+        dropping = SALES_CHECKS if source == "sales" else DIMENSION_CHECKS[source][1:]
+        listed = [(n, c, "drop") for n, c in dropping if action != "monitor"]
+        listed += [(n, c, "monitor") for n, c in MONITORS.get(source, ())]
+        for name, check, kind in listed:
+            parts.append(
+                f"""SELECT {text(table)} AS object_name, {text(name)} AS expectation, {text(kind)} AS action,
+                count(*) FILTER (WHERE {check}) AS passed_rows,
+                count(*) - count(*) FILTER (WHERE {check}) AS failed_rows FROM {p}{source}"""
+            )
+    return _union(parts)
+
+
+def _rule_status(p: str) -> str:
+    parts = []
+    checks = dict(c for listed in DIMENSION_CHECKS.values() for c in listed[1:]) | dict(SALES_CHECKS)
+    for r in RULES:
+        if r.layer != "silver" or r.action != "EXPECT":
+            continue
+        met = f"count(*) FILTER (WHERE {checks[r.rule_id]})"
+        parts.append(
+            f"""SELECT 'declarative' AS paradigm, 'silver' AS layer, {text(r.object_name)} AS object_name,
+            {text(r.rule_id)} AS rule_id, {text(r.group)} AS rule_group,
+            CASE WHEN {met} = count(*) THEN 'PASS' ELSE 'FAIL' END AS rule_status,
+            count(*) - {met} AS violating_rows, {met} AS matching_rows FROM {p}{SILVER_TABLES[r.object_name]}"""
+        )
+    return _union(parts)
+
+
 def _dimension_rejects() -> str:
     names = {"date": "silver_date_dim", "item": "silver_item", "store": "silver_store", "customer": "silver_customer"}
     parts = []
@@ -659,12 +729,12 @@ def statements() -> dict[str, str]:
             }
         )
         + ") n ON c.object_name = n.object_name",
-        "silver_issues": _union([_issue_sql(s, "u_" + SILVER_TABLES[s.object_name]) for s in SILVER_ISSUES]),
-        "gold_issues": _union([_issue_sql(s, "gu_" + GOLD_TABLES[s.object_name]) for s in GOLD_ISSUES]),
+        "silver_issues": _union([_issue_sql(i, "u_" + SILVER_TABLES[i[0]]) for i in SILVER_ISSUES]),
+        "gold_issues": _union([_issue_sql(i, "gu_" + GOLD_TABLES[i[0]]) for i in GOLD_ISSUES]),
         "sales_quarantine": _union(
             [
                 _issue_sql(
-                    s,
+                    i,
                     "annotated_latest",
                     """, ss_sold_date_sk, ss_sold_time_sk, ss_quantity, CAST(ss_sales_price AS DOUBLE) AS ss_sales_price,
                     CAST(ss_list_price AS DOUBLE) AS ss_list_price,
@@ -672,7 +742,7 @@ def statements() -> dict[str, str]:
                     CAST(ss_net_profit AS DOUBLE) AS ss_net_profit,
                     CAST(ingestion_timestamp AS VARCHAR) AS ingestion_timestamp, source_table, cast_failed""",
                 )
-                for s in QUARANTINE_RULES
+                for i in QUARANTINE
             ]
         ),
         "rule_status": _rule_status("u_"),

@@ -15,6 +15,7 @@ from oresmith.functions.text import (
     layer_of,
     normalize_for_clones,
 )
+from oresmith.session import shared_folder, stored
 
 # Line ends, and the white space that may surround a line.
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
@@ -105,9 +106,11 @@ def clone_report(df: DataFrame, text: str, by: str) -> DataFrame:
 
     A block that occurs once in all groups is charged to the one group it is in, so nothing is
     joined back on the block and no two copies of a block have to meet. Pairs of equal blocks
-    inside a group follow from their number.
+    inside a group follow from their number. The counts per block and group are stored, so the
+    texts are read once; the call runs that job.
     """
     per_group = normalized_blocks(df, text, [by]).groupBy("block", by).agg(row_count().alias("n"))
+    per_group = stored(per_group, shared_folder(df.sparkSession, "clones"), "blocks")
     totals = per_group.groupBy(by).agg(
         F.sum("n").alias("total_blocks"),
         row_count().alias("distinct_blocks"),

@@ -2,8 +2,10 @@
 
 import re
 
+import pytest
+
 from oresmith.plans import gold, silver
-from oresmith.plans.queries import SALES_TIES, Star
+from oresmith.plans.queries import QUERIES, SALES_TIES, Star
 from oresmith.quality.metrics import rule_status, table_profile
 
 from conftest import SMALL
@@ -62,3 +64,34 @@ def test_no_python_workers_and_no_products(spark):
 
 def test_ties_are_needed_only_where_loads_repeat(star):
     assert silver.latest_sales(star.bronze["bronze_store_sales"], SALES_TIES).count() == 5942
+
+
+@pytest.mark.parametrize(
+    "name, scans",
+    [
+        # Complete and incomplete keys are two filters over the stored raw fact.
+        ("sales_quarantine", {"bronze_store_sales": 2, "silver_store_sales": 0, "gold_fact_store_sales": 0}),
+        ("silver_issues", {"bronze_store_sales": 0, "silver_store_sales": 1, "silver_item": 1}),
+        ("rule_status", {"bronze_store_sales": 0, "silver_store_sales": 1, "silver_item": 1}),
+        ("expectation_counts", {"bronze_store_sales": 0, "silver_store_sales": 1, "silver_item": 1}),
+        # The fact's own row, and the monthly leaders made of it.
+        ("gold_issues", {"silver_store_sales": 0, "gold_fact_store_sales": 2}),
+        ("gold_metrics", {"silver_store_sales": 0, "gold_fact_store_sales": 2}),
+        ("gold_observability", {"silver_store_sales": 0, "gold_fact_store_sales": 2}),
+        ("rule_catalog", {"bronze_store_sales": 1, "silver_store_sales": 1, "gold_fact_store_sales": 2}),
+    ],
+)
+def test_quality_queries_derive_the_fact_once(spark, name, scans):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # whole paths in the plan
+    try:
+        plan = plan_of(QUERIES[name](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "lineitem.parquet" not in plan
+    assert {t: len(re.findall(rf"/star-[0-9a-f]+/{t}\b", plan)) for t in scans} == scans
+
+
+def test_one_pass_over_texts_and_lines(spark):
+    assert "documents.parquet" not in plan_of(QUERIES["kpi_summary"](spark, SMALL))
+    assert "documents.parquet" not in plan_of(QUERIES["clone_blocks"](spark, SMALL))
+    assert plan_of(QUERIES["change_per_doubling"](spark, SMALL)).count("lineitem.parquet") == 1

@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import check_results
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from oracle.statements import statements
+from oresmith.plans.queries import QUERIES
 
 from conftest import SMALL
 
@@ -21,9 +23,9 @@ def connection():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, connection):
-    outcome = check_results.compare(spark, connection, name, queries()[name], oracle_sql()[name], SMALL)
+    outcome = check_results.compare(spark, connection, name, QUERIES[name], statements()[name], SMALL)
     assert outcome.startswith("ok"), outcome
 
 
@@ -32,4 +34,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(statements()) and set(QUERIES) <= set(queries())
