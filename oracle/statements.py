@@ -798,11 +798,11 @@ def statements() -> dict[str, str]:
             CAST(sum(touch_points) AS BIGINT) AS touch_points, CAST(sum(row_count) AS BIGINT) AS rows_governed,
             CAST(count(*) * sum(touch_points) AS BIGINT) AS complexity_score
             FROM (SELECT change_scenario, object_name, count(*) AS touch_points FROM (
-                    SELECT 'add_rule_to_all_customer_tables' AS change_scenario, object_name
+                    SELECT 'every_customer_table' AS change_scenario, object_name
                     FROM ({_catalog_values()}) a WHERE object_name LIKE '%customer%'
-                    UNION ALL SELECT 'modify_rule_group_key_completeness', object_name
+                    UNION ALL SELECT 'all_key_completeness_rules', object_name
                     FROM ({_catalog_values()}) b WHERE rule_group = 'KEY_COMPLETENESS'
-                    UNION ALL SELECT 'modify_rule_silver_001', object_name
+                    UNION ALL SELECT 'first_silver_rule', object_name
                     FROM ({_catalog_values()}) c WHERE rule_id = 'DP_SILVER_001') touched
                   GROUP BY ALL) t
             JOIN ({_row_counts({**BRONZE_TABLES, 'silver_date_dim': 's_date', 'silver_customer': 's_customer', 'gold_dim_customer': 's_customer'})}) n

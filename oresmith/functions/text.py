@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Regular expressions of the clone normaliser, in the order they apply.
+# Regular expressions of the clone normaliser, in the order they apply. Looking for
+# a digit first changes no match; it spares the costlier word-border test at other characters.
 CLONE_PATTERNS = (
     (r""""[^"\n]*"|'[^'\n]*'""", "STR"),
     (r"(?U)(?=\d)\b\d+\b", "NUM"),

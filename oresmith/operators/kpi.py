@@ -166,9 +166,9 @@ class Scenario:
 
 
 CHANGE_SCENARIOS = (
-    Scenario("add_rule_to_all_customer_tables", "object_name LIKE '%customer%'"),
-    Scenario("modify_rule_group_key_completeness", "rule_group = 'KEY_COMPLETENESS'"),
-    Scenario("modify_rule_silver_001", "rule_id = 'DP_SILVER_001'"),
+    Scenario("every_customer_table", "object_name LIKE '%customer%'"),
+    Scenario("all_key_completeness_rules", "rule_group = 'KEY_COMPLETENESS'"),
+    Scenario("first_silver_rule", "rule_id = 'DP_SILVER_001'"),
 )
 
 

@@ -81,11 +81,11 @@ def test_change_per_doubling_matches_published_figures(spark):
 def test_rule_impact(spark):
     counts = spark.createDataFrame([("silver_date_dim", 10), ("bronze_customer", 5)], "object_name string, row_count bigint")
     got = {r.change_scenario: r for r in kpi.rule_impact(catalog_frame(spark), counts).collect()}
-    customer = got["add_rule_to_all_customer_tables"]
+    customer = got["every_customer_table"]
     assert (customer.objects_touched, customer.touch_points, customer.complexity_score) == (3, 5, 15)
-    complete = got["modify_rule_group_key_completeness"]
+    complete = got["all_key_completeness_rules"]
     assert (complete.objects_touched, complete.touch_points, complete.complexity_score) == (5, 12, 60)
-    single = got["modify_rule_silver_001"]
+    single = got["first_silver_rule"]
     assert (single.objects_touched, single.touch_points, single.rows_governed) == (1, 1, 10)
 
 
