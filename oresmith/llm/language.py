@@ -83,7 +83,7 @@ class StringKernelClassifier:
         return languages, scores
 
 
-def fit(places: list[np.ndarray], languages: list[str], landmarks: int = 160, ridge: float = 1e-3) -> StringKernelClassifier:
+def fit(places: list[np.ndarray], languages: list[str], landmarks: int = 160, ridge: float = 1e-4) -> StringKernelClassifier:
     """Kernel ridge regression on texts given by their places, in the order given.
 
     Landmarks are the first texts of each language, as many of each as there are. The Nystrom

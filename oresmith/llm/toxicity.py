@@ -66,9 +66,9 @@ def fit(
     bits: int,
     rank: int = 8,
     z: float = 3.5,
-    epochs: int = 200,
+    epochs: int = 400,
     rate: float = 0.05,
-    decay: float = 1e-3,
+    decay: float = 1e-4,
     seed: int = 7,
 ) -> FactorizationMachine:
     """Learn from hash places of texts and labels of 0 and 1 by Adam on the logistic loss.
