@@ -47,8 +47,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    left = line_dedup.without_repeated_lines(docs, "doc_id", "text").where("NOT emptied")
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    # Whatever the columns are called, they come back beside the counts.
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    names = dict(zip(docs.columns, plain))
+    left = line_dedup.without_repeated_lines(docs.toDF(*plain), names["doc_id"], names["text"]).where("NOT emptied")
+    left = left.select(*plain).toDF(*docs.columns)
+    return left.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     others = stored(others, step_folder(spark, "others"), "ids").withColumnRenamed("doc_id", "other_id")
     # The ids that go are broadcast only where a count shows that they are few.
     others = F.broadcast(others) if bounded(others, _FEW) else others
-    return docs.join(others, F.col("doc_id").eqNullSafe(F.col("other_id")), "left_anti")
+    return docs.join(others, docs["doc_id"].eqNullSafe(others["other_id"]), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,14 @@ def test_odd_rows_pass_every_stage(spark, rows, tmp_path):
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} <= {2}
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    rows = [(1, "some words here and there", "en", "s", 25, 7, 8, True, 9), (2, "some words here and there", "en", "s", 25, 7, 8, True, 9)]
+    docs = spark.createDataFrame(rows, COLUMNS + ", n_lines long, other_id long, emptied boolean, component_id long")
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), str(tmp_path), name)
+        assert all(tuple(r)[5:] == (7, 8, True, 9) for r in docs.collect())
+    assert [r["doc_id"] for r in docs.collect()] == [1]
