@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from oresmith.plans import gold, silver
 from oresmith.plans.bronze import SOURCES, bronze_ingest
 from oresmith.plans.contracts import cast_failure_report
-from oresmith.quality.enforce import expectation_report
+from oresmith.quality.enforce import expectation_report, monitor_report, monitored
 from oresmith.quality.issues import issues
 from oresmith.quality.metrics import (
     bronze_metrics,
@@ -20,7 +20,7 @@ from oresmith.quality.metrics import (
     gold_observability,
     rule_status,
 )
-from oresmith.rules.catalog import GOLD_ISSUES, SILVER_ISSUES, catalog_frame
+from oresmith.rules.catalog import GOLD_ISSUES, SILVER_ISSUES, catalog_frame, expectations
 from oresmith.rules.model import DECLARATIVE
 from oresmith.sources.tables import Builder, TableSpace, run_layer
 
@@ -64,12 +64,15 @@ def bronze_builders(sources: Mapping[str, DataFrame], loaded_at: str | None = No
 
 
 def silver_builders(
-    tie_break: Mapping[str, Sequence[str]] | None = None, variant: str = DECLARATIVE
+    tie_break: Mapping[str, Sequence[str]] | None = None,
+    variant: str = DECLARATIVE,
+    observations: dict[str, Observation] | None = None,
 ) -> dict[str, Builder]:
     """Dimensions, then the fact.
 
     Every table is deduplicated once, into a staging table; the silver table and what is kept
-    out of it are two filters over that.
+    out of it are two filters over that. ``observations`` receives the monitors of every
+    dimension, counted while it is written.
     """
     ties = tie_break or {}
 
@@ -78,7 +81,13 @@ def silver_builders(
         return lambda s: silver.latest_dimension(name, s.read(bronze), ties.get(bronze))
 
     def kept(name: str) -> Builder:
-        return lambda s: silver.kept_dimension(name, s.read(staged(name)))
+        def build(s: TableSpace) -> DataFrame:
+            rows = silver.kept_dimension(name, s.read(staged(name)))
+            if observations is not None and expectations(name, "monitor"):
+                rows, observations[name] = monitored(rows, name)
+            return rows
+
+        return build
 
     def rejects(s: TableSpace) -> DataFrame:
         frames = [silver.dimension_rejects(n, s.read(staged(n))) for n in silver.BUILDERS]
@@ -114,7 +123,16 @@ def gold_builders(as_of: date | None = None, null_ratio: str = "zero") -> dict[s
     }
 
 
-def quality_builders(variant: str = DECLARATIVE) -> dict[str, Builder]:
+def quality_builders(
+    variant: str = DECLARATIVE, observations: Mapping[str, Observation] | None = None
+) -> dict[str, Builder]:
+    """Quality tables over what is stored; monitors from ``observations`` where they are given."""
+
+    def monitors(s: TableSpace) -> DataFrame:
+        if observations is not None:
+            return monitor_report(s.spark, observations)
+        return expectation_report(stored(s, SILVER_TABLES), "monitor")
+
     def stored(s: TableSpace, names: Sequence[str]) -> dict[str, DataFrame]:
         return {n: s.read(n) for n in names}
 
@@ -128,7 +146,7 @@ def quality_builders(variant: str = DECLARATIVE) -> dict[str, Builder]:
         "dq_silver_dropped": lambda s: expectation_report(
             {**{n: s.read(staged(n)) for n in silver.BUILDERS}, "silver_store_sales": s.read(ANNOTATED)}, "drop"
         ),
-        "dq_silver_monitors": lambda s: expectation_report(stored(s, SILVER_TABLES), "monitor"),
+        "dq_silver_monitors": monitors,
         "dq_silver_issues": lambda s: issues(stored(s, SILVER_TABLES), SILVER_ISSUES, variant),
         "dq_silver_rule_status": lambda s: rule_status(stored(s, SILVER_TABLES), variant=variant),
         "dq_gold_issues": lambda s: issues(stored(s, GOLD_TABLES), GOLD_ISSUES, variant),
@@ -150,10 +168,11 @@ def run_all(
 ) -> dict[str, int]:
     """All layers of one run; returns the stored row count per table."""
     null_ratio = "zero" if variant == DECLARATIVE else "null"
+    observations: dict[str, Observation] = {}
     builders = {
         **bronze_builders(sources, loaded_at),
-        **silver_builders(tie_break, variant),
+        **silver_builders(tie_break, variant, observations),
         **gold_builders(as_of, null_ratio),
-        **quality_builders(variant),
+        **quality_builders(variant, observations),
     }
     return run_layer(space, builders, COMMENTS, partition_by)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from oresmith.functions.aggregates import count_if, row_count
@@ -64,3 +64,17 @@ def monitored(df: DataFrame, object_name: str) -> tuple[DataFrame, Observation]:
     observation = Observation(f"{object_name}_monitors")
     counts = [count_if(violates(r.predicate)).alias(r.name) for r in expectations(object_name, "monitor")]
     return df.observe(observation, row_count().alias("row_count"), *counts), observation
+
+
+REPORT_SCHEMA = "object_name string, expectation string, action string, passed_rows bigint, failed_rows bigint"
+
+
+def monitor_report(spark: SparkSession, observations: Mapping[str, Observation]) -> DataFrame:
+    """``expectation_report`` of the monitors, from what was counted while tables were written."""
+    rows = []
+    for name, observation in observations.items():
+        counts = observation.get
+        for rule in expectations(name, "monitor"):
+            failed = counts[rule.name]
+            rows.append((name, rule.name, rule.action, counts["row_count"] - failed, failed))
+    return spark.createDataFrame(rows, REPORT_SCHEMA)

@@ -6,6 +6,7 @@ from oresmith.plans import gold, silver
 from oresmith.plans.contracts import CUSTOMER, DATE, ITEM, LINEAGE, SALES, STORE
 from oresmith.plans.layers import run_all
 from oresmith.plans.queries import AS_OF, SALES_TIES
+from oresmith.quality.enforce import expectation_report
 from oresmith.quality.issues import ISSUE_COLUMNS, issues
 from oresmith.quality.metrics import bronze_metrics, gold_metrics, rule_status, table_profile
 from oresmith.rules.catalog import GOLD_ISSUES, QUARANTINE_RULES, SILVER_ISSUES
@@ -184,6 +185,9 @@ def test_a_whole_run(spark, star):
     assert counts["dq_silver_monitors"] == 6
     assert same_rows(space.read("gold_top_items_month"), star.gold["gold_top_items_month"])
     assert space.read("dq_silver_rule_status").where("rule_status = 'FAIL'").isEmpty()
+    # Monitors counted during the write equal those counted on the stored tables.
+    tables = {n: space.read(n) for n in ("silver_date_dim", "silver_item", "silver_store", "silver_customer")}
+    assert same_rows(space.read("dq_silver_monitors"), expectation_report(tables, "monitor"))
     # What the run drops is recorded: by rule before enforcement, and row by row.
     dropped = {(r.object_name, r.expectation): r.failed_rows for r in space.read("dq_silver_dropped").collect()}
     assert dropped["silver_customer", "valid_birth_year"] > 0 or sum(dropped.values()) > 0
