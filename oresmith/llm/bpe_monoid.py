@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LEAF = 6
 _REMEMBERED_WINDOW = 16
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +65,7 @@ class BpeMonoid:
         key = (left, right)
         found = self._neighbours.get(key)
         if found is None:
-            if len(self._neighbours) > _REMEMBERED:
+            if len(self._neighbours) > _REMEMBERED // 2:
                 self._neighbours.clear()
             found = self._neighbours[key] = self.merge(left + right) == [left, right]
         return found
@@ -93,7 +93,7 @@ class BpeMonoid:
             return self.merge(data)
         found = self._short.get(data)
         if found is None:
-            if len(self._short) > _REMEMBERED:
+            if len(self._short) > _REMEMBERED // 2:
                 self._short.clear()
             found = self._short[data] = self.merge(data)
         return found

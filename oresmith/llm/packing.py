@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -158,14 +158,19 @@ class DocumentTokens:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         self.special = [t["content"] for t in parts["added_tokens"]]
         self.fast = self._rank_encoder(parts)
 
+    @cached_property
+    def tokenizer(self):
+        """Read only for texts that need it: the two encoders side by side take twice the memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _rank_encoder(self, parts: dict):
         import public_tokenizers
         import tiktoken

@@ -40,7 +40,7 @@ WIDTH, PERCENT = 3, 90
 _LEFT_OUT, _PARTS = 1, 2  # parts left out of a signature, and parts of a group
 _BLOCK = 256
 _FEW = 3_000_000  # rows of one or two 64-bit numbers
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 
 
 # ---------------------------------------------------------------- sets of shingles
