@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+
 def url_sql(patterns: list[str]) -> str:
     lower = "translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     cases = []
-    for p in sorted(patterns, key=lambda p: -len(p)):
+    for p in sorted(patterns, key=lambda p: (len(p), p), reverse=True):
         start, rest = "(^|[^a-z0-9_.%-])", p[1:].replace(".", "[.]").replace("*", ".*").replace("^", "([^a-z0-9_.%-]|$)")
         cases.append(f"WHEN regexp_matches({lower}, '{start}{rest}', 's') THEN 'pattern:{p}'")
     fits = "((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"

@@ -30,7 +30,8 @@ _SEPARATOR = r"(?:[^a-z0-9_.%-]|$)"
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A pattern with a verdict. Of the rules that fit a url, the one of highest rank counts."""
+    """A pattern with a verdict. Of the rules that fit a url, the one of highest rank counts; of
+    equal ranks, the one of greatest name."""
 
     name: str
     pattern: str
@@ -96,7 +97,7 @@ class RuleIndex:
             candidates += self.filed.get(token, ())
         cased = _lower_host(url)
         fitting = [rule for rule, regex in candidates if regex.search(cased if rule.match_case else lower)]
-        return max(fitting, key=lambda r: r.rank, default=None)
+        return max(fitting, key=lambda r: (r.rank, r.name), default=None)
 
 
 def host_and_path(url: str | Column) -> tuple[Column, Column]:

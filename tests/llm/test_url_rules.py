@@ -13,7 +13,7 @@ def brute(url, rules):
         return None
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in url)
     fitting = [r for r in rules if re.search(r.regex, url_rules._lower_host(url) if r.match_case else lower)]
-    return max(fitting, key=lambda r: r.rank, default=None)
+    return max(fitting, key=lambda r: (r.rank, r.name), default=None)
 
 
 def by_contract(url):
