@@ -7,7 +7,8 @@ reads again for the next one. All but the last return the columns of ``documents
 2. language: documents without a letter go, and those whose language stays open;
 3. line_dedup: lines with an earlier equal or near line go, and with them documents of which
    nothing visible is left; ``n_chars`` follows the text;
-4. jaccard_join: of each group of near-duplicate documents the one of smallest id stays;
+4. jaccard_join: of each group of near-duplicate documents (Jaccard index of 0.8 or more over
+   5-word shingles) the one of smallest id stays;
 5. packing: pieces of token sequences of 1024 ids.
 
 A NULL text counts as empty: it is not toxic, has no language, and so goes in stage 2. Rows that
@@ -27,6 +28,7 @@ from oresmith.llm.queries import PACK_TOKENIZER
 
 TOXIC_FROM = 0.3
 LANGUAGE_FROM = 0.3
+NEAR_PERCENT, NEAR_WIDTH = 80, 5
 _FEW = 2_000_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -57,7 +59,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    groups = partenum.jaccard_components(docs, "doc_id", "text")
+    groups = partenum.jaccard_components(docs, "doc_id", "text", percent=NEAR_PERCENT, width=NEAR_WIDTH)
     others = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     others = stored(others, step_folder(spark, "others"), "ids").withColumnRenamed("doc_id", "other_id")
     # The ids that go are broadcast only where a count shows that they are few.

@@ -58,6 +58,29 @@ def test_one_document_of_each_group_stays(results):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(doc for doc, _, group in groups if doc == group)
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    def grams(text):
+        words = text.split()
+        return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    base = [f"w{i}" for i in range(100)]
+    texts = {}
+    for doc, changed in enumerate([(), (50,), (20, 70), (20, 50, 80)], 1):
+        texts[doc] = " ".join("x" if i in changed else w for i, w in enumerate(base))
+    similar = {d: len(grams(texts[1]) & grams(t)) / len(grams(texts[1]) | grams(t)) for d, t in texts.items()}
+    assert similar[2] >= 0.8 and similar[3] >= 0.8 > similar[4]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], COLUMNS)
+    left = sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SMALL).collect())
+    chained = [d for d in texts if d > 1 and any(len(grams(texts[d]) & grams(texts[e])) >= 0.8 * len(grams(texts[d]) | grams(texts[e])) for e in texts if e < d)]
+    assert left == [d for d in texts if d not in chained]
+
+
+def test_jaccard_stage_against_brute_force_of_its_own_bound(results):
+    _, before, after = results[3]
+    groups = brute([(r["doc_id"], r["text"]) for r in before.collect()], percent=80, width=5)
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(doc for doc, _, group in groups if doc == group)
+
+
 def test_packed_pieces_are_the_documents_left(results):
     _, before, after = results[4]
     check(after.collect(), {r["doc_id"]: r["text"] for r in before.collect()})
