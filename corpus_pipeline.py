@@ -8,11 +8,11 @@ reads again for the next one. All but the last return the columns of ``documents
 3. line_dedup: lines with an earlier equal or near line go, and with them documents of which
    nothing visible is left; ``n_chars`` follows the text;
 4. jaccard_join: of each group of near-duplicate documents (Jaccard index of 0.8 or more over
-   5-word shingles) the one of smallest id stays;
+   5-word shingles) one row stays, that of the smallest id, NULL last;
 5. packing: pieces of token sequences of 1024 ids.
 
-A NULL text counts as empty: it is not toxic, has no language, and so goes in stage 2. Rows that
-repeat an id are judged one by one in stages 1 to 3 and stay or go together in stage 4.
+A NULL text counts as empty: it is not toxic, has no language, and so goes in stage 2. Rows are
+judged one by one, whether they repeat an id or have none.
 """
 
 from __future__ import annotations
@@ -59,12 +59,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    groups = partenum.jaccard_components(docs, "doc_id", "text", percent=NEAR_PERCENT, width=NEAR_WIDTH)
-    others = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    others = stored(others, step_folder(spark, "others"), "ids").withColumnRenamed("doc_id", "other_id")
-    # The ids that go are broadcast only where a count shows that they are few.
+    folder = step_folder(spark, "one-of-each-group")
+    # Whatever the columns are called, they come back beside the row's own key.
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    names = dict(zip(docs.columns, plain))
+    # The key is stored with its row, so a repeated task cannot number rows anew.
+    rows = stored(docs.toDF(*plain).withColumn("row_key", F.monotonically_increasing_id()), folder, "rows")
+    groups = partenum.jaccard_components(rows, "row_key", names["text"], percent=NEAR_PERCENT, width=NEAR_WIDTH)
+    members = groups.join(rows.select("row_key", F.col(names["doc_id"]).alias("doc")), "row_key")
+    members = stored(members.select("row_key", "doc", "component_id"), folder, "members")
+    first = F.min(F.struct(F.col("doc").isNull(), "doc", "row_key")).alias("first")
+    firsts = members.groupBy("component_id").agg(first).select("first.row_key")
+    others = stored(members.select("row_key").join(firsts, "row_key", "left_anti"), folder, "others")
+    # The keys that go are broadcast only where a count shows that they are few.
     others = F.broadcast(others) if bounded(others, _FEW) else others
-    return docs.join(others, docs["doc_id"].eqNullSafe(others["other_id"]), "left_anti")
+    return rows.join(others, "row_key", "left_anti").select(*plain).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,21 @@ def test_jaccard_stage_against_brute_force_of_its_own_bound(results):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(doc for doc, _, group in groups if doc == group)
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_go_by_their_own_text(spark):
+    prose = [f"{name} one two three four five six seven" for name in "abcde"]
+    rows = [
+        (1, prose[0]), (None, prose[0]), (None, prose[1]),  # only the copy without an id goes
+        (2, prose[0]), (2, prose[2]),  # only the copy of two texts under one id goes
+        (3, prose[3]), (3, prose[3]),  # one of two equal rows stays
+        (None, prose[4]), (None, prose[4]), (None, prose[4]),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], COLUMNS)
+    left = corpus_pipeline.keep_one_of_each_group(spark, docs, SMALL)
+    assert left.schema == docs.schema
+    expected = [(1, prose[0]), (2, prose[2]), (3, prose[3]), (None, prose[1]), (None, prose[4])]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_packed_pieces_are_the_documents_left(results):
     _, before, after = results[4]
     check(after.collect(), {r["doc_id"]: r["text"] for r in before.collect()})
