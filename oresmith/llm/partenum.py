@@ -11,11 +11,11 @@ are similar enough share a signature. Bands of a bound of 0 need none: there onl
 are similar.
 
 Equal sets are one node. The sets under one signature are compared in two steps that never pair
-all of them. First each is verified against the most central set under the signature, which
-joins nearly all members of a family of copies into one component. Then only sets of different
-components are compared, in blocks of bounded size: a sketch with a checksum for each of
-4 (k + 1) parts gives a lower bound of the difference (the parts that differ), and only pairs
-within their bound leave the block and are verified. Both steps are exact. Links inside a
+all of them. First each is compared with the most central set under the signature, by sketch
+and then whole, which joins nearly all members of a family of copies into one component. Then only sets of different
+components are compared, in blocks of bounded size: a sketch of one bit for each of 4 (k + 1) parts gives a
+lower bound of the difference (the bits that differ), and only pairs within their bound leave
+the block and are verified. Both steps are exact. Links inside a
 component are not needed, since the result is each document's component.
 
 Shingles and sets are told apart by 64-bit hashes.
@@ -142,9 +142,13 @@ def signatures(values: np.ndarray, band: int, percent: int) -> np.ndarray:
 
 
 def sketch(values: np.ndarray, band: int, percent: int) -> bytes:
-    """One byte for each of 4 (k + 1) parts; sets differ at least as often as their bytes do."""
-    sums = _part_sums(values, 4 * (band_bound(band, percent) + 1), 1_000_003 + band)
-    return (_mixed(sums) >> np.uint64(56)).astype(np.uint8).tobytes()
+    """One bit for each of 4 (k + 1) parts or more: whether it holds an odd number of shingles.
+
+    Every shingle of only one of two sets turns one bit, so they differ at least as often as their bits do.
+    """
+    parts = max(64, 4 * (band_bound(band, percent) + 1))
+    part = (_mixed(values + np.uint64(1_000_003 + band)) >> np.uint64(32)) % np.uint64(parts)
+    return np.packbits(np.bincount(part.astype(np.int64), minlength=parts) & 1 > 0).tobytes()
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -220,6 +224,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("sizes") - F.col("i"))).select("a", "b")
 
 
+def _close_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b, sizes, marks) that their sketches leave within the bound.
+
+    ``marks`` is 2 where a's sketch is that of its own band, plus 1 where b's is.
+    """
+
+    @F.pandas_udf("int")
+    def different(x: pd.Series, y: pd.Series) -> pd.Series:
+        counts = [np.bitwise_count(np.frombuffer(s, np.uint8) ^ np.frombuffer(t, np.uint8)).sum(dtype=int) for s, t in zip(x, y)]
+        return pd.Series(counts, dtype="int32")
+
+    both = pairs
+    for end, own in (("a", F.col("marks") >= 2), ("b", F.col("marks") % 2 == 1)):
+        marks = sets.select(F.col("node").alias(end), F.col("own").alias("own_mark"), F.col("following").alias("next_mark"))
+        both = both.join(marks, end)
+        both = both.withColumn(f"mark_{end}", F.when(own, F.col("own_mark")).otherwise(F.col("next_mark")))
+        both = both.drop("own_mark", "next_mark")
+    bound = F.expr(f"sizes * {100 - percent} div {100 + percent}")
+    return both.where(different("mark_a", "mark_b") <= bound).select("a", "b")
+
+
 def _block_candidates(percent: int):
     """Pairs within their bound by sketch, of different components, from rows sorted by block key.
 
@@ -239,7 +264,7 @@ def _block_candidates(percent: int):
             j = j[most_different(n[j] + n[i], percent) >= np.abs(n[j] - n[i])]
             if not len(j):
                 continue
-            different = (marks[j] != marks[i]).sum(1)
+            different = np.bitwise_count(marks[j] ^ marks[i]).sum(1, dtype=int)
             j = j[different <= most_different(n[j] + n[i], percent)]
             if len(j):
                 found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
@@ -315,13 +340,20 @@ def jaccard_components(
     sizes = stored(members.groupBy("signature").agg(F.count(F.lit(1)).alias("held")), folder, "sizes")
     central = members.join(sizes, "signature").groupBy("node").agg(F.sum("held").alias("weight"))
     weighted = stored(members.join(central, "node"), folder, "weighted")
-    heads = weighted.groupBy("signature").agg(F.max(F.struct("weight", "node", "n")).alias("head"))
-    heads = stored(heads.select("signature", F.col("head.node").alias("head"), F.col("head.n").alias("m")), folder, "heads")
+    heads = weighted.groupBy("signature").agg(F.max(F.struct("weight", "node", "n", "own")).alias("head"))
+    heads = heads.select("signature", F.col("head.node").alias("head"), F.col("head.n").alias("m"), F.col("head.own").alias("head_own"))
+    heads = stored(heads, folder, "heads")
     near_size = F.expr(f"(n + m) * {100 - percent} div {100 + percent} >= abs(n - m)")
     star = weighted.join(heads, "signature").where("node <> head").where(near_size)
-    star = star.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    star = stored(star, folder, "star")
-    links = stored(_linked(star, sets, percent), folder, "star-links")
+    star = star.select(
+        F.least("node", "head").alias("a"),
+        F.greatest("node", "head").alias("b"),
+        (F.col("n") + F.col("m")).alias("sizes"),
+        F.expr("if(if(node < head, own, head_own), 2, 0) + if(if(node < head, head_own, own), 1, 0)").alias("marks"),
+    )
+    star = stored(star.groupBy("a", "b", "sizes").agg(F.min("marks").alias("marks")), folder, "star")
+    near = stored(_close_by_sketch(star, sets, percent), folder, "star-close")
+    links = stored(_linked(near, sets, percent), folder, "star-links")
     known = components(links, f"{folder}/first")
 
     # Second step: sets of different components under a signature, in blocks.

@@ -97,6 +97,24 @@ def test_a_sketch_never_overstates_the_difference():
         assert (x != y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_a_sketch_is_small_and_tells_other_sets_apart():
+    choose = np.random.default_rng(4)
+    for n, percent in [(1757, 80), (1757, 90), (100, 80)]:
+        band = partenum.band_of(n, percent)
+        a, b = (np.frombuffer(partenum.sketch(np.unique(choose.integers(0, 1 << 63, n, dtype=np.uint64)), band, percent), np.uint8) for _ in "ab")
+        assert len(a) <= max(8, partenum.band_bound(band, percent) / 2 + 1)
+        assert np.bitwise_count(a ^ b).sum(dtype=int) > partenum.most_different(2 * n, percent)
+
+
+def test_five_words_and_four_fifths(spark, monkeypatch):
+    docs = families(8, [5, 12, 30, 80, 200], 12, [0, 1, 2, 3, 4])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (256, 4):
+        monkeypatch.setattr(partenum, "_BLOCK", block)
+        rows = partenum.jaccard_components(frame, "doc_id", "text", percent=80, width=5).collect()
+        assert sorted([tuple(r) for r in rows], key=repr) == brute(docs, 80, 5)
+
+
 def test_odd_rows(spark, odd_docs):
     rows = partenum.jaccard_components(odd_docs, "doc_id", "text").collect()
     found = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows], key=repr)
