@@ -3,11 +3,13 @@
 Vectors are cut into overlapping shards: each goes to its nearest cluster, its home, and to the
 next nearest. Within a shard, every vector gets its nearest others as candidates, of which robust
 pruning keeps those that no kept one already covers; the lists of all shards are united per
-vector. Then each vector is searched for in its home shard: a greedy search from the shard's
-medoids walks towards it, and around what is in range the search spreads until it meets nothing
-new. A sample of every search is audited against a comparison with the whole shard; where too
-little was found, that shard is compared exhaustively. What is found is verified in double
-precision.
+vector. Then each vector is searched for in every shard that can be the home of a vector
+within range, by its place between the centres, and each find counts at its home only: a greedy
+search from the shard's medoids walks towards the vector, and around what is in range the search
+spreads until it meets nothing new. A sample of every search is audited against a comparison with
+the whole shard; where too little was found, that shard is compared exhaustively. As no other
+shard can hold a partner's home, these audits together cover all rows of a label. What is found
+is verified in double precision.
 
 Exactly equal vectors of a label are one node with a count. A shard that outgrows its bound is
 dealt into disjoint parts by a hash, and its queries into blocks; each block is searched for in
@@ -52,6 +54,28 @@ def cluster_centres(sample: np.ndarray, clusters: int, rounds: int = 8) -> np.nd
     return centres
 
 
+def clusters_to_search(unit: np.ndarray, centres: np.ndarray, cosine: float) -> list[np.ndarray]:
+    """For each unit vector its OVERLAP nearest clusters, nearest first, then all others that can be home of a partner.
+
+    A partner p whose home is c lies no further from c than from the vector's own centre o, so
+    p (c - o) is not negative; over all p within range its largest value is that of a p on the
+    border of the range, in the plane of the vector and c - o.
+    """
+    gram, squares = centres @ centres.T, np.einsum("cd,cd->c", centres, centres)
+    chosen = []
+    for part in _slices(unit, 1024):
+        sims = part @ centres.T
+        order = np.argsort(-sims, axis=1, kind="stable")
+        home = order[:, 0]
+        along = sims - sims[np.arange(len(part)), home][:, None]
+        across = np.sqrt(np.maximum(squares + squares[home][:, None] - 2 * gram[home] - along**2, 0))
+        within = cosine * along + np.sqrt(max(1 - cosine**2, 0)) * across >= -1e-9
+        taken = np.take_along_axis(within, order, 1)
+        taken[:, :OVERLAP] = True
+        chosen += [o[t].astype(np.int32) for o, t in zip(order, taken)]
+    return chosen
+
+
 # ---------------------------------------------------------------- graph of one shard
 
 
@@ -204,11 +228,12 @@ def _roots_of_links(query_ids: np.ndarray, ids: np.ndarray, q: np.ndarray, row:
 def _links(members: pd.DataFrame, queries: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """(id, links, root) for the queries and the members they link with, in one part of a shard.
 
-    ``links`` counts the other vectors within range, copies included; ``root`` joins those that
-    links of this part connect.
+    ``links`` counts the other vectors within range that are at home here, copies included;
+    ``root`` joins those that links of this part connect. Vectors without any are left out.
     """
     members = members.sort_values("id", kind="stable")
     ids, times = members["id"].to_numpy(np.int64), members["times"].to_numpy(np.int64)
+    home = members["home"].to_numpy(bool)
     exact, asked = stacked(members["vector"]), stacked(queries["vector"])
     query_ids = queries["id"].to_numpy(np.int64)
     unit = (exact / np.linalg.norm(exact, axis=1, keepdims=True)).astype(np.float32)
@@ -242,7 +267,7 @@ def _links(members: pd.DataFrame, queries: pd.DataFrame, cosine: float) -> pd.Da
     first = 0
     for part, found in zip(_slices(unit_asked), searched):
         hits = (part @ unit.T >= cosine - 1e-4) if exhaustive else found
-        pairs = np.flatnonzero(hits)
+        pairs = np.flatnonzero(hits & home)
         pairs = _verified(exact, asked[first : first + len(part)], pairs, n, cosine)
         q, row = pairs // n + first, pairs % n
         other = ids[row] != query_ids[q]
@@ -256,7 +281,7 @@ def _links(members: pd.DataFrame, queries: pd.DataFrame, cosine: float) -> pd.Da
                 parent[max(ra, rb)] = min(ra, rb)
         first += len(part)
     of_query = dict(zip(query_ids.tolist(), counts.tolist()))
-    nodes = list(parent)
+    nodes = [i for i in parent if of_query.get(i, 0) or root(i) != i]
     return pd.DataFrame(
         {"id": nodes, "links": [of_query.get(i, 0) for i in nodes], "root": [root(i) for i in nodes]}
     ).astype("int64")
@@ -302,26 +327,34 @@ def linked_vectors(
     else:
         centres = np.ones((1, 1))
 
-    def nearest_clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                order = np.argsort(-(stacked(batch["vector"]) @ centres.T), axis=1, kind="stable")[:, :OVERLAP]
-                yield pd.DataFrame({"id": batch["id"], "shards": [o.astype(np.int32) for o in order]})
-
-    dealt = nodes.select("id", "vector").mapInPandas(nearest_clusters, "id long, shards array<int>")
-    dealt = nodes.join(dealt, "id").select("id", "vector", "label", "times", F.posexplode("shards").alias("nearness", "shard"))
+                x = stacked(batch["vector"])
+                x = x / np.abs(x).max(1, keepdims=True)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                yield pd.DataFrame({"id": batch["id"], "shards": clusters_to_search(x, centres, cosine)})
+
+    places = nodes.select("id", "vector").mapInPandas(placed, "id long, shards array<int>")
+    places = stored(places, folder, "places")
+    held_in = F.posexplode(F.slice("shards", 1, OVERLAP)).alias("nearness", "shard")
+    dealt = nodes.join(places, "id").select("id", "vector", "label", "times", held_in)
     dealt = stored(dealt.withColumn("home", F.col("nearness") == 0).drop("nearness"), folder, "dealt")
+    searched_in = nodes.select("id", "label").join(places, "id").select("id", "label", F.explode("shards").alias("shard"))
     # One row for each label and cluster.
     sizes = dealt.groupBy("label", "shard").agg(F.count(F.lit(1)).alias("held"), F.sum(F.col("home").cast("int")).alias("at_home"))
+    asking = searched_in.groupBy("label", "shard").agg(F.count(F.lit(1)).alias("asking"))
+    sizes = sizes.join(asking, ["label", "shard"])
     sizes = sizes.select(
         "label",
         "shard",
         F.ceil(F.col("held") / PART).cast("int").alias("parts"),
-        F.greatest(F.ceil(F.col("at_home") / PART), F.lit(1)).cast("int").alias("blocks"),
+        F.ceil(F.col("asking") / PART).cast("int").alias("blocks"),
+        "at_home",
     )
     sizes = stored(sizes, folder, "sizes")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-    members = stored(dealt.join(sizes, ["label", "shard"]).select("*", part), folder, "members")
+    members = stored(dealt.join(sizes.drop("at_home"), ["label", "shard"]).select("*", part), folder, "members")
 
     def built(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
@@ -339,8 +372,9 @@ def linked_vectors(
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     own_block = F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int").alias("block")
-    held = members.join(united, "id").select("label", "shard", "part", every_block, "id", "vector", "times", "neighbours")
-    asked = members.where("home").select("label", "shard", every_part, own_block, "id", "vector")
+    held = members.join(united, "id").select("label", "shard", "part", every_block, "id", "vector", "times", "home", "neighbours")
+    asked = searched_in.join(sizes.where("at_home > 0"), ["label", "shard"])
+    asked = asked.join(nodes.select("id", "vector"), "id").select("label", "shard", every_part, own_block, "id", "vector")
     asked = asked.toDF(*asked.columns)
 
     def searched(group: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

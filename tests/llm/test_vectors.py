@@ -59,6 +59,33 @@ def test_links_against_brute_force(spark, monkeypatch, part):
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in found)
 
 
+def test_links_across_many_clusters(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "TARGET", 32)
+    choose, rows = np.random.default_rng(12), []
+    for c in range(600):
+        base = choose.normal(size=16)
+        base /= np.linalg.norm(base)
+        across = choose.normal(size=16)
+        across -= (across @ base) * base
+        angle = np.arccos(0.981)
+        for x in (base, np.cos(angle) * base + np.sin(angle) * across / np.linalg.norm(across)):
+            rows.append((len(rows), [float(v) for v in x], 0))
+    found = graph_dedup.linked_vectors(frame(spark, [(*r, "x") for r in rows])).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == sorted(brute_links(rows))
+
+
+def test_clusters_to_search_hold_every_partner():
+    choose = np.random.default_rng(13)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres, x = unit(choose.normal(size=(40, 8))), unit(choose.normal(size=(500, 8)))
+    across = choose.normal(size=x.shape)
+    across = unit(across - (across * x).sum(1, keepdims=True) * x)
+    partners = 0.98 * x + np.sqrt(1 - 0.98**2) * across
+    shards = graph_dedup.clusters_to_search(x, centres, 0.98)
+    assert all(h in s for h, s in zip((partners @ centres.T).argmax(1), shards))
+    assert np.mean([len(s) for s in shards]) < 20
+
+
 def test_an_empty_table(spark):
     assert graph_dedup.linked_vectors(frame(spark, [])).count() == 0
     assert permutation_index.nearest(frame(spark, []), "id % 2 = 0").count() == 0
