@@ -8,12 +8,15 @@ are reported as incomplete.
 
 Sentences are cut twice, once with line ends as borders and once with only blank lines as
 borders, because licence lines stand alone and licence texts are wrapped; a sentence's place is
-the number of words before it, which is the same for both.
+the number of words before it, which is the same for both. Comment marks at the ends of lines are
+taken off first, and between blank lines a sentence may also start where a line starts, since the
+line before it (a copyright notice, a heading) often ends without a full stop.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -83,6 +86,16 @@ SENTENCES: dict[str, str] = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
         "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
     ),
+    "lgpl-2-free": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+        "the License, or (at your option) any later version"
+    ),
+    "agpl-3-free": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version"
+    ),
     "mpl-2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "isc-grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
@@ -98,6 +111,16 @@ SENTENCES: dict[str, str] = {
     "all-rights": "All rights reserved",
 }
 
+# Beginnings and ends of known sentences that name somebody in between.
+NAMING: dict[str, tuple[str, str]] = {
+    "bsd-endorse": (
+        "Neither the name of",
+        "contributors may be used to endorse or promote products derived from this software without specific "
+        "prior written permission",
+    ),
+}
+_NAME_WORDS = 24
+
 # Licence names and the sentences that make them, the most specific first.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
@@ -113,6 +136,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-only", ("gpl-3-line",)),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl-2-free",)),
+    ("LGPL-2.1-or-later", ("lgpl-2-free",)),
+    ("AGPL-3.0-or-later", ("agpl-3-free",)),
     ("MPL-2.0", ("mpl-2-subject",)),
     ("ISC", ("isc-grant",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
@@ -130,6 +155,7 @@ _word = re.compile(r"[^\W_]+").findall
 _border = re.compile(r"[.!?]+(?=\s|$)|[;:](?=\s|$)")
 
 
+_comment_marks = re.compile(r"^[ \t]*(?:#+|/\*+|\*+/?|//+|;+|--+|%+|<!--+)|(?:\*+/|--+>)[ \t]*$", re.M)
 _blank_lines = re.compile(r"\n[ \t]*\n\s*")
 
 
@@ -138,6 +164,7 @@ class Recognizer:
     """Known sentences by their normalised words, and rules by their first identifier."""
 
     by_words: dict[str, str]
+    naming: list[tuple[str, str, int, str]]
     longest: int
     anchors: re.Pattern
     rules: dict[str, list[tuple[str, tuple[str, ...]]]]
@@ -146,23 +173,30 @@ class Recognizer:
         """(first word, words, identifier) of the known sentences, by place and without overlap."""
         if not text or not self.anchors.search(text.lower()):
             return []
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        text = _comment_marks.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
         found: set[tuple[int, int, str]] = set()
         for lines_end_sentences in (True, False):
-            lines = text.splitlines() if lines_end_sentences else _blank_lines.split(text)
+            pieces = text.splitlines() if lines_end_sentences else _blank_lines.split(text)
             place = 0
-            for line in lines:
-                parts: list[list[str]] = [_word(part.lower()) for part in _border.split(line)]
-                for i in range(len(parts)):
+            for piece in pieces:
+                words: list[str] = []
+                ends: list[int] = []
+                for part in _border.split(piece):
+                    words += _word(part.lower())
+                    ends.append(len(words))
+                starts, at = {0, *ends[:-1]}, 0
+                for line in piece.splitlines():
+                    starts.add(at)
+                    at += len(_word(line.lower()))
+                for start in sorted(starts):
+                    first = bisect_right(ends, start)
                     # A known sentence may itself hold borders, so up to four parts are tried together.
-                    words: list[str] = []
-                    for part in parts[i : i + 4]:
-                        words = words + part
-                        if len(words) > self.longest:
+                    for end in ends[first : first + 4]:
+                        if end - start > self.longest:
                             break
-                        if part and (name := self.by_words.get(" ".join(words))):
-                            found.add((place, len(words), name))
-                    place += len(parts[i])
+                        if name := self.named(words[start:end]):
+                            found.add((place + start, end - start, name))
+                place += len(words)
         kept, end = [], 0
         for place, n, name in sorted(found, key=lambda f: (f[0], -f[1])):
             if place >= end:
@@ -170,6 +204,16 @@ class Recognizer:
                 end = place + n
         return kept
 
+    def named(self, words: list[str]) -> str | None:
+        """The identifier of the known sentence of these words."""
+        sentence = " ".join(words)
+        if sentence in self.by_words:
+            return self.by_words[sentence]
+        for start, end, n, name in self.naming:
+            if n < len(words) <= n + _NAME_WORDS and sentence.startswith(start) and sentence.endswith(end):
+                return name
+        return None
+
     def licences(self, sentences: list[tuple[int, int, str]]) -> list[tuple[int, int, str, bool]]:
         """(first word, words, name, complete) of what the rules make of the sentences."""
         found, i = [], 0
@@ -197,7 +241,12 @@ def recognizer() -> Recognizer:
     # Every known sentence has one of these words, so other texts need no cutting.
     anchors = ("licen", "copyright", "warrant", "permi", "redistribut", "public", "rights", "name")
     assert all(any(a in words for a in anchors) for words in by_words)
-    return Recognizer(by_words, max(len(w.split()) for w in by_words), re.compile("|".join(anchors)), rules)
+    naming = []
+    for name, (start, end) in NAMING.items():
+        first, last = _word(start.lower()), _word(end.lower())
+        naming.append((" ".join(first) + " ", " " + " ".join(last), len(first) + len(last), name))
+    longest = max([len(w.split()) for w in by_words] + [n + _NAME_WORDS for _, _, n, _ in naming])
+    return Recognizer(by_words, naming, longest, re.compile("|".join(anchors)), rules)
 
 
 FOUND = (

@@ -45,6 +45,21 @@ def test_every_known_sentence_is_found_alone_and_in_prose():
             assert name in [n for _, _, n in known.sentences(text)], (name, text)
 
 
+def test_licence_texts_in_comments_and_under_headings():
+    for mark in ("#", " *", "//", "--", ";"):
+        assert names("\n".join(f"{mark} {line}".rstrip() for line in MIT.splitlines())) == [("MIT", True)], mark
+    assert names("/*\n" + "\n".join(f" * {line}".rstrip() for line in MIT.splitlines()) + "\n */\nint x;") == [("MIT", True)]
+    assert names(MIT.replace("Somebody\n\n", "Somebody\n")) == [("MIT", True)]
+
+
+def test_a_bsd_text_that_names_an_organisation():
+    s = licenses.SENTENCES
+    two = ". ".join(s[k] for k in ("bsd-redistribution", "bsd-source", "bsd-binary"))
+    for who in ("Example Labs, Inc. nor the names of its", "the University of Somewhere nor the names of its", "Google LLC nor the names of"):
+        endorse = s["bsd-endorse"].replace("the copyright holder nor the names of its", who)
+        assert names(f"{two}. {endorse}.") == [("BSD-3-Clause", True)], who
+
+
 def test_clean_texts():
     for text in (None, "", "A license to drive. The public has rights.", "x" * 100_000, "name " * 50_000):
         assert names(text) == []
