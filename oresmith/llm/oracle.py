@@ -65,7 +65,95 @@ FROM left_over
 """
 
 
+def merkle_sql(levels: int = 15) -> str:
+    """Trees of up to 3 ** levels leaves, level by level; a tree with one node left stays as it is."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(v) for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+    def grow(name: str, tree: str) -> list[str]:
+        """``name``_0 (tree, i, digest) and upwards: left and right siblings, then the parents."""
+        steps = []
+        for level in range(levels):
+            run = f"PARTITION BY {tree}, i // 3 ORDER BY i ROWS BETWEEN"
+            steps.append(f"""
+{name}_way_{level} AS (
+  SELECT {tree}, i, digest, count(*) OVER (PARTITION BY {tree}) AS n,
+         coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}_{level}),
+{name}_{level + 1} AS (
+  SELECT {tree}, i // 3 AS i, CASE WHEN n = 1 THEN digest ELSE sha256(l || digest || r) END AS digest
+  FROM {name}_way_{level} WHERE i % 3 = 0)""")
+        return steps
+
+    def climb(before: str, name: str, tree: str, place: str) -> list[str]:
+        steps = []
+        for level in range(levels):
+            steps.append(f"""
+{name}_climb_{level} AS (
+  SELECT c.* EXCLUDE (i, node, proof), c.i // 3 AS i,
+         CASE WHEN w.n = 1 THEN node ELSE sha256(w.l || node || w.r) END AS node,
+         CASE WHEN w.n = 1 THEN proof ELSE proof || w.l || w.r END AS proof
+  FROM {before if level == 0 else f"{name}_climb_{level - 1}"} c
+  JOIN {name}_way_{level} w ON {place} AND c.i = w.i)""")
+        return steps
+
+    steps = [
+        f"""
+leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('s' || source, '') AS tree, {leaf('text')} AS leaf,
+         CASE WHEN h % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS start
+  FROM (SELECT *, {crc32_sql('doc_id')} AS h FROM documents)),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+src_0 AS (SELECT tree, i, leaf AS digest FROM placed)""",
+        *grow("src", "tree"),
+        f"""
+all_0 AS MATERIALIZED (
+  SELECT 0 AS tree, tree AS of, row_number() OVER (ORDER BY tree) - 1 AS i, digest FROM src_{levels})""",
+        *grow("all", "tree"),
+        "\nfrom_leaf AS (SELECT doc_id, tree, leaf, i, start AS node, '' AS proof FROM placed)",
+        *climb("from_leaf", "src", "tree", "c.tree = w.tree"),
+        f"""
+from_subroot AS (
+  SELECT c.* EXCLUDE (i), a.i, a.digest AS subroot FROM src_climb_{levels - 1} c JOIN all_0 a ON c.tree = a.of)""",
+        *climb("from_subroot", "all", "tree", "true"),
+    ]
+    body = ",".join(steps).replace("WITH ", "")
+    return f"""
+WITH {body}
+SELECT doc_id, leaf, subroot, a.digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = a.digest AS verified
+FROM all_climb_{levels - 1} CROSS JOIN all_{levels} a
+"""
+
+
+def crc32_sql(column: str) -> str:
+    """Unsigned crc32 of the decimal text, bit by bit."""
+    byte = f"ascii(substr({column}::VARCHAR, i::BIGINT, 1))::UBIGINT"
+    shift = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END"
+    eight = f"list_reduce(list_prepend(xor(crc, {byte}), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {shift})"
+    whole = f"list_reduce(list_prepend(4294967295::UBIGINT, range(1, length({column}::VARCHAR) + 1)::UBIGINT[]), lambda crc, i: {eight})"
+    return f"xor({whole}, 4294967295::UBIGINT)"
+
+
+COPIES_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def statements() -> dict[str, str]:
     from oresmith.llm.queries import PAGE_PATTERNS
 
-    return {"op7_rarest_token_rules": url_sql(PAGE_PATTERNS), "op10_deletion_neighbourhood": LINES_SQL}
+    return {
+        "op7_rarest_token_rules": url_sql(PAGE_PATTERNS),
+        "op10_deletion_neighbourhood": LINES_SQL,
+        "op11_incremental_merkle": merkle_sql(),
+        "op12_salted_exact_dedup": COPIES_SQL,
+    }

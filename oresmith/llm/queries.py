@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 
 from oresmith.llm import (
     bpe_monoid,
+    exact_dedup,
     graph_dedup,
     language,
     licenses,
     line_dedup,
+    merkle,
     packing,
     partenum,
+    periodic_runs,
     permutation_index,
     toxicity,
     url_rules,
 )
-from oresmith.llm.common import ship_package
+from oresmith.llm.common import id_remainder, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,6 +162,65 @@ def op10_deletion_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", "emptied", F.md5("text").alias("text_md5"))
 
 
+def op11_incremental_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """A Merkle manifest of the documents, and whether each row, some tampered with, still fits it."""
+    docs = _table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = [F.translate("text", "\n", "") if c == "text" else F.col(c) for c in columns]
+    found = F.when(id_remainder("doc_id", 2) == 0, F.unhex(merkle.row_digest(tampered)))
+    keep = {"doc_id": F.col("doc_id"), "tampered": found}
+    rows = merkle.manifest(docs, "source", "doc_id", columns, keep)
+    start = F.coalesce("tampered", "leaf")
+    rows = rows.withColumn("folded", merkle.folded(start, F.col("siblings"), F.col("shape")))
+    return rows.select(
+        "doc_id",
+        *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(F.lower(F.hex("siblings")), 256).alias("proof_sha256"),
+        F.lower(F.hex("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_salted_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of equal texts of every document, and whether it is the one that stays."""
+    groups = exact_dedup.exact_groups(_table(spark, folder, "documents"), "doc_id", "text")
+    return groups.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents' texts; every tenth, by its id's hash, repeats words from some place on."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", hashed.alias("h"), F.floor(hashed / 10).alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w != ""))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = F.expr("transform(words, (w, i) -> if(i < a, w, get(words, cast(a + (i - a) % p AS int))))")
+    changed = rows.withColumn("planted", F.when(F.col("a").isNotNull(), F.array_join(place, " ")))
+    return changed.select("doc_id", F.coalesce("planted", "text").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of words of every document, planted ones included."""
+    docs = _with_planted_periods(_table(spark, folder, "documents"))
+    rows = docs.select("doc_id", periodic_runs.periodic_runs(F.col("text")).alias("found"))
+    rows = rows.select("doc_id", F.col("found.runs").alias("runs"), F.col("found.collapsed").alias("collapsed"))
+    # Longest first, then by start and period.
+    ordered = F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"]))
+    rows = rows.withColumn("longest", F.array_min(ordered))
+    line = F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.col1")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.floor(-1000 * F.col("longest.col1") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -172,5 +234,8 @@ QUERIES: dict[str, Query] = {
         op8_partenum,
         op9_monoid_bpe,
         op10_deletion_neighbourhood,
+        op11_incremental_merkle,
+        op12_salted_exact_dedup,
+        op13_periodic_runs,
     )
 }
