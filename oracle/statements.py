@@ -559,6 +559,124 @@ def _rule_status(p: str) -> str:
     return _union(parts)
 
 
+# What must hold by each gold rule, and the columns that the rules name, spelled out.
+GOLD_RULES = {
+    "DP_GOLD_000": "date_key IS NOT NULL AND calendar_date IS NOT NULL",
+    "DP_GOLD_001": "current_price >= 0 AND coalesce(wholesale_cost, 0) >= 0",
+    "DP_GOLD_002": "store_id IS NOT NULL AND store_name IS NOT NULL",
+    "DP_GOLD_003": "customer_id IS NOT NULL AND email_address IS NOT NULL",
+    "DP_GOLD_004": "net_profit >= 0",
+    "DP_GOLD_005": "sold_date_key IS NOT NULL AND item_key IS NOT NULL AND store_key IS NOT NULL AND customer_key IS NOT NULL",
+    "DP_GOLD_006": "year IS NOT NULL AND month IS NOT NULL AND item_key IS NOT NULL",
+}
+RULE_COLUMNS = {
+    "silver_date_dim": {"d_date_sk": 1, "d_date": 1, "d_year": 1, "d_moy": 1},
+    "silver_item": {"i_item_sk": 1, "i_item_id": 1, "i_current_price": 1, "i_wholesale_cost": 1},
+    "silver_store": {"s_store_sk": 1, "s_store_id": 1, "s_store_name": 1},
+    "silver_customer": {"c_customer_sk": 1, "c_customer_id": 1},
+    "silver_store_sales": {
+        "ss_ticket_number": 1, "ss_item_sk": 2, "ss_quantity": 1, "ss_sales_price": 1, "ss_list_price": 1,
+        "ss_wholesale_cost": 1, "ss_net_paid": 1, "ss_sold_date_sk": 1, "ss_store_sk": 1, "ss_customer_sk": 1,
+    },
+    "gold_dim_date": {"date_key": 1, "calendar_date": 1},
+    "gold_dim_item": {"current_price": 1, "wholesale_cost": 1},
+    "gold_dim_store": {"store_id": 1, "store_name": 1},
+    "gold_dim_customer": {"customer_id": 1, "email_address": 1},
+    "gold_fact_store_sales": {"net_profit": 1, "sold_date_key": 1, "item_key": 1, "store_key": 1, "customer_key": 1},
+    "gold_top_items_month": {"year": 1, "month": 1, "item_key": 1},
+}
+
+
+def _rule_scores() -> str:
+    checks = dict(c for listed in DIMENSION_CHECKS.values() for c in listed[1:]) | dict(SALES_CHECKS) | GOLD_RULES
+    parts = []
+    for r in RULES:
+        if r.layer == "bronze":
+            source, keys = BRONZE_TABLES[r.object_name], BRONZE_KEYS[r.object_name]
+            checks[r.rule_id] = f"{keys[int(r.rule_id[-2:]) - 1]} IS NOT NULL"
+        elif r.layer == "silver":
+            source = "l_sales" if r.object_name == "silver_store_sales" else "u_" + SILVER_TABLES[r.object_name]
+        else:
+            source = "gu_" + GOLD_TABLES[r.object_name]
+        if r.kind == "duplicate":
+            broken = f"count(*) - (SELECT count(*) FROM (SELECT 1 FROM {source} GROUP BY {', '.join(keys)}) g)"
+        else:
+            check = _resolved("u_") if r.kind == "foreign_key" else checks[r.rule_id]
+            broken = f"count(*) FILTER (WHERE NOT coalesce({check}, false))"
+        parts.append(
+            f"""SELECT 'declarative' AS paradigm, {text(r.layer)} AS layer, {text(r.object_name)} AS object_name,
+            {text(r.rule_id)} AS rule_id, {text(r.group)} AS rule_group, {text(r.kind)} AS rule_kind,
+            CASE WHEN {broken} = 0 THEN 'PASS' ELSE 'FAIL' END AS rule_status,
+            {broken} AS violating_rows, count(*) - ({broken}) AS matching_rows FROM {source}"""
+        )
+    return _union(parts)
+
+
+_DIMS = ("date_dim", "item", "store", "customer")
+_SILVER = [f"silver_{d}" for d in _DIMS]
+_GOLD_DIMS = {"gold_dim_date": "date_dim", "gold_dim_item": "item", "gold_dim_store": "store", "gold_dim_customer": "customer"}
+_GOLD_ALL = [*_GOLD_DIMS, "gold_fact_store_sales", "gold_top_items_month"]
+_BRONZE_ALL = ["bronze_store_sales", *[f"bronze_{d}" for d in _DIMS]]
+_STAGING = [f"staging_{d}" for d in _DIMS]
+_ANNOTATED = "staging_store_sales_annotated"
+# Which tables each table of a whole run is made from.
+READS = {
+    **{f"staging_{d}": [f"bronze_{d}"] for d in _DIMS},
+    **{f"silver_{d}": [f"staging_{d}"] for d in _DIMS},
+    "dq_dimension_rejects": _STAGING,
+    _ANNOTATED: ["bronze_store_sales", *_SILVER],
+    "silver_store_sales": [_ANNOTATED],
+    "dq_store_sales_quarantine": [_ANNOTATED],
+    **{g: [f"silver_{d}"] for g, d in _GOLD_DIMS.items()},
+    "gold_fact_store_sales": ["silver_store_sales"],
+    "gold_top_items_month": ["gold_fact_store_sales", "gold_dim_date", "gold_dim_item"],
+    "dq_bronze_metrics": _BRONZE_ALL,
+    "dq_bronze_observability": ["dq_bronze_metrics", "dq_rule_catalog"],
+    "dq_cast_failures": _BRONZE_ALL,
+    "dq_silver_dropped": [*_STAGING, _ANNOTATED],
+    **{f"dq_silver_{q}": [*_SILVER, "silver_store_sales"] for q in ("monitors", "issues", "rule_status")},
+    "dq_gold_issues": _GOLD_ALL,
+    "dq_gold_metrics": _GOLD_ALL,
+    "dq_gold_observability": ["dq_gold_metrics", "dq_rule_catalog"],
+}
+
+
+def _reach() -> str:
+    edges = ", ".join(f"({text(t)}, {text(r)})" for t, reads in READS.items() for r in reads)
+    return f"""(WITH RECURSIVE edges (object_name, reads) AS (VALUES {edges}),
+        reach (changed, reached, distance) AS (
+          SELECT name, name, 0 FROM (SELECT object_name AS name FROM edges UNION SELECT reads FROM edges) names
+          UNION ALL SELECT changed, object_name, distance + 1 FROM reach JOIN edges ON reached = reads)
+        SELECT changed, reached, min(distance) AS distance FROM reach GROUP BY changed, reached)"""
+
+
+def _counted_tables() -> str:
+    return _row_counts(
+        {
+            **BRONZE_TABLES,
+            **{t: "s_" + s for t, s in SILVER_TABLES.items()},
+            **{t: "gs_" + s for t, s in GOLD_TABLES.items()},
+        }
+    )
+
+
+def _rules_per_table() -> str:
+    counts: dict[str, int] = {}
+    for r in RULES:
+        counts[r.object_name] = counts.get(r.object_name, 0) + 1
+    return "(VALUES " + ", ".join(f"({text(t)}, {n})" for t, n in counts.items()) + ") k (object_name, rules)"
+
+
+def _column_impact() -> str:
+    named = {t: {k: 2 for k in keys} for t, keys in BRONZE_KEYS.items()} | RULE_COLUMNS
+    rows = ", ".join(f"({text(t)}, {text(c)}, {n})" for t, columns in named.items() for c, n in columns.items())
+    return f"""SELECT c.object_name, c.column_name, CAST(c.n AS BIGINT) AS rules_on_column,
+        (SELECT count(*) FROM {_reach()} r WHERE r.changed = c.object_name AND distance > 0) AS tables_behind,
+        CAST(coalesce((SELECT sum(rules) FROM {_reach()} r JOIN {_rules_per_table()} ON k.object_name = r.reached
+                       WHERE r.changed = c.object_name AND distance > 0), 0) AS BIGINT) AS rules_behind, n.row_count
+        FROM (VALUES {rows}) c (object_name, column_name, n) JOIN ({_counted_tables()}) n ON n.object_name = c.object_name"""
+
+
 def _dimension_rejects() -> str:
     names = {"date": "silver_date_dim", "item": "silver_item", "store": "silver_store", "customer": "silver_customer"}
     parts = []
@@ -749,6 +867,61 @@ def statements() -> dict[str, str]:
         "gold_metrics": _gold_metrics("gu_"),
         "gold_observability": f"""SELECT m.*, c.* EXCLUDE (object_name, layer) FROM ({_gold_metrics('gu_')}) m
             JOIN ({_catalog_values()}) c ON m.object_name = c.object_name WHERE c.layer = 'gold'""",
+        "rule_scores": _rule_scores(),
+        "change_impact": f"""SELECT changed, count(*) FILTER (WHERE distance > 0) AS tables_reached,
+            CAST(max(distance) AS INT) AS levels, CAST(coalesce(sum(rules), 0) AS BIGINT) AS rules_reached,
+            count(row_count) AS tables_counted, CAST(coalesce(sum(row_count), 0) AS BIGINT) AS rows_reached
+            FROM {_reach()} r LEFT JOIN {_rules_per_table()} ON k.object_name = r.reached
+            LEFT JOIN ({_counted_tables()}) n ON n.object_name = r.reached GROUP BY changed""",
+        "column_impact": _column_impact(),
+        "failed_load_keeps_rows": _union(
+            [
+                f"""SELECT '{step}' AS step, o_orderpriority, count(*) AS orders,
+                CAST(sum({times} * CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS price
+                FROM orders WHERE {rows} GROUP BY o_orderpriority"""
+                for step, times, rows in (
+                    ("loaded", 1, "o_orderpriority <> '5-LOW'"),
+                    ("load broke", 1, "o_orderpriority <> '5-LOW'"),
+                    ("load too small", 1, "o_orderpriority <> '5-LOW'"),
+                    ("loaded again", 2, "true"),
+                )
+            ]
+        ),
+        "bucketed_keys": """SELECT (SELECT count(*) FROM l_sales) AS latest_rows,
+            (SELECT CAST(sum(ss_quantity) AS BIGINT) FROM l_sales) AS latest_quantity,
+            count(*) - (SELECT count(*) FROM l_sales) AS repeated_keys, count(*) AS row_count,
+            count(*) FILTER (WHERE ss_sold_date_sk IS NULL) AS null_key_3_count,
+            count(*) FILTER (WHERE ss_store_sk IS NULL) AS null_key_4_count,
+            count(*) - (SELECT count(*) FROM (SELECT 1 FROM raw_sales
+              GROUP BY ss_item_sk, ss_ticket_number, ss_sold_date_sk, ss_store_sk) g) AS duplicate_row_count FROM raw_sales""",
+        "top_items_of_months": "SELECT * FROM gs_top WHERE year = 1997 AND month IN (3, 4, 5)",
+        "near_edits": f"""SELECT DISTINCT y.page_id FROM
+            (SELECT page_id, {_normalized('lower(url)')} AS t FROM pages) x
+            JOIN (SELECT page_id, {_normalized('lower(url)')} AS t FROM pages) y
+            ON x.page_id < y.page_id AND 10 * least(length(x.t), length(y.t)) >= 8 * greatest(length(x.t), length(y.t))
+            WHERE 10 * levenshtein(x.t, y.t) <= 2 * greatest(length(x.t), length(y.t))""",
+        "growth_by_scale": """WITH loaded AS (
+              SELECT years, count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS price,
+                     count(DISTINCT o_custkey) AS customers
+              FROM orders, (SELECT DISTINCT year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders) + 1 AS years
+                            FROM orders) s
+              WHERE year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders) + 1 <= years GROUP BY years),
+            long AS (SELECT years::DOUBLE AS scale, unnest(['orders', 'price', 'customers']) AS measure,
+                     unnest([orders::DOUBLE, price::DOUBLE, customers::DOUBLE]) AS value FROM loaded),
+            slopes AS (SELECT measure, regr_slope(ln(value), ln(scale)) AS growth_exponent FROM long GROUP BY measure)
+            SELECT l.*, round(growth_exponent, 9) AS growth_exponent,
+                   lag(scale) OVER w AS previous_scale, lag(value) OVER w AS previous_value,
+                   round((value / lag(value) OVER w - 1) * 100, 2) AS change_pct
+            FROM long l JOIN slopes s ON s.measure = l.measure WINDOW w AS (PARTITION BY l.measure ORDER BY scale)""",
+        "distinct_keys_of_loads": """SELECT o.o_orderpriority, count(DISTINCT o_custkey) AS distinct_keys, y.year
+            FROM orders o JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders) y
+            ON year(o.o_orderdate) <= y.year GROUP BY o.o_orderpriority, y.year""",
+        "ordered_export": """SELECT count(*) AS row_count, min(o_custkey) AS first_customer,
+            max(o_custkey) AS last_customer, 0 AS out_of_order FROM orders""",
+        "corpus_blocks": f"""SELECT c.source, c.code_lines, c.pattern_lines, coalesce(i.identifiers, 0) AS identifiers
+            FROM (SELECT source, CAST(sum(code_lines) AS BIGINT) AS code_lines,
+                         CAST(sum(pattern_lines) AS BIGINT) AS pattern_lines FROM {DOC_LINES} GROUP BY source) c
+            LEFT JOIN (SELECT source, count(*) AS identifiers FROM {IDS} GROUP BY source) i ON i.source = c.source""",
         "write_verify": _row_counts({"gold_dim_item": "s_item", "gold_dim_customer": "s_customer"}),
         "schema_reset": "SELECT 'keep_orders' AS object_name, count(*) AS row_count FROM orders",
         "csv_summary": """SELECT o_orderpriority, count(DISTINCT o_custkey) AS num_members,

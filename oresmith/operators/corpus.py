@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oresmith.functions.aggregates import row_count
@@ -32,6 +32,49 @@ def text_files(spark: SparkSession, folder: str, suffix: str = ".py") -> DataFra
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def text_lines(spark: SparkSession, folder: str, suffix: str = ".py") -> DataFrame:
+    """One row per line of the files below a folder: path, line_number from 0, line.
+
+    Files larger than a task are read by block, by as many tasks as they have blocks, so a file may
+    be of any size. A line is numbered within its block; the counts of the blocks before, a few per
+    file, give every block its start. Lines end at line feeds, carriage returns or both.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", f"*{suffix}")
+        .text(folder)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"),
+            F.col("value").alias("line"),
+        )
+    )
+    in_block = Window.partitionBy("path", "block").orderBy("place")
+    numbered = lines.withColumn("in_block", F.row_number().over(in_block) - 1)
+    counts = lines.groupBy("path", "block").agg(row_count().alias("lines"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("path", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    found = numbered.join(starts, ["path", "block"])
+    return found.select("path", (F.col("start") + F.col("in_block")).alias("line_number"), "line")
+
+
+def file_counts(lines: DataFrame, patterns: Sequence[str], id_patterns: Sequence[str]) -> DataFrame:
+    """Per file of ``text_lines``: lines, code lines, code lines with a pattern, identifiers.
+
+    The counts are those of the whole text, as no pattern reaches over the end of a line; they are
+    added up in every task, so a large file does not meet in one.
+    """
+    counted = pattern_lines(lines, "line", patterns)
+    found = F.size(identifiers(F.col("line"), id_patterns))
+    return counted.groupBy("path").agg(
+        row_count().alias("lines"),
+        F.sum("code_lines").alias("code_lines"),
+        F.sum("pattern_lines").alias("pattern_lines"),
+        F.sum(found).alias("identifiers"),
+    )
+
+
 def with_path_labels(df: DataFrame, path: str = "path", default_layer: str = "unknown") -> DataFrame:
     """Add what a file's path says about it: name, job, layer, and whether it checks quality."""
     return df.withColumns(

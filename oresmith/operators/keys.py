@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from oresmith.functions.aggregates import row_count
 
 _RANK = "__rank"
+_ALONE = "__alone"
 
 
 def all_present(columns: Sequence[str]) -> Column:
@@ -44,11 +45,14 @@ def latest_of_complete_keys(
 ) -> DataFrame:
     """``latest_by_key`` that leaves every row with a missing key part as it is.
 
-    Such rows identify nothing, so they are no versions of each other; they bypass the window.
+    Such rows identify nothing, so they are no versions of each other. A number of its own beside
+    the key keeps each of them alone, and lets them spread over all tasks; complete keys all have
+    0. So one pass over the table does for both kinds.
     """
-    complete = all_present(keys)
-    latest = latest_by_key(df.where(complete), keys, order_by, tie_break)
-    return latest.unionByName(df.where(~complete))
+    if tie_break is None:
+        tie_break = [c for c in df.columns if c not in keys and c != order_by]
+    alone = F.when(all_present(keys), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    return latest_by_key(df.withColumn(_ALONE, alone), [*keys, _ALONE], order_by, tie_break).drop(_ALONE)
 
 
 def top_n(

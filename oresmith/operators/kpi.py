@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oresmith.functions.aggregates import count_if, row_count, share_percent
@@ -157,6 +157,31 @@ def change_between(
     return both.withColumns(changes)
 
 
+def growth(df: DataFrame, by: Sequence[str], scale: str, measures: Sequence[str]) -> DataFrame:
+    """One row per group, measure and scale: its value, the change since the scale before, and the
+    exponent with which the measure grows over all scales.
+
+    ``df`` holds one row per group and scale, a positive number, with the measures as columns.
+    ``change_pct`` is NULL at the smallest scale. ``growth_exponent`` is the slope of the
+    logarithms: 1 for a measure in proportion to the scale, 0 for one that stays; NULL with less
+    than two scales that have a positive value.
+    """
+    names = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
+    rows = df.select(*by, F.col(scale).cast("double").alias("scale"), F.inline(F.array(*names)))
+    group = Window.partitionBy(*by, "measure")
+    before = group.orderBy("scale")
+    positive = (F.col("value") > 0) & (F.col("scale") > 0)
+    logs = [F.when(positive, F.log(c)) for c in ("value", "scale")]
+    found = rows.withColumns(
+        {
+            "previous_scale": F.lag("scale").over(before),
+            "previous_value": F.lag("value").over(before),
+            "growth_exponent": F.regr_slope(*logs).over(group),
+        }
+    )
+    return found.withColumn("change_pct", percent_change(F.col("previous_value"), F.col("value")))
+
+
 @dataclass(frozen=True)
 class Scenario:
     """A planned change: the catalog rules it touches."""

@@ -266,6 +266,35 @@ def gold_sales(silver: DataFrame, null_ratio: str = "zero") -> DataFrame:
     )
 
 
+SOLD_PERIOD = ("sold_year", "sold_month")
+
+
+def with_sold_period(fact: DataFrame) -> DataFrame:
+    """The fact with the year and month of its date key (yyyymmdd), to be partitioned by."""
+    day = F.col("sold_date_key")
+    return fact.withColumns({"sold_year": F.expr("sold_date_key div 10000").cast("int"), "sold_month": F.floor(day / 100).cast("int") % 100})
+
+
+def top_items_of_months(
+    fact: DataFrame,
+    date_dim: DataFrame,
+    item_dim: DataFrame,
+    months: Column,
+    n: int = 10,
+) -> DataFrame:
+    """``top_items_month`` of the months for which a condition on ``date_dim`` holds.
+
+    ``fact`` is stored with ``SOLD_PERIOD`` as its partition columns. Year and month of the chosen
+    days are part of the join, so Spark reads the partitions of those months only, whatever the
+    condition is on, and drops fact rows of other days before the sums by the days themselves.
+    """
+    days = date_dim.where(months)
+    period = F.expr("date_key div 10000").cast("int").alias("sold_year"), (F.expr("date_key div 100") % 100).cast("int").alias("sold_month")
+    chosen = days.select(*period).distinct()
+    # One row per month of a calendar, so it is small whatever the fact's size; pruning waits for it.
+    return top_items_month(fact.join(F.broadcast(chosen), list(SOLD_PERIOD), "left_semi"), days, item_dim, n)
+
+
 def top_items_month(
     fact: DataFrame,
     date_dim: DataFrame,

@@ -1,4 +1,4 @@
-"""The layer jobs: bronze, silver, gold and quality tables in dependency order."""
+"""The layer jobs: bronze, silver, gold and quality tables, ordered by what they read."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from oresmith.quality.metrics import (
 )
 from oresmith.rules.catalog import GOLD_ISSUES, SILVER_ISSUES, catalog_frame, expectations
 from oresmith.rules.model import DECLARATIVE
-from oresmith.sources.tables import Builder, TableSpace, run_layer
+from oresmith.sources.tables import Buckets, Builder, TableSpace, run_layer
 
 SILVER_TABLES = ("silver_date_dim", "silver_item", "silver_store", "silver_customer", "silver_store_sales")
 GOLD_TABLES = (
@@ -129,9 +129,12 @@ def quality_builders(
     """Quality tables over what is stored; monitors from ``observations`` where they are given."""
 
     def monitors(s: TableSpace) -> DataFrame:
-        if observations is not None:
+        # Reading the tables makes this one wait until they are written and their monitors counted.
+        tables = stored(s, SILVER_TABLES)
+        watched = {n for n in SILVER_TABLES if expectations(n, "monitor")}
+        if observations is not None and watched <= set(observations):
             return monitor_report(s.spark, observations)
-        return expectation_report(stored(s, SILVER_TABLES), "monitor")
+        return expectation_report(tables, "monitor")
 
     def stored(s: TableSpace, names: Sequence[str]) -> dict[str, DataFrame]:
         return {n: s.read(n) for n in names}
@@ -165,8 +168,13 @@ def run_all(
     as_of: date | None = None,
     variant: str = DECLARATIVE,
     partition_by: Mapping[str, Sequence[str]] | None = None,
+    buckets: Mapping[str, Buckets] | None = None,
+    run_id: str | None = None,
 ) -> dict[str, int]:
-    """All layers of one run; returns the stored row count per table."""
+    """All layers of one run; returns the stored row count per table.
+
+    With the ``run_id`` of a run that failed, only what it did not store is built.
+    """
     null_ratio = "zero" if variant == DECLARATIVE else "null"
     observations: dict[str, Observation] = {}
     builders = {
@@ -175,4 +183,4 @@ def run_all(
         **gold_builders(as_of, null_ratio),
         **quality_builders(variant, observations),
     }
-    return run_layer(space, builders, COMMENTS, partition_by)
+    return run_layer(space, builders, COMMENTS, partition_by, buckets, run_id)

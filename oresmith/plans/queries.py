@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from datetime import date
 from functools import cached_property, partial, reduce
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +19,10 @@ from oresmith.functions.aggregates import count_if, pct_null, row_count
 from oresmith.functions.measures import seconds_to_minutes
 from oresmith.functions.text import normalize_for_clones, trim_to_null, variant_label
 from oresmith.operators import corpus, kpi
+from oresmith.operators.distinct_counts import distinct_keys, key_bitmaps, merged
 from oresmith.operators.keys import duplicate_row_count, latest_by_key
 from oresmith.operators.near_duplicates import near_duplicates
+from oresmith.operators.near_edits import near_edits
 from oresmith.operators.references import keep_optional, keep_required, orphans, reference_flags
 from oresmith.plans import gold, silver
 from oresmith.plans.bronze import SOURCES, bronze_ingest
@@ -32,12 +35,15 @@ from oresmith.quality.metrics import (
     bronze_observability,
     gold_metrics,
     gold_observability,
+    rule_scores,
     rule_status,
+    table_profile,
 )
 from oresmith.rules.catalog import BRONZE_KEYS, GOLD_ISSUES, SILVER_ISSUES, catalog_frame, key_config_frame
+from oresmith.rules.lineage import change_impact, column_impact
 from oresmith.session import shared_folder, stored
 from oresmith.sources.retail import retail_bronze, retail_sources
-from oresmith.sources.tables import TableSpace, write_csv
+from oresmith.sources.tables import Buckets, TableSpace, TooFewRows, write_csv, write_sorted
 
 AS_OF = date(2024, 1, 1)
 SALES_TIES = ("ss_row_seq",)
@@ -472,6 +478,16 @@ def silver_rule_status(spark: SparkSession, folder: str) -> DataFrame:
     return rule_status(Star(spark, folder, enforced=False, staged=STAGED).silver).drop("observed_at")
 
 
+@_query_as("rule_scores")
+def all_rule_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every catalog rule of all layers and kinds, with the rows that break it before enforcement."""
+    star = Star(spark, folder, enforced=False, staged=STAGED)
+    tables = {**star.bronze, **star.silver, **star.gold}
+    # The enforced fact references resolve; what does not shows in the fact before that.
+    tables["silver_store_sales"] = silver.latest_sales(star.bronze_table("bronze_store_sales"), SALES_TIES)
+    return rule_scores(tables, star.references).drop("observed_at")
+
+
 @_query_as("gold_metrics")
 def gold_table_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return gold_metrics(Star(spark, folder, enforced=False, staged=STAGED).gold).drop("observed_at")
@@ -491,6 +507,11 @@ def _space(spark: SparkSession, purpose: str) -> TableSpace:
     return TableSpace(spark, folder.rsplit("/", 1)[1].replace("-", "_")).create(folder)
 
 
+def _view_name(purpose: str) -> str:
+    """A name of its own for every call, so two of them in one session do not meet."""
+    return f"{purpose}_{uuid4().hex}"
+
+
 def _settled(space: TableSpace, result: DataFrame) -> DataFrame:
     """A result of a few rows, taken before the tables behind it are dropped."""
     rows = result.collect()
@@ -530,13 +551,99 @@ def overwrite_keeps_schema(spark: SparkSession, folder: str) -> DataFrame:
     return _settled(space, kept)
 
 
+@_query
+def failed_load_keeps_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What readers see after a good load, a load that breaks half way, one that comes up short,
+    and a good one with other columns."""
+    space, orders = _space(spark, "loads"), _table(spark, folder, "orders")
+    prices = orders.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+
+    def seen(step: str) -> DataFrame:
+        price = F.sum("price").alias("price")
+        state = space.read("order_prices").groupBy("o_orderpriority").agg(row_count().alias("orders"), price)
+        return spark.createDataFrame([(step, *r) for r in state.collect()], ["step", *state.columns])
+
+    space.write(prices.where("o_orderpriority <> '5-LOW'"), "order_prices", least_rows=1)
+    states = [seen("loaded")]
+    breaking = F.when(F.col("o_orderkey") % 100 == 99, F.raise_error(F.lit("broken row"))).otherwise(F.col("price"))
+    try:
+        space.write(prices.withColumn("price", breaking.cast("decimal(12,2)")), "order_prices")
+    except Exception as error:
+        if "broken row" not in str(error):
+            raise
+        states.append(seen("load broke"))
+    try:
+        space.write(prices.where("price < 0"), "order_prices", least_rows=1)
+    except TooFewRows:
+        states.append(seen("load too small"))
+    space.write(prices.withColumn("price", F.col("price") * 2).drop("o_orderkey"), "order_prices")
+    states.append(seen("loaded again"))
+    return _settled(space, reduce(DataFrame.unionByName, states))
+
+
+@_query
+def bucketed_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest rows, repeated keys and the profile of the raw fact, stored in buckets of its key."""
+    space = _space(spark, "buckets")
+    fact = Star(spark, folder).bronze_table("bronze_store_sales")
+    space.write(fact, "bronze_store_sales", buckets=Buckets(8, SALES.key))
+    return _settled(space, bucketed_report(space.read("bronze_store_sales")))
+
+
+def bucketed_report(fact: DataFrame) -> DataFrame:
+    """One row about the raw fact; where it lies in buckets of its key, no row is shuffled for it."""
+    latest = latest_by_key(fact, SALES.key, tie_break=SALES_TIES)
+    latest = latest.agg(row_count().alias("latest_rows"), F.sum("ss_quantity").cast("bigint").alias("latest_quantity"))
+    repeated = duplicate_row_count(fact, SALES.key)
+    profile = table_profile(fact, "bronze_store_sales", "RAW_MODEL", BRONZE_KEYS["bronze_store_sales"])
+    # Three single rows side by side.
+    return latest.crossJoin(repeated.withColumnRenamed("duplicate_row_count", "repeated_keys")).crossJoin(
+        profile.select("row_count", "null_key_3_count", "null_key_4_count", "duplicate_row_count")
+    )
+
+
+MART_MONTHS = "year = 1997 AND month BETWEEN 3 AND 5"
+
+
+@_query_as("top_items_of_months")
+def top_items_of_some_months(spark: SparkSession, folder: str) -> DataFrame:
+    """The monthly leaders of three months, over the fact stored by year and month."""
+    star, space = Star(spark, folder), _space(spark, "periods")
+    fact = gold.with_sold_period(star.gold_table("gold_fact_store_sales"))
+    space.write(fact, "gold_fact_store_sales", partition_by=gold.SOLD_PERIOD)
+    leaders = gold.top_items_of_months(
+        space.read("gold_fact_store_sales"), star.gold_table("gold_dim_date"), star.gold_table("gold_dim_item"), F.expr(MART_MONTHS)
+    )
+    return _settled(space, leaders)
+
+
+@_query_as("change_impact")
+def impact_of_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What a change of each table reaches, by the edges that a run of all layers recorded."""
+    space = _space(spark, "impact")
+    counts = run_all(space, retail_sources(spark, folder), "loaded_at", {"bronze_store_sales": SALES_TIES}, AS_OF)
+    known = [(n, counts[n]) for n in (*SOURCES, *SILVER_TABLES, *GOLD_TABLES)]
+    counted = spark.createDataFrame(known, "object_name string, row_count bigint")
+    return _settled(space, change_impact(space.edges(), catalog_frame(spark), counted))
+
+
+@_query_as("column_impact")
+def impact_of_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Per column that a rule names: its rules and rows, and what lies behind its table."""
+    space, star = _space(spark, "columns"), Star(spark, folder)
+    run_all(space, retail_sources(spark, folder), "loaded_at", {"bronze_store_sales": SALES_TIES}, AS_OF)
+    names = (*SOURCES, *SILVER_TABLES, *GOLD_TABLES)
+    counts = kpi.row_counts({n: space.read(n) for n in names})
+    return _settled(space, column_impact(space.edges(), catalog_frame(spark)).join(counts, "object_name"))
+
+
 @_query
 def view_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """A dataset that is only named: orders per status through a view."""
-    space = TableSpace(spark, "default")
-    space.view(_table(spark, folder, "orders").select("o_orderstatus", "o_custkey"), "orders_view")
+    space, name = TableSpace(spark, "default"), _view_name("orders")
+    space.view(_table(spark, folder, "orders").select("o_orderstatus", "o_custkey"), name)
     return spark.sql(
-        "SELECT o_orderstatus, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM orders_view GROUP BY o_orderstatus"
+        f"SELECT o_orderstatus, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM {name} GROUP BY o_orderstatus"
     )
 
 
@@ -545,7 +652,7 @@ def publish_view(spark: SparkSession, folder: str) -> DataFrame:
     """A view stored as a table, with the row count that publishing returns."""
     space = _space(spark, "publish")
     customers = _table(spark, folder, "customer").groupBy("c_nationkey").agg(row_count().alias("customers"))
-    count = space.publish(space.view(customers, "customers_view"), "customers_by_nation", "Customers per nation")
+    count = space.publish(space.view(customers, _view_name("customers")), "customers_by_nation", "Customers per nation")
     return _settled(space, space.read("customers_by_nation").withColumn("published_rows", F.lit(count).cast("bigint")))
 
 
@@ -590,6 +697,29 @@ def csv_summary(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(target)
 
 
+@_query
+def ordered_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders written in one order over all files: rows, first and last key, and places out of order."""
+    target = shared_folder(spark, "ordered")
+    orders = _table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    back = write_sorted(orders, target, ["o_custkey", "o_orderkey"], "csv")
+    key = F.struct("o_custkey", "o_orderkey")
+    rows = back.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place"), key.alias("key"))
+    in_file = Window.partitionBy("file").orderBy("place")
+    steps = rows.withColumn("wrong", F.lag("key").over(in_file) > F.col("key"))
+    files = steps.groupBy("file").agg(
+        row_count().alias("rows"), F.count_if("wrong").alias("wrong"), F.min("key").alias("first"), F.max("key").alias("last")
+    )
+    # One row per file from here on.
+    files = files.withColumn("before", F.lag("last").over(Window.orderBy("file")))
+    return files.agg(
+        F.sum("rows").alias("row_count"),
+        F.min("first.o_custkey").alias("first_customer"),
+        F.max("last.o_custkey").alias("last_customer"),
+        (F.sum("wrong") + F.count_if(F.col("before") > F.col("first"))).alias("out_of_order"),
+    )
+
+
 # --- indicators ----------------------------------------------------------------------------
 
 
@@ -681,6 +811,40 @@ def change_between_years(spark: SparkSession, folder: str) -> DataFrame:
     return kpi.change_between(orders, ["o_orderpriority"], "year", 1998, 1999, measures)
 
 
+@_query
+def growth_by_scale(spark: SparkSession, folder: str) -> DataFrame:
+    """How orders, their value and their customers grow with the years that are loaded."""
+    orders = _priced_orders(spark, folder)
+    first = orders.agg(F.min(F.year("o_orderdate")).alias("first"), F.max(F.year("o_orderdate")).alias("last"))
+    # An order belongs to all scales from its year on.
+    dated = orders.select("o_custkey", "price", F.year("o_orderdate").alias("year")).crossJoin(F.broadcast(first))
+    scales = F.sequence(F.col("year") - F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    loaded = dated.select("o_custkey", "price", F.explode(scales).alias("years"))
+    per_customer = loaded.groupBy("years", "o_custkey").agg(row_count().alias("orders"), F.sum("price").alias("price"))
+    per_scale = per_customer.groupBy("years").agg(
+        F.sum("orders").alias("orders"), F.sum("price").alias("price"), row_count().alias("customers")
+    )
+    grown = kpi.growth(per_scale, [], "years", ["orders", "price", "customers"])
+    return grown.withColumn("growth_exponent", F.round("growth_exponent", 9))
+
+
+@_query
+def distinct_keys_of_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with orders up to each year, per priority, from one load per year.
+
+    A load is read once; what is kept of it are the bitmaps of its keys.
+    """
+    place = shared_folder(spark, "loads")
+    orders = _table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
+    years = [r.year for r in orders.select("year").distinct().orderBy("year").collect()]
+    known, counts = None, []
+    for year in years:
+        load = key_bitmaps(orders.where(F.col("year") == year), "o_custkey", ["o_orderpriority"])
+        known = stored(load if known is None else merged(known, load), place, f"known-{year}")
+        counts.append(distinct_keys(known).withColumn("year", F.lit(year)))
+    return reduce(DataFrame.unionByName, counts)
+
+
 @_query
 def rule_impact(spark: SparkSession, folder: str) -> DataFrame:
     star = Star(spark, folder)
@@ -714,6 +878,24 @@ def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def corpus_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of a source as one file, read back by block: lines, code lines, hits, identifiers."""
+    place, setting = shared_folder(spark, "blocks"), "spark.sql.files.maxPartitionBytes"
+    texts = _documents(spark, folder).select("source", "text").repartition("source")
+    texts.write.partitionBy("source").text(place)
+    size = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")  # so that files of the test tables have several blocks, too
+    try:
+        counts = corpus.file_counts(corpus.text_lines(spark, place, ".txt"), LINE_PATTERNS, ID_PATTERNS)
+        counts = stored(counts, place + "-counts", "files")
+    finally:
+        spark.conf.set(setting, size)
+    source = F.regexp_extract("path", "/source=([^/]+)/", 1)
+    sums = [F.sum(c).alias(c) for c in ("code_lines", "pattern_lines", "identifiers")]
+    return counts.groupBy(source.alias("source")).agg(*sums)
+
+
 @_query
 def path_and_unit_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels read from a job path and a variant name made of each event, and its value in minutes."""
@@ -760,6 +942,12 @@ def near_duplicate_docs(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder), "doc_id", "text", 0.8)
 
 
+@_query_as("near_edits")
+def near_edited_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose address at most a fifth of its characters tells from that of an earlier page."""
+    return near_edits(_table(spark, folder, "pages"), "page_id", "url", 0.8)
+
+
 @_query
 def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Shares, reuse, repeated blocks and the mean number of pattern lines per source."""

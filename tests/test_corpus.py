@@ -131,3 +131,33 @@ def test_pairs_of_very_many_equal_lines(spark):
 
     pairs = spark.sql("SELECT 4000000000L AS n").select(_pairs_of(F.col("n")).alias("p")).first()["p"]
     assert int(pairs) == 4_000_000_000 * 3_999_999_999 // 2
+
+
+@pytest.mark.parametrize("block", ["128m", "50b", "7b"])
+def test_files_by_block_equal_whole_files(spark, tmp_path, block):
+    """Lines in order and counts alike, however small the blocks that a file is cut into."""
+    lines = ["first", "", "# note", "AB CDEF 123-4567", "é" * 9, "token XYZW", '"' + "a" * 40 + '"', "last line"]
+    (tmp_path / "d").mkdir()
+    for name, end in (("a", "\n"), ("b", "\r\n"), ("c", "\r")):
+        (tmp_path / "d" / f"{name}.txt").write_bytes(end.join(lines * 12).encode())
+    (tmp_path / "d" / "empty.txt").write_bytes(b"")
+    (tmp_path / "d" / "other.log").write_bytes(b"no\n")
+    patterns, ids = ["token"], ["([0-9]{3}-[0-9]{4})", "([A-Z]{4,})"]
+    setting = "spark.sql.files.maxPartitionBytes"
+    size = spark.conf.get(setting)
+    spark.conf.set(setting, block)
+    try:
+        read = corpus.text_lines(spark, str(tmp_path / "d"), ".txt")
+        rows = read.collect()
+        counts = {r.path.rsplit("/", 1)[1]: r for r in corpus.file_counts(read, patterns, ids).collect()}
+    finally:
+        spark.conf.set(setting, size)
+    for name in "abc":
+        mine = sorted((r.line_number, r.line) for r in rows if r.path.endswith(f"/{name}.txt"))
+        assert [line for _, line in mine] == lines * 12 and [n for n, _ in mine] == list(range(96))
+    whole = corpus.pattern_lines(corpus.text_files(spark, str(tmp_path / "d"), ".txt"), "text", patterns)
+    for r in whole.collect():
+        name = r.path.rsplit("/", 1)[1]
+        if name != "empty.txt":
+            assert (counts[name].code_lines, counts[name].pattern_lines) == (r.code_lines, r.pattern_lines)
+            assert (counts[name].lines, counts[name].identifiers) == (96, 36)

@@ -95,3 +95,17 @@ def test_mean_and_summary(spark):
     assert rows(kpi.summary("g", df.groupBy("g").count(), mean)) == [("g", 3, 3.0)]
     lacking = kpi.summary("g", df.groupBy("g").count(), mean.where("false"), zero=["mean_v"])
     assert rows(lacking) == [("g", 3, 0.0)]
+
+
+def test_growth_over_scales(spark):
+    rows = [("x", s, 3 * s, s * s, 5, s - 1) for s in (1, 2, 4, 8)] + [("y", 1, 7, 7, 7, 7)]
+    df = spark.createDataFrame(rows, "g string, s int, linear int, square int, fixed int, shifted int")
+    found = kpi.growth(df, ["g"], "s", ["linear", "square", "fixed", "shifted"]).collect()
+    at = {(r.g, r.measure, r.scale): r for r in found}
+    assert len(found) == 20
+    assert [round(at["x", m, 8.0].growth_exponent, 9) for m in ("linear", "square", "fixed")] == [1.0, 2.0, 0.0]
+    assert [at["x", "square", s].change_pct for s in (1.0, 2.0, 4.0)] == [None, 300.0, 300.0]
+    assert (at["x", "linear", 4.0].previous_scale, at["x", "linear", 4.0].previous_value) == (2.0, 6.0)
+    # One scale gives no slope, and a value of zero no logarithm.
+    assert at["y", "linear", 1.0].growth_exponent is None
+    assert at["x", "shifted", 1.0].value == 0 and at["x", "shifted", 2.0].change_pct is None
