@@ -5,12 +5,15 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_root: list[str] = []
+_made: list[str] = []  # step folders, for whom it may concern
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -41,7 +44,29 @@ def step_folder(spark: SparkSession, purpose: str) -> str:
         if not _local_root:
             _local_root.append(tempfile.mkdtemp(prefix="llm-steps-"))
         root = _local_root[0]
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    _made.append(folder)
+    return folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def steps_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the step folders that calls inside it have made.
+
+    Only for results that are stored inside it: frames made of these steps cannot be read any more.
+    """
+    before, _made[:] = list(_made), []
+    try:
+        yield
+        for folder in _made:
+            remove_folder(spark, folder)
+    finally:
+        _made[:] = before
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:

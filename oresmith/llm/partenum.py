@@ -4,21 +4,29 @@ Sets whose Jaccard index is at least ``percent`` differ in few shingles: their s
 difference is at most (a + b)(100 - percent) / (100 + percent) for sizes a and b. Sizes are cut
 into bands so that such sets lie in the same or in neighbouring bands, and for a pair of
 neighbouring bands the largest sizes bound the difference by some k. The shingle domain is
-partitioned by a hash into groups of ``parts`` parts each, so many groups that one of them holds
-at most one of the k differing shingles; in it, all parts but one are equal. Every way to leave
-out one part of a group is enumerated, and the shingles in the rest are one signature. Sets that
-are similar enough share a signature. Bands of a bound of 0 need none: there only equal sets
-are similar.
-
-Equal sets are one node. The sets under one signature are compared in two steps that never pair
-all of them. First each is compared with the most central set under the signature, by sketch
-and then whole, which joins nearly all members of a family of copies into one component. Then only sets of different
-components are compared, in blocks of bounded size: a sketch of one bit for each of 4 (k + 1) parts gives a
-lower bound of the difference (the bits that differ), and only pairs within their bound leave
-the block and are verified. Both steps are exact. Links inside a
-component are not needed, since the result is each document's component.
-
-Shingles and sets are told apart by 64-bit hashes.
+partitioned by a hash into groups of ``_PARTS`` parts each. For every subset of all but
+``_LEFT_OUT`` parts of a group, the shingles in it are one signature: sets that differ in no more
+parts of a group than are left out share a signature of it. There are so many groups that sets
+within the bound share at least one; with larger k some more groups are taken, so that they share
+at least c. Bands of a bound of 0 need none: there only equal sets are similar.
+
+Of c shared signatures c - 1 can be spared. So every set drops the c - 1 that most sets have, in
+one order for all: the rarest of the shared ones is kept by both sets. This takes away passages
+and empty parts that many sets have in common, and sets that share less than c with all others.
+
+Equal sets are one node. The sets under one signature are never paired with each other:
+
+1. each is compared with the most central set under the signature, which joins nearly all
+   members of a family of copies into one component;
+2. where several components are left under a signature, sets outside the largest one are compared
+   with those of other components, in blocks of bounded size, by sketches of one bit for each of
+   4 (k + 1) parts (sets differ at least as often as their sketches). A block gives a spanning
+   forest of what is close by sketch, less edges than it has rows, and these are verified;
+3. only where an edge proves wrong, the sets that are still close by sketch to another component
+   are compared whole, inside the blocks, and a block gives a spanning forest of true links.
+
+All steps are exact. Links inside a component are not needed, since the result is each
+document's component. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,20 +34,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oresmith.llm.common import components, semi_join, step_folder, stored
 
 WIDTH, PERCENT = 3, 90
-_LEFT_OUT, _PARTS = 1, 2  # parts left out of a signature, and parts of a group
+_LEFT_OUT, _PARTS = 1, 3  # parts left out of a signature, and parts of a group
 _BLOCK = 256
-_FEW = 3_000_000  # rows of one or two 64-bit numbers
+_BITS = 4  # of a sketch, for each shingle that may differ
+_FEW = 300_000  # ids, broadcast only below
 _REMEMBERED = 150_000
 
 
@@ -112,6 +122,33 @@ def band_bound(band: int, percent: int) -> int:
     return int(most_different(2 * int(bands(percent, 1 << 31)[band]), percent))
 
 
+def least_shared(k: int, groups: int) -> int:
+    """The fewest signatures that sets share that differ in at most k shingles."""
+    shared = [comb(max(0, _PARTS - d), _PARTS - _LEFT_OUT) for d in range(_PARTS + 1)]
+    total, left = groups * shared[0], k
+    # Each further part that differs costs a group less, so all groups lose a first one first.
+    for d in range(_PARTS):
+        spent = min(left, groups)
+        total -= spent * (shared[d] - shared[d + 1])
+        left -= spent
+    return total
+
+
+@lru_cache(maxsize=4096)
+def groups_of(k: int) -> int:
+    """How many groups of parts the bound k gets: one signature is shared, more with larger k."""
+    groups = 1
+    while least_shared(k, groups) < 1 + k // 8:
+        groups += 1
+    return groups
+
+
+def to_spare(band: int, percent: int) -> int:
+    """How many of its shared signatures for this band a set need not keep."""
+    k = band_bound(band, percent)
+    return least_shared(k, groups_of(k)) - 1 if k else 0
+
+
 def _part_sums(values: np.ndarray, parts: int, salt: int) -> np.ndarray:
     """For each part of the domain, a checksum of the set's elements in it."""
     part = (_mixed(values + np.uint64(salt)) >> np.uint64(32)) % np.uint64(parts)
@@ -125,11 +162,14 @@ def _part_sums(values: np.ndarray, parts: int, salt: int) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """Signatures of a set for pairs in this band or the one before; none where k is 0."""
+    """Signatures of a set for pairs in this band or the one before; none where k is 0.
+
+    The lowest bit tells whether the band's number is odd.
+    """
     k = band_bound(band, percent)
     if not k:
         return np.empty(0, dtype=np.uint64)
-    groups = -(-(k + 1) // (_LEFT_OUT + 1))
+    groups = groups_of(k)
     sums = _part_sums(values, groups * _PARTS, 1 + band).reshape(groups, _PARTS)
     number = np.arange(groups, dtype=np.uint64)
     found = []
@@ -138,15 +178,15 @@ def signatures(values: np.ndarray, band: int, percent: int) -> np.ndarray:
         for part in kept:
             total = _mixed(total + sums[:, part])
         found.append(total)
-    return np.concatenate(found)
+    return np.concatenate(found) & ~np.uint64(1) | np.uint64(band & 1)
 
 
-def sketch(values: np.ndarray, band: int, percent: int) -> bytes:
-    """One bit for each of 4 (k + 1) parts or more: whether it holds an odd number of shingles.
+def sketch(values: np.ndarray, band: int, percent: int, bits: int = _BITS) -> bytes:
+    """One bit for each of ``bits`` (k + 1) parts or more: whether it holds an odd number of shingles.
 
     Every shingle of only one of two sets turns one bit, so they differ at least as often as their bits do.
     """
-    parts = max(64, 4 * (band_bound(band, percent) + 1))
+    parts = bits * max(16, band_bound(band, percent) + 1)
     part = (_mixed(values + np.uint64(1_000_003 + band)) >> np.uint64(32)) % np.uint64(parts)
     return np.packbits(np.bincount(part.astype(np.int64), minlength=parts) & 1 > 0).tobytes()
 
@@ -155,29 +195,83 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def _signed_sets(texts: Column, width: int, percent: int) -> Column:
-    """struct(n, node, n_own, signatures): size, hash of the set, signatures for its own band
-    (the first ``n_own``) and for the next."""
-    schema = T.StructType().add("n", "integer").add("node", "long").add("n_own", "integer")
-    schema = schema.add("signatures", T.ArrayType(T.LongType()))
+def _described_sets(texts: Column, width: int, percent: int, bits: int) -> Column:
+    """struct(n, node, odd, spare, next_spare, own, following): size and hash of a set, whether its
+    band is odd, what it has to spare and its sketch for its own band and for the next."""
+    schema = T.StructType().add("n", "integer").add("node", "long").add("odd", "integer")
+    schema = schema.add("spare", "integer").add("next_spare", "integer")
+    schema = schema.add("own", "binary").add("following", "binary")
+
+    def described(s: np.ndarray) -> tuple:
+        if not len(s):
+            return 0, None, 0, 0, 0, None, None
+        band = band_of(len(s), percent)
+        spare, sketches = [to_spare(b, percent) for b in (band, band + 1)], [sketch(s, b, percent, bits) for b in (band, band + 1)]
+        return len(s), int(_signed(_node(s))[0]), band & 1, *spare, *sketches
 
     @F.pandas_udf(schema)
     def made(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in values:
-            s = shingles(text, width)
-            if not len(s):
-                rows.append((0, None, 0, None))
-                continue
-            band = band_of(len(s), percent)
-            own, following = signatures(s, band, percent), signatures(s, band + 1, percent)
-            node = int(_signed(_node(s))[0])
-            rows.append((len(s), node, len(own), _signed(np.concatenate([own, following]))))
-        return _frame(rows, ["n", "node", "n_own", "signatures"])
+        return _frame([described(shingles(text, width)) for text in values], schema.names)
 
     return made(texts)
 
 
+def _signature_rows(width: int, percent: int):
+    """(signature, node) of the texts' sets, each set once a task."""
+    schema = pa.schema([("signature", pa.int64()), ("node", pa.int64())])
+
+    def batch(found: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        node = np.repeat(np.array(nodes, dtype=np.int64), [len(f) for f in found])
+        return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found))), pa.array(node)], schema=schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        found, nodes, held = [], [], 0
+        for texts in batches:
+            for text in texts.column(0):
+                s = shingles(text.as_py(), width)
+                node = int(_signed(_node(s))[0])
+                if not len(s) or node in seen:
+                    continue
+                seen.add(node)
+                band = band_of(len(s), percent)
+                found.append(np.concatenate([signatures(s, b, percent) for b in (band, band + 1)]))
+                nodes.append(node)
+                held += len(found[-1])
+                if held > 100_000:
+                    yield batch(found, nodes)
+                    found, nodes, held = [], [], 0
+        if found:
+            yield batch(found, nodes)
+
+    return rows
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (signature, node), each once, those of signatures with several nodes.
+
+    The last row of a batch is held back until the next shows whether its signature goes on.
+    """
+    held = np.empty((2, 0), dtype=np.int64)
+    before = False  # whether the row held back follows one of its signature
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["signature", "node"])
+
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy() for c in ("signature", "node")])
+        rows = np.concatenate([held, rows], axis=1)
+        if not rows.shape[1]:
+            continue
+        rows = rows[:, np.concatenate([[True], np.any(rows[:, 1:] != rows[:, :-1], axis=0)])]
+        goes_on = rows[0, 1:] == rows[0, :-1]
+        follows = np.concatenate([[before], goes_on])
+        yield out(rows[:, :-1][:, goes_on | follows[:-1]])
+        held, before = rows[:, -1:], bool(follows[-1])
+    if before:
+        yield out(held)
+
+
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     """Rows as a frame whose nodes stay whole numbers beside missing ones."""
     columns = dict(zip(names, zip(*rows))) if rows else {name: () for name in names}
@@ -189,23 +283,18 @@ def _node(s: np.ndarray) -> np.ndarray:
     return _mixed(np.array([np.add.reduce(weight) + np.uint64(len(s))], dtype=np.uint64))
 
 
-def _whole_sets(texts: Column, width: int, percent: int) -> Column:
-    """struct(node, shingles, own, following): the set itself and its sketches for both bands."""
-    schema = T.StructType().add("node", "long").add("shingles", T.ArrayType(T.LongType()))
-    schema = schema.add("own", "binary").add("following", "binary")
+def _whole_sets(texts: Column, width: int) -> Column:
+    """struct(node, shingles, packed): the set itself, as numbers and as their bytes."""
+    schema = T.StructType().add("node", "long").add("shingles", T.ArrayType(T.LongType())).add("packed", "binary")
 
     @F.pandas_udf(schema)
     def made(values: pd.Series) -> pd.DataFrame:
         rows = []
         for text in values:
             s = shingles(text, width)
-            if not len(s):
-                rows.append((None, None, None, None))
-                continue
-            band = band_of(len(s), percent)
-            node = int(_signed(_node(s))[0])
-            rows.append((node, _signed(s), sketch(s, band, percent), sketch(s, band + 1, percent)))
-        return _frame(rows, ["node", "shingles", "own", "following"])
+            whole = _signed(s)
+            rows.append((int(_signed(_node(s))[0]), whole, whole.tobytes()) if len(s) else (None, None, None))
+        return _frame(rows, ["node", "shingles", "packed"])
 
     # Not to be run ahead of the join that picks the texts, to filter on its result.
     return made.asNondeterministic()(texts)
@@ -224,82 +313,147 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("sizes") - F.col("i"))).select("a", "b")
 
 
-def _close_by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _close_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b, sizes, marks) that their sketches leave within the bound.
 
     ``marks`` is 2 where a's sketch is that of its own band, plus 1 where b's is.
     """
 
-    @F.pandas_udf("int")
     def different(x: pd.Series, y: pd.Series) -> pd.Series:
         counts = [np.bitwise_count(np.frombuffer(s, np.uint8) ^ np.frombuffer(t, np.uint8)).sum(dtype=int) for s, t in zip(x, y)]
         return pd.Series(counts, dtype="int32")
 
     both = pairs
     for end, own in (("a", F.col("marks") >= 2), ("b", F.col("marks") % 2 == 1)):
-        marks = sets.select(F.col("node").alias(end), F.col("own").alias("own_mark"), F.col("following").alias("next_mark"))
-        both = both.join(marks, end)
+        both = both.join(sketches.withColumnRenamed("node", end), end)
         both = both.withColumn(f"mark_{end}", F.when(own, F.col("own_mark")).otherwise(F.col("next_mark")))
         both = both.drop("own_mark", "next_mark")
     bound = F.expr(f"sizes * {100 - percent} div {100 + percent}")
-    return both.where(different("mark_a", "mark_b") <= bound).select("a", "b")
+    return both.where(F.pandas_udf(different, T.IntegerType())("mark_a", "mark_b") <= bound).select("a", "b")
+
 
+_KEYS = ["signature", "at", "against"]
 
-def _block_candidates(percent: int):
-    """Pairs within their bound by sketch, of different components, from rows sorted by block key.
 
-    Rows are (signature, low, high, block, node, n, component, sketch). Where low and high
-    differ, only pairs across the two blocks are compared; a block has a bounded size.
+def _blocks(percent: int, output: str):
+    """What is close in blocks of rows (signature, at, against, outside, node, n, component, mark),
+    sorted by the first three.
+
+    In a block the rows ``at`` it are compared with the outside rows dealt ``against`` them, where
+    components differ. ``output`` is ``forest``: edges (a, b) of a spanning forest of what is close
+    by sketch; ``doubtful``: nodes (a, a) that are close by sketch to another component;
+    ``links``: a spanning forest of what is similar by whole sets, which ``mark`` then holds.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows: pd.DataFrame) -> np.ndarray:
-        node, n, component = (rows[c].to_numpy(np.int64) for c in ("node", "n", "component"))
-        marks = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
-        block = rows["block"].to_numpy()
-        across = rows["low"].iat[0] != rows["high"].iat[0]
+    def similar(mark: np.ndarray, marks: np.ndarray, sizes: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Which rows, of those that may, are close to the one row."""
+        at = np.flatnonzero(differ)
+        if output != "links":
+            bits = np.bitwise_count(np.stack(marks[at]) ^ mark).sum(1, dtype=int) if len(at) else np.empty(0, int)
+            return at[bits <= most_different(sizes[at], percent)]
+        common = np.array([len(np.intersect1d(mark, marks[i], assume_unique=True)) for i in at], dtype=int)
+        return at[100 * common >= percent * (sizes[at] - common)] if len(at) else at
+
+    def compare(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        here, there = rows[rows["here"]], rows[~rows["here"]]
+        if not len(here) or not len(there):
+            return []
+        dtype = np.int64 if output == "links" else np.uint8
+        marks = np.empty(len(here), dtype=object)
+        marks[:] = [np.frombuffer(m, dtype) for m in here["mark"]]
+        node, n, component = (here[c].to_numpy(np.int64) for c in ("node", "n", "component"))
+        inside = ~here["outside"].to_numpy(bool)
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
         found = []
-        for i in range(len(rows) - 1):
-            j = np.flatnonzero((component[i + 1 :] != component[i]) & (not across or block[i + 1 :] != block[i])) + i + 1
-            j = j[most_different(n[j] + n[i], percent) >= np.abs(n[j] - n[i])]
-            if not len(j):
-                continue
-            different = np.bitwise_count(marks[j] ^ marks[i]).sum(1, dtype=int)
-            j = j[different <= most_different(n[j] + n[i], percent)]
-            if len(j):
-                found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
-        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["signature", "low", "high"]
-        rest, pairs, held = None, [], 0
+        for other, m, its, mark in zip(there["node"], there["n"], there["component"], there["mark"]):
+            # Two outside rows meet twice, once from each side.
+            may = (component != its) & (inside | (node < other))
+            sizes = n + m
+            may &= most_different(sizes, percent) >= np.abs(n - m)
+            for i in similar(np.frombuffer(mark, dtype), marks, sizes, may).tolist():
+                if output == "doubtful":
+                    found += [(int(node[i]),) * 2, (int(other),) * 2]
+                    continue
+                x, y = root(int(component[i])), root(int(its))
+                if x != y:
+                    parent[x] = y
+                    found.append((min(int(node[i]), int(other)), max(int(node[i]), int(other))))
+        return found
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, found = None, set()
         for batch in batches:
             rows = batch.to_pandas()
             rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
             if not len(rows):
                 continue
-            key = rows[keys].to_numpy()
-            first = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-            first = np.concatenate([[0], first])
-            for start, end in zip(first[:-1], first[1:]):
-                if end - start > 1:
-                    pairs.append(compare(rows.iloc[start:end]))
-                    held += len(pairs[-1])
-            rest = rows.iloc[first[-1] :]
-            if held > 100_000:
-                yield _batch(pairs, schema)
-                pairs, held = [], 0
-        if rest is not None and len(rest) > 1:
-            pairs.append(compare(rest))
-        if pairs:
-            yield _batch(pairs, schema)
-
-    return candidates
-
-
-def _batch(pairs: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    unique = np.unique(np.concatenate(pairs), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(unique[:, 0]), pa.array(unique[:, 1])], schema=schema)
+            key = rows[_KEYS].to_numpy(np.int64)
+            borders = [0, *(np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1).tolist()]
+            for start, end in zip(borders[:-1], borders[1:]):
+                found.update(compare(rows.iloc[start:end]))
+            rest = rows.iloc[borders[-1] :]
+            if len(found) > 100_000:
+                yield _batch(found, schema)
+                found = set()
+        if rest is not None:
+            found.update(compare(rest))
+        if found:
+            yield _batch(found, schema)
+
+    return blocks
+
+
+def _batch(pairs: set[tuple[int, int]], schema: pa.Schema) -> pa.RecordBatch:
+    columns = np.array(sorted(pairs), dtype=np.int64).T
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+
+def _mixed_blocks(members: DataFrame, known: DataFrame, folder: str, name: str) -> DataFrame:
+    """(signature, at, against, here, outside, node, n, own, component): the members of signatures
+    under which several components are left, dealt into blocks.
+
+    Sets outside the largest component of a signature are compared with all others under it, so
+    with one large family and few others the rows are little more than the members.
+    """
+    labelled = members.join(known, "node", "left")
+    labelled = stored(labelled.withColumn("component", F.coalesce("component", "node")), folder, f"{name}-labelled")
+    parts = labelled.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("signature").agg(
+        F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("held"), F.count(F.lit(1)).alias("parts")
+    )
+    blocks = [F.ceil(c / _BLOCK).cast("int") for c in (F.col("held"), F.col("held") - F.col("main.size"))]
+    mixed = mixed.where("parts > 1").select(
+        "signature", F.col("main.component").alias("main"), blocks[0].alias("rows"), blocks[1].alias("columns")
+    )
+    mixed = stored(mixed, folder, f"{name}-mixed")
+    dealt = labelled.join(mixed, "signature").withColumn("outside", F.col("component") != F.col("main"))
+
+    def block(of: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    rest = [F.col(c) for c in ("outside", "node", "n", "own", "component")]
+    here = dealt.select("signature", block("rows").alias("at"), every("columns").alias("against"), F.lit(True).alias("here"), *rest)
+    there = dealt.where("outside").select(
+        "signature", every("rows").alias("at"), block("columns").alias("against"), F.lit(False).alias("here"), *rest
+    )
+    return here.union(there)
+
+
+def _in_blocks(dealt: DataFrame, percent: int, output: str) -> DataFrame:
+    """(a, b) of the dealt rows with their ``mark``."""
+    columns = [*_KEYS, "here", "outside", "node", "n", "component", "mark"]
+    rows = dealt.select(*columns).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    return rows.mapInArrow(_blocks(percent, output), "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -315,31 +469,44 @@ def jaccard_components(
     """
     folder = step_folder(docs.sparkSession, "jaccard-join")
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    made = source.select("id", _signed_sets(F.col("text"), width, percent).alias("s"))
-    rows = stored(made.select("id", "s.*"), folder, "signed-sets")
-
-    # Signatures that at least two different sets share, and the sets under them.
-    exploded = rows.where("n > 0").select("node", "n", "n_own", F.posexplode("signatures").alias("at", "signature"))
-    spans = exploded.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    shared = stored(spans.where("least <> most").select("signature"), folder, "shared-signatures")
-    members = semi_join(exploded, shared, ["signature"], _FEW)
-    members = members.select("signature", "node", "n", (F.col("at") < F.col("n_own")).alias("own")).distinct()
-    members = stored(members, folder, "members")
-
-    # The whole sets of those nodes, from one document each.
-    nodes = members.select("node").distinct()
-    chosen = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    chosen = stored(chosen, folder, "chosen")
-    ids = stored(chosen.where("id IS NOT NULL").select("id").distinct(), folder, "chosen-ids")
-    texts = semi_join(source, ids, ["id"], _FEW).union(source.where("id IS NULL"))
-    sets = texts.select(_whole_sets(F.col("text"), width, percent).alias("s")).select("s.*")
-    sets = sets.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(sets, folder, "sets")
+    made = source.select("id", _described_sets(F.col("text"), width, percent, _BITS).alias("s"))
+    rows = stored(made.select("id", "s.*"), folder, "described-sets")
+    columns = [c for c in rows.columns if c not in {"id", "node"}]
+    nodes = rows.where("n > 0").groupBy("node").agg(
+        *[F.min(c).alias(c) for c in columns], F.min("id").alias("least"), F.count(F.lit(1)).alias("times")
+    )
+    nodes = stored(nodes, folder, "nodes")
+
+    # Signatures that several sets share, and the sets under them; none of them is stored before.
+    signed = source.select("text").mapInArrow(_signature_rows(width, percent), "signature long, node long")
+    signed = signed.repartition("signature").sortWithinPartitions("signature", "node")
+    shared = stored(signed.mapInArrow(_shared_rows, "signature long, node long"), folder, "shared")
+    # What a set can spare goes, the commonest first.
+    held = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("held"))
+    ranked = shared.join(held, "signature").join(nodes.select("node", "n", "odd", "spare", "next_spare"), "node")
+    own = (F.col("signature") % 2 != 0) == (F.col("odd") == 1)
+    common_first = Window.partitionBy("node", "own").orderBy(F.desc("held"), "signature")
+    ranked = ranked.withColumn("own", own).withColumn("place", F.row_number().over(common_first))
+    kept = ranked.where(F.col("place") > F.when(F.col("own"), F.col("spare")).otherwise(F.col("next_spare")))
+    kept = stored(kept.select("signature", "node", "n", "own"), folder, "kept")
+    held = kept.groupBy("signature").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    members = stored(kept.join(held, "signature"), folder, "members")
+    sketches = nodes.select("node", F.col("own").alias("own_mark"), F.col("following").alias("next_mark"))
+
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        """(node, shingles) of the nodes in the pairs, from one document each."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        ends = stored(ends, folder, f"{name}-ends")
+        chosen = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("id"))
+        ids = stored(chosen.where("id IS NOT NULL").distinct(), folder, f"{name}-ids")
+        texts = semi_join(source, ids, ["id"], _FEW).union(source.where("id IS NULL"))
+        sets = texts.select(_whole_sets(F.col("text"), width).alias("s")).select("s.*")
+        sets = sets.join(ends, "node", "left_semi").dropDuplicates(["node"])
+        return stored(sets, folder, f"{name}-sets")
 
     # First step: every set against the most central one under each of its signatures.
-    sizes = stored(members.groupBy("signature").agg(F.count(F.lit(1)).alias("held")), folder, "sizes")
-    central = members.join(sizes, "signature").groupBy("node").agg(F.sum("held").alias("weight"))
-    weighted = stored(members.join(central, "node"), folder, "weighted")
+    central = members.groupBy("node").agg(F.sum("held").alias("weight"))
+    weighted = stored(members.join(central, "node").drop("held"), folder, "weighted")
     heads = weighted.groupBy("signature").agg(F.max(F.struct("weight", "node", "n", "own")).alias("head"))
     heads = heads.select("signature", F.col("head.node").alias("head"), F.col("head.n").alias("m"), F.col("head.own").alias("head_own"))
     heads = stored(heads, folder, "heads")
@@ -352,47 +519,37 @@ def jaccard_components(
         F.expr("if(if(node < head, own, head_own), 2, 0) + if(if(node < head, head_own, own), 1, 0)").alias("marks"),
     )
     star = stored(star.groupBy("a", "b", "sizes").agg(F.min("marks").alias("marks")), folder, "star")
-    near = stored(_close_by_sketch(star, sets, percent), folder, "star-close")
-    links = stored(_linked(near, sets, percent), folder, "star-links")
-    known = components(links, f"{folder}/first")
-
-    # Second step: sets of different components under a signature, in blocks.
-    labelled = members.join(known, "node", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "node"))
-    labelled = stored(labelled, folder, "labelled")
-    mixed = labelled.groupBy("signature").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("held")
-    )
-    mixed = mixed.where("least <> most").select("signature", F.ceil(F.col("held") / _BLOCK).cast("int").alias("blocks"))
-    mixed = stored(mixed, folder, "mixed-signatures")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    dealt = labelled.join(mixed, "signature").select("*", block)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(sets.select("node", "own", "following").toDF("node", "own_sketch", "following_sketch"), "node")
-    dealt = dealt.select(
-        "signature",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        "block",
-        "node",
-        "n",
-        "component",
-        F.when(F.col("own"), F.col("own_sketch")).otherwise(F.col("following_sketch")).alias("sketch"),
-    )
-    keys = ["signature", "low", "high"]
-    sorted_rows = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    close = sorted_rows.mapInArrow(_block_candidates(percent), "a long, b long").distinct()
-    close = stored(close.join(star, ["a", "b"], "left_anti"), folder, "close")
-    late = _linked(close, sets, percent)
-    labels = components(stored(links.union(late), folder, "links"), f"{folder}/second")
+    near = stored(_close_by_sketch(star, sketches, percent), folder, "star-close")
+    links = stored(_linked(near, sets_of(near, "star"), percent), folder, "star-links")
+    known = components(links, f"{folder}/star-components")
+
+    # Second step: sets of different components under a signature, by sketch, in blocks.
+    def marked(blocks: DataFrame) -> DataFrame:
+        mark = F.when(F.col("own"), F.col("own_mark")).otherwise(F.col("next_mark")).alias("mark")
+        return blocks.join(sketches, "node").select(*blocks.columns, mark)
+
+    late = _in_blocks(marked(_mixed_blocks(members.drop("held"), known, folder, "forest")), percent, "forest")
+    late = stored(late, folder, "forest")
+    if late.limit(1).count():
+        true = stored(_linked(late, sets_of(late, "forest"), percent), folder, "forest-links")
+        links = stored(links.union(true), folder, "links")
+        known = components(links, f"{folder}/forest-components")
+        if true.count() < late.count():
+            # Third step: a wrong edge may hide a true one, so what is still close is compared whole.
+            blocks = stored(_mixed_blocks(members.drop("held"), known, folder, "whole"), folder, "whole-blocks")
+            doubtful = stored(_in_blocks(marked(blocks), percent, "doubtful"), folder, "doubtful")
+            whole = sets_of(doubtful, "whole").select("node", F.col("packed").alias("mark"))
+            true = stored(_in_blocks(blocks.join(whole, "node"), percent, "links"), folder, "whole-links")
+            links = stored(links.union(true), folder, "all-links")
+            known = components(links, f"{folder}/all-components")
+    labels = known
 
     # The smallest id of every component, for nodes of several documents or with links.
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times"))
-    nodes = nodes.join(labels, "node", "left").where("times > 1 OR component IS NOT NULL")
-    nodes = nodes.select("node", "least", F.coalesce("component", "node").alias("component"))
-    nodes = stored(nodes, folder, "grouped")
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(stored(least, folder, "least"), "component").select("node", "component_id")
+    grouped = nodes.join(labels, "node", "left").where("times > 1 OR component IS NOT NULL")
+    grouped = grouped.select("node", "least", F.coalesce("component", "node").alias("component"))
+    grouped = stored(grouped, folder, "grouped")
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = grouped.join(stored(least, folder, "least"), "component").select("node", "component_id")
     named = stored(named, folder, "named")
     found = rows.select("id", "n", "node").join(named, "node", "left")
     return found.select(

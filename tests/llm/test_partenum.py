@@ -71,21 +71,101 @@ def test_joins_without_broadcast(spark, monkeypatch):
     assert got(spark, docs) == brute(docs)
 
 
-def test_similar_sets_share_a_signature():
-    choose = np.random.default_rng(1)
-    for _ in range(300):
+def near_pairs(percent, seed, times=300):
+    """Pairs of sets around the bound, with all signatures of each by band."""
+    choose = np.random.default_rng(seed)
+    for _ in range(times):
         n = int(choose.integers(5, 400))
+        most = n * (100 - percent) // 150 + 1
         a = np.unique(choose.integers(0, 1 << 63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[int(choose.integers(0, n // 15 + 1)) :], choose.integers(0, 1 << 63, int(choose.integers(0, n // 15 + 1)), dtype=np.uint64)]))
+        new = choose.integers(0, 1 << 63, int(choose.integers(0, most)), dtype=np.uint64)
+        b = np.unique(np.concatenate([a[int(choose.integers(0, most)) :], new]))
         common = len(np.intersect1d(a, b))
-        if 100 * common < 90 * (len(a) + len(b) - common) or np.array_equal(a, b):
-            continue
-        of = [
-            set(np.concatenate([partenum.signatures(s, band + i, 90) for i in (0, 1)]).tolist())
-            for s in (a, b)
-            for band in [partenum.band_of(len(s), 90)]
-        ]
-        assert of[0] & of[1]
+        if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
+            bands = [partenum.band_of(len(s), percent) for s in (a, b)]
+            yield [{band + i: partenum.signatures(s, band + i, percent) for i in (0, 1)} for s, band in zip((a, b), bands)]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_signatures(percent):
+    """As many as the bound says, under the band of the larger set; the lowest bit tells the band."""
+    pairs = list(near_pairs(percent, percent))
+    assert len(pairs) > 50
+    for a, b in pairs:
+        band = max(set(a) & set(b)) if max(a) != max(b) else min(a)
+        shared = set(a[band].tolist()) & set(b[band].tolist())
+        assert len(shared) > partenum.to_spare(band, percent) >= 0
+        assert all(s % 2 == band % 2 for s in shared)
+
+
+def test_signatures_are_subsets_of_several_parts():
+    values = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    band = partenum.band_of(len(values), 80)
+    k, found = partenum.band_bound(band, 80), partenum.signatures(values, band, 80)
+    groups = partenum.groups_of(k)
+    assert len(found) == len(set(found.tolist())) == groups * 3
+    # A change of one shingle changes two of the three subsets of its group.
+    changed = partenum.signatures(values[1:], band, 80)
+    assert len(set(found.tolist()) - set(changed.tolist())) == 2
+
+
+@pytest.mark.parametrize("groups", [1, 2, 5])
+def test_least_shared_by_trying(groups):
+    """Every way to spread k differences over the parts of the groups."""
+    from itertools import product
+
+    def shared(spread):
+        of_group = [spread[3 * g : 3 * g + 3] for g in range(groups)]
+        return sum(sum(not (x or y) for x, y in combinations(parts, 2)) for parts in of_group)
+
+    for spread in product([0, 1], repeat=3 * min(groups, 3)):
+        if groups <= 3:
+            assert shared(spread) >= partenum.least_shared(sum(spread), groups)
+    for k in range(2 * groups):
+        worst = [0] * (3 * groups)
+        for at in [3 * g for g in range(groups)][:k] + [3 * g + 1 for g in range(groups)][: max(0, k - groups)]:
+            worst[at] = 1
+        assert shared(worst) == partenum.least_shared(k, groups)
+
+
+def test_rows_of_shared_signatures_across_batches():
+    import pyarrow as pa
+
+    choose = random.Random(3)
+    for _ in range(200):
+        rows = sorted((choose.randrange(6), choose.randrange(3)) for _ in range(choose.randint(0, 20)))
+        batches, at = [], 0
+        while at < len(rows):
+            size = choose.randint(0, 4)
+            part = rows[at : at + size]
+            batches.append(pa.RecordBatch.from_pydict({"signature": pa.array([r[0] for r in part], pa.int64()), "node": pa.array([r[1] for r in part], pa.int64())}))
+            at += size
+        found = [tuple(r.values()) for b in partenum._shared_rows(iter(batches)) for r in b.to_pylist()]
+        several = {s for s in range(6) if len({n for x, n in rows if x == s}) > 1}
+        assert found == sorted({r for r in rows if r[0] in several})
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_wrong_edges_by_sketch_hide_no_link(spark, monkeypatch, block):
+    """With sketches that tell nothing apart, what is close by sketch is mostly wrong."""
+    monkeypatch.setattr(partenum, "_BITS", 1)
+    monkeypatch.setattr(partenum, "_BLOCK", block)
+    docs = families(9, [40, 40, 90, 150], 14, [0, 2, 4, 6, 9])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = partenum.jaccard_components(frame, "doc_id", "text", percent=80, width=2).collect()
+    assert sorted([tuple(r) for r in rows], key=repr) == brute(docs, 80, 2)
+
+
+def test_chains_of_copies(spark, monkeypatch):
+    """Each text is near the one before only, so no text is near the most central one's copies."""
+    monkeypatch.setattr(partenum, "_BLOCK", 8)
+    choose, words = random.Random(4), [f"v{i}" for i in range(3000)]
+    text, docs = [choose.choice(words) for _ in range(150)], []
+    for i in range(60):
+        for _ in range(3):
+            text[choose.randrange(150)] = choose.choice(words)
+        docs.append((i, " ".join(text)))
+    assert got(spark, docs) == brute(docs)
 
 
 def test_a_sketch_never_overstates_the_difference():
