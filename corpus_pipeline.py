@@ -19,17 +19,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oresmith.llm import language, line_dedup, packing, partenum, toxicity
-from oresmith.llm.common import bounded, ship_package, step_folder, stored
+from oresmith.llm.common import bounded, remove_folder, ship_package, step_folder, steps_removed, stored
 from oresmith.llm.queries import PACK_TOKENIZER
 
 TOXIC_FROM = 0.3
 LANGUAGE_FROM = 0.3
 NEAR_PERCENT, NEAR_WIDTH = 80, 5
-_FEW = 2_000_000
+_FEW = 300_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,20 +58,30 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def _with_row_keys(docs: DataFrame, folder: str) -> DataFrame:
+    """The rows with ``row_key``, which stays the same whenever they are read again: the file and
+    the place in it, or, where rows are not read from files, a number stored with them."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        key = F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+        return docs.select("*", key.alias("row_key"))
+    except AnalysisException:
+        return stored(docs.withColumn("row_key", F.monotonically_increasing_id()), folder, "rows")
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    folder = step_folder(spark, "one-of-each-group")
     # Whatever the columns are called, they come back beside the row's own key.
     plain = [f"c{i}" for i in range(len(docs.columns))]
     names = dict(zip(docs.columns, plain))
-    # The key is stored with its row, so a repeated task cannot number rows anew.
-    rows = stored(docs.toDF(*plain).withColumn("row_key", F.monotonically_increasing_id()), folder, "rows")
-    groups = partenum.jaccard_components(rows, "row_key", names["text"], percent=NEAR_PERCENT, width=NEAR_WIDTH)
-    members = groups.join(rows.select("row_key", F.col(names["doc_id"]).alias("doc")), "row_key")
-    members = stored(members.select("row_key", "doc", "component_id"), folder, "members")
-    first = F.min(F.struct(F.col("doc").isNull(), "doc", "row_key")).alias("first")
-    firsts = members.groupBy("component_id").agg(first).select("first.row_key")
-    others = stored(members.select("row_key").join(firsts, "row_key", "left_anti"), folder, "others")
+    rows = _with_row_keys(docs, step_folder(spark, "one-of-each-group")).toDF(*plain, "row_key")
+    # Ordered by document id, NULL last, then by key, so a group's least row is the one that stays.
+    doc = F.col(names["doc_id"])
+    order = F.struct(doc.isNull().alias("no_id"), doc.alias("doc"), "row_key").alias("place")
+    placed = rows.select(order, F.col(names["text"]).alias("text"))
+    groups = partenum.jaccard_components(placed, "place", "text", percent=NEAR_PERCENT, width=NEAR_WIDTH)
+    others = groups.where("place <> component_id").select("place.row_key")
+    others = stored(others, step_folder(spark, "others-of-groups"), "others")
     # The keys that go are broadcast only where a count shows that they are few.
     others = F.broadcast(others) if bounded(others, _FEW) else others
     return rows.join(others, "row_key", "left_anti").select(*plain).toDF(*docs.columns)
@@ -95,9 +106,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored before the next."""
+    """All stages over ``documents``, each stored before the next.
+
+    What a stage stored on its way is removed as soon as its result is stored, and so is the
+    result before; the last one stays.
+    """
     folder = step_folder(spark, "corpus-pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), folder, name)
+    for at, (name, stage) in enumerate(STAGES):
+        with steps_removed(spark):
+            docs = stored(stage(spark, docs, sf_dir), folder, name)
+        if at:
+            remove_folder(spark, f"{folder}/{STAGES[at - 1][0]}")
     return docs
