@@ -284,9 +284,9 @@ def top_items_of_months(
 ) -> DataFrame:
     """``top_items_month`` of the months for which a condition on ``date_dim`` holds.
 
-    ``fact`` is stored with ``SOLD_PERIOD`` as its partition columns. Year and month of the chosen
-    days are part of the join, so Spark reads the partitions of those months only, whatever the
-    condition is on, and drops fact rows of other days before the sums by the days themselves.
+    ``fact`` is stored with ``SOLD_PERIOD`` as its partition columns, and ``date_dim`` is stored as
+    well. Year and month of the chosen days are part of the join, so Spark reads the partitions of
+    those months only, whatever the condition is on; the days themselves settle the rest.
     """
     days = date_dim.where(months)
     period = F.expr("date_key div 10000").cast("int").alias("sold_year"), (F.expr("date_key div 100") % 100).cast("int").alias("sold_month")

@@ -611,10 +611,10 @@ def top_items_of_some_months(spark: SparkSession, folder: str) -> DataFrame:
     star, space = Star(spark, folder), _space(spark, "periods")
     fact = gold.with_sold_period(star.gold_table("gold_fact_store_sales"))
     space.write(fact, "gold_fact_store_sales", partition_by=gold.SOLD_PERIOD)
-    leaders = gold.top_items_of_months(
-        space.read("gold_fact_store_sales"), star.gold_table("gold_dim_date"), star.gold_table("gold_dim_item"), F.expr(MART_MONTHS)
-    )
-    return _settled(space, leaders)
+    for name in ("gold_dim_date", "gold_dim_item"):
+        space.write(star.gold_table(name), name)
+    fact, days, items = (space.read(t) for t in ("gold_fact_store_sales", "gold_dim_date", "gold_dim_item"))
+    return _settled(space, gold.top_items_of_months(fact, days, items, F.expr(MART_MONTHS)))
 
 
 @_query_as("change_impact")

@@ -144,7 +144,9 @@ def test_the_mart_of_some_months_reads_their_partitions(spark, star):
     folder = shared_folder(spark, "periods")
     space = TableSpace(spark, folder.rsplit("/", 1)[1].replace("-", "_")).create(folder)
     space.write(gold.with_sold_period(star.gold_table("gold_fact_store_sales")), "fact", partition_by=gold.SOLD_PERIOD)
-    date_dim, items = (star.gold_table(t) for t in ("gold_dim_date", "gold_dim_item"))
+    for name in ("gold_dim_date", "gold_dim_item"):
+        space.write(star.gold_table(name), name)
+    date_dim, items = space.read("gold_dim_date"), space.read("gold_dim_item")
     some = gold.top_items_of_months(space.read("fact"), date_dim, items, F.expr(MART_MONTHS))
     assert "dynamicpruning" in plan_of(some)
     assert some.count() == 30
