@@ -50,25 +50,31 @@ _LEFT_OUT, _PARTS = 1, 3  # parts left out of a signature, and parts of a group
 _BLOCK = 256
 _BITS = 4  # of a sketch, for each shingle that may differ
 _FEW = 300_000  # ids, broadcast only below
-_REMEMBERED = 150_000
 
 
 # ---------------------------------------------------------------- sets of shingles
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words by their bytes; starts anew when full."""
+_PLACES = 256
+# One random number for each place in a word and byte there; longer words start over, with a factor.
+_NUMBERS = np.random.default_rng(20).integers(1, 1 << 64, _PLACES * 256, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, what ASCII white space separates, in their order."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    at = np.flatnonzero((data != 32) & (data - np.uint8(9) > 4))  # 9 to 13 and 32 are white space
+    if not len(at):
+        return np.empty(0, dtype=np.uint64)
+    begins = np.empty(len(at), dtype=bool)
+    begins[0] = True
+    np.not_equal(at[1:], at[:-1] + 1, out=begins[1:])
+    first = np.flatnonzero(begins)
+    place = at - np.repeat(at[first], np.diff(np.append(first, len(at))))
+    numbers = _NUMBERS[place % _PLACES * 256 + data[at]]
+    if place.max() >= _PLACES:
+        numbers = numbers * (place // _PLACES * 2 + 1).astype(np.uint64)
+    return np.add.reduceat(numbers, first)
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -83,16 +89,16 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     Words are what ASCII white space separates, with A-Z in lower case. A text of fewer words
     than ``width`` is one shingle; one without words, or NULL, has none.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    hashes = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    runs = max(1, len(words) - width + 1)
-    taken = min(width, len(words))
+    hashes = word_hashes((text or "").encode("utf-8", "replace").lower())
+    if not len(hashes):
+        return hashes
+    runs = max(1, len(hashes) - width + 1)
+    taken = min(width, len(hashes))
     total = np.full(runs, taken, dtype=np.uint64)
     for i in range(taken):
-        total = _mixed(total + hashes[i : i + runs])
-    return np.unique(total)
+        total = total * np.uint64(0xD1B54A32D192ED03) + hashes[i : i + runs]
+    total = np.sort(_mixed(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 # ---------------------------------------------------------------- signatures
@@ -117,6 +123,7 @@ def most_different(sizes: int | np.ndarray, percent: int):
     return sizes * (100 - percent) // (100 + percent)
 
 
+@lru_cache(maxsize=4096)
 def band_bound(band: int, percent: int) -> int:
     """The bound k for pairs with sizes in this band or the one before."""
     return int(most_different(2 * int(bands(percent, 1 << 31)[band]), percent))
@@ -143,25 +150,51 @@ def groups_of(k: int) -> int:
     return groups
 
 
+@lru_cache(maxsize=4096)
 def to_spare(band: int, percent: int) -> int:
     """How many of its shared signatures for this band a set need not keep."""
     k = band_bound(band, percent)
     return least_shared(k, groups_of(k)) - 1 if k else 0
 
 
-def _part_sums(values: np.ndarray, parts: int, salt: int) -> np.ndarray:
-    """For each part of the domain, a checksum of the set's elements in it."""
-    part = (_mixed(values + np.uint64(salt)) >> np.uint64(32)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    part = part[order].astype(np.int64)
-    sums = np.zeros(parts, dtype=np.uint64)
-    if len(part):
-        first = np.flatnonzero(np.diff(part, prepend=-1))
-        sums[part[first]] = np.add.reduceat(_mixed(values[order] ^ np.uint64(0x5851F42D4C957F2D)), first)
-    return sums
+class Spread:
+    """A set's shingles spread over the domain once, to be cut into any number of parts."""
+
+    def __init__(self, values: np.ndarray):
+        self.low = _mixed(values + np.uint64(1))
+        self.sorted = np.sort(self.low)
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(_mixed(self.sorted ^ np.uint64(0x5851F42D4C957F2D)), out=self.sums[1:])
+
+    def node(self) -> int:
+        """The set's number: a signed 64-bit hash."""
+        return int(_signed(_mixed(self.sums[-1:] + np.uint64(len(self.low))))[0])
+
+    def part_sums(self, parts: int) -> np.ndarray:
+        """For each of equal parts of the domain, a checksum of the shingles in it."""
+        edges = np.searchsorted(self.sorted, _edges(parts))
+        found = np.empty(parts, dtype=np.uint64)
+        found[:-1] = self.sums[edges]
+        found[-1] = self.sums[-1]
+        found[1:] -= found[:-1].copy()
+        return found
+
+
+@lru_cache(maxsize=1024)
+def _edges(parts: int) -> np.ndarray:
+    """Where all parts but the first begin."""
+    return np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
 
 
-def signatures(values: np.ndarray, band: int, percent: int) -> np.ndarray:
+@lru_cache(maxsize=1024)
+def _names(band: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that tell apart the parts, and the subsets of each group (rows), of one band."""
+    part = np.arange(groups * _PARTS, dtype=np.uint64) + np.uint64(band << 32)
+    subset = np.arange(groups * comb(_PARTS, _LEFT_OUT), dtype=np.uint64) + np.uint64((band << 32) + (1 << 31))
+    return _mixed(part), _mixed(subset).reshape(-1, groups)
+
+
+def signatures(values: np.ndarray | Spread, band: int, percent: int) -> np.ndarray:
     """Signatures of a set for pairs in this band or the one before; none where k is 0.
 
     The lowest bit tells whether the band's number is odd.
@@ -169,26 +202,25 @@ def signatures(values: np.ndarray, band: int, percent: int) -> np.ndarray:
     k = band_bound(band, percent)
     if not k:
         return np.empty(0, dtype=np.uint64)
-    groups = groups_of(k)
-    sums = _part_sums(values, groups * _PARTS, 1 + band).reshape(groups, _PARTS)
-    number = np.arange(groups, dtype=np.uint64)
-    found = []
-    for i, kept in enumerate(combinations(range(_PARTS), _PARTS - _LEFT_OUT)):
-        total = number * np.uint64(64) + np.uint64((band << 32) + i)
-        for part in kept:
-            total = _mixed(total + sums[:, part])
-        found.append(total)
-    return np.concatenate(found) & ~np.uint64(1) | np.uint64(band & 1)
-
-
-def sketch(values: np.ndarray, band: int, percent: int, bits: int = _BITS) -> bytes:
+    spread, groups = values if isinstance(values, Spread) else Spread(values), groups_of(k)
+    parts, subsets = _names(band, groups)
+    sums = _mixed(spread.part_sums(groups * _PARTS) + parts).reshape(_PARTS, groups)
+    total = subsets.copy()
+    for row, kept in zip(total, combinations(range(_PARTS), _PARTS - _LEFT_OUT)):
+        for place, part in enumerate(kept):
+            row += sums[part] * np.uint64(2 * place + 1)
+    return total.ravel() & ~np.uint64(1) | np.uint64(band & 1)
+
+
+def sketch(values: np.ndarray | Spread, band: int, percent: int, bits: int = _BITS) -> bytes:
     """One bit for each of ``bits`` (k + 1) parts or more: whether it holds an odd number of shingles.
 
     Every shingle of only one of two sets turns one bit, so they differ at least as often as their bits do.
     """
+    low = values.low if isinstance(values, Spread) else Spread(values).low
     parts = bits * max(16, band_bound(band, percent) + 1)
-    part = (_mixed(values + np.uint64(1_000_003 + band)) >> np.uint64(32)) % np.uint64(parts)
-    return np.packbits(np.bincount(part.astype(np.int64), minlength=parts) & 1 > 0).tobytes()
+    part = ((low & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=parts) & 1 > 0).tobytes()
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -206,8 +238,9 @@ def _described_sets(texts: Column, width: int, percent: int, bits: int) -> Colum
         if not len(s):
             return 0, None, 0, 0, 0, None, None
         band = band_of(len(s), percent)
-        spare, sketches = [to_spare(b, percent) for b in (band, band + 1)], [sketch(s, b, percent, bits) for b in (band, band + 1)]
-        return len(s), int(_signed(_node(s))[0]), band & 1, *spare, *sketches
+        spread = Spread(s)
+        spare, sketches = [to_spare(b, percent) for b in (band, band + 1)], [sketch(spread, b, percent, bits) for b in (band, band + 1)]
+        return len(s), spread.node(), band & 1, *spare, *sketches
 
     @F.pandas_udf(schema)
     def made(values: pd.Series) -> pd.DataFrame:
@@ -230,12 +263,15 @@ def _signature_rows(width: int, percent: int):
         for texts in batches:
             for text in texts.column(0):
                 s = shingles(text.as_py(), width)
-                node = int(_signed(_node(s))[0])
-                if not len(s) or node in seen:
+                if not len(s):
+                    continue
+                spread = Spread(s)
+                node = spread.node()
+                if node in seen:
                     continue
                 seen.add(node)
                 band = band_of(len(s), percent)
-                found.append(np.concatenate([signatures(s, b, percent) for b in (band, band + 1)]))
+                found.append(np.concatenate([signatures(spread, b, percent) for b in (band, band + 1)]))
                 nodes.append(node)
                 held += len(found[-1])
                 if held > 100_000:
@@ -278,11 +314,6 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v, dtype="Int64" if k == "node" else None) for k, v in columns.items()})
 
 
-def _node(s: np.ndarray) -> np.ndarray:
-    weight = _mixed(s * np.uint64(2) + np.uint64(1))
-    return _mixed(np.array([np.add.reduce(weight) + np.uint64(len(s))], dtype=np.uint64))
-
-
 def _whole_sets(texts: Column, width: int) -> Column:
     """struct(node, shingles, packed): the set itself, as numbers and as their bytes."""
     schema = T.StructType().add("node", "long").add("shingles", T.ArrayType(T.LongType())).add("packed", "binary")
@@ -293,7 +324,7 @@ def _whole_sets(texts: Column, width: int) -> Column:
         for text in values:
             s = shingles(text, width)
             whole = _signed(s)
-            rows.append((int(_signed(_node(s))[0]), whole, whole.tobytes()) if len(s) else (None, None, None))
+            rows.append((Spread(s).node(), whole, whole.tobytes()) if len(s) else (None, None, None))
         return _frame(rows, ["node", "shingles", "packed"])
 
     # Not to be run ahead of the join that picks the texts, to filter on its result.
@@ -346,24 +377,12 @@ def _blocks(percent: int, output: str):
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def similar(mark: np.ndarray, marks: np.ndarray, sizes: np.ndarray, differ: np.ndarray) -> np.ndarray:
-        """Which rows, of those that may, are close to the one row."""
-        at = np.flatnonzero(differ)
-        if output != "links":
-            bits = np.bitwise_count(np.stack(marks[at]) ^ mark).sum(1, dtype=int) if len(at) else np.empty(0, int)
-            return at[bits <= most_different(sizes[at], percent)]
-        common = np.array([len(np.intersect1d(mark, marks[i], assume_unique=True)) for i in at], dtype=int)
-        return at[100 * common >= percent * (sizes[at] - common)] if len(at) else at
-
-    def compare(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        here, there = rows[rows["here"]], rows[~rows["here"]]
-        if not len(here) or not len(there):
-            return []
-        dtype = np.int64 if output == "links" else np.uint8
-        marks = np.empty(len(here), dtype=object)
-        marks[:] = [np.frombuffer(m, dtype) for m in here["mark"]]
-        node, n, component = (here[c].to_numpy(np.int64) for c in ("node", "n", "component"))
-        inside = ~here["outside"].to_numpy(bool)
+    def compare(here: dict[str, np.ndarray], there: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        node, n, component, inside = here["node"], here["n"], here["component"], ~here["outside"]
+        if output == "links":
+            marks = [np.frombuffer(m, np.int64) for m in here["mark"]]
+        else:
+            marks = np.frombuffer(b"".join(here["mark"]), np.uint8).reshape(len(node), -1)
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -372,38 +391,57 @@ def _blocks(percent: int, output: str):
             return c
 
         found = []
-        for other, m, its, mark in zip(there["node"], there["n"], there["component"], there["mark"]):
+        for other, m, its, mark in zip(there["node"].tolist(), there["n"].tolist(), there["component"].tolist(), there["mark"]):
             # Two outside rows meet twice, once from each side.
-            may = (component != its) & (inside | (node < other))
-            sizes = n + m
-            may &= most_different(sizes, percent) >= np.abs(n - m)
-            for i in similar(np.frombuffer(mark, dtype), marks, sizes, may).tolist():
+            bound = most_different(n + m, percent)
+            at = np.flatnonzero((component != its) & (inside | (node < other)) & (bound >= np.abs(n - m)))
+            if not len(at):
+                continue
+            if output == "links":
+                mark = np.frombuffer(mark, np.int64)
+                common = np.array([len(np.intersect1d(mark, marks[i], assume_unique=True)) for i in at], dtype=int)
+                at = at[100 * common >= percent * (n[at] + m - common)]
+            else:
+                bits = np.bitwise_count(marks[at] ^ np.frombuffer(mark, np.uint8)).sum(1, dtype=int)
+                at = at[bits <= bound[at]]
+            for i in at.tolist():
                 if output == "doubtful":
-                    found += [(int(node[i]),) * 2, (int(other),) * 2]
+                    found += [(int(node[i]),) * 2, (other,) * 2]
                     continue
-                x, y = root(int(component[i])), root(int(its))
+                x, y = root(int(component[i])), root(its)
                 if x != y:
                     parent[x] = y
-                    found.append((min(int(node[i]), int(other)), max(int(node[i]), int(other))))
+                    found.append((min(int(node[i]), other), max(int(node[i]), other)))
         return found
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, found = None, set()
+        rest: dict[str, np.ndarray] = {}
+        found: set[tuple[int, int]] = set()
+
+        def compare_all(rows: dict[str, np.ndarray], borders: list[int]) -> None:
+            for start, end in zip(borders[:-1], borders[1:]):
+                here = rows["here"][start:end]
+                if here.any() and not here.all():
+                    part = {c: v[start:end] for c, v in rows.items()}
+                    found.update(compare({c: v[here] for c, v in part.items()}, {c: v[~here] for c, v in part.items()}))
+
         for batch in batches:
-            rows = batch.to_pandas()
-            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-            if not len(rows):
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            rows = {c: np.concatenate([rest[c], v]) if rest else v for c, v in rows.items()}
+            size = len(rows["node"])
+            if not size:
                 continue
-            key = rows[_KEYS].to_numpy(np.int64)
-            borders = [0, *(np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1).tolist()]
-            for start, end in zip(borders[:-1], borders[1:]):
-                found.update(compare(rows.iloc[start:end]))
-            rest = rows.iloc[borders[-1] :]
+            new = np.zeros(size - 1, dtype=bool)
+            for key in _KEYS:
+                new |= rows[key][1:] != rows[key][:-1]
+            borders = [0, *(np.flatnonzero(new) + 1).tolist()]
+            compare_all(rows, borders)
+            rest = {c: v[borders[-1] :] for c, v in rows.items()}
             if len(found) > 100_000:
                 yield _batch(found, schema)
-                found = set()
-        if rest is not None:
-            found.update(compare(rest))
+                found.clear()
+        if rest:
+            compare_all(rest, [0, len(rest["node"])])
         if found:
             yield _batch(found, schema)
 
@@ -522,13 +560,16 @@ def jaccard_components(
     near = stored(_close_by_sketch(star, sketches, percent), folder, "star-close")
     links = stored(_linked(near, sets_of(near, "star"), percent), folder, "star-links")
     known = components(links, f"{folder}/star-components")
+    # A head has been compared with all sets under its signature.
+    others = weighted.join(heads.select("signature", "head"), "signature").where("node <> head")
+    others = stored(others.select("signature", "node", "n", "own"), folder, "others")
 
     # Second step: sets of different components under a signature, by sketch, in blocks.
     def marked(blocks: DataFrame) -> DataFrame:
         mark = F.when(F.col("own"), F.col("own_mark")).otherwise(F.col("next_mark")).alias("mark")
         return blocks.join(sketches, "node").select(*blocks.columns, mark)
 
-    late = _in_blocks(marked(_mixed_blocks(members.drop("held"), known, folder, "forest")), percent, "forest")
+    late = _in_blocks(marked(_mixed_blocks(others, known, folder, "forest")), percent, "forest")
     late = stored(late, folder, "forest")
     if late.limit(1).count():
         true = stored(_linked(late, sets_of(late, "forest"), percent), folder, "forest-links")
@@ -536,7 +577,7 @@ def jaccard_components(
         known = components(links, f"{folder}/forest-components")
         if true.count() < late.count():
             # Third step: a wrong edge may hide a true one, so what is still close is compared whole.
-            blocks = stored(_mixed_blocks(members.drop("held"), known, folder, "whole"), folder, "whole-blocks")
+            blocks = stored(_mixed_blocks(others, known, folder, "whole"), folder, "whole-blocks")
             doubtful = stored(_in_blocks(marked(blocks), percent, "doubtful"), folder, "doubtful")
             whole = sets_of(doubtful, "whole").select("node", F.col("packed").alias("mark"))
             true = stored(_in_blocks(blocks.join(whole, "node"), percent, "links"), folder, "whole-links")
