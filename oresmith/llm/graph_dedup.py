@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oresmith.llm.common import components, step_folder, stored
-from oresmith.llm.vectors import sample_matrix, stacked, usable_vectors
+from oresmith.llm.vectors import sample_matrices, stacked, unit, usable_vectors
 
 COSINE = 0.98
 TARGET = 8192  # vectors per cluster, over all labels
@@ -203,6 +203,8 @@ def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries:
 def _verified(exact: np.ndarray, queries: np.ndarray, pairs: np.ndarray, n: int, cosine: float) -> np.ndarray:
     """The pairs (query * n + row) whose cosine, of the original vectors, reaches the bound."""
     kept = []
+    # Scaled by powers of two, which changes no digit, so squares neither overflow nor vanish.
+    exact, queries = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (exact, queries))
     lengths = np.sqrt(np.einsum("nd,nd->n", exact, exact)), np.sqrt(np.einsum("nd,nd->n", queries, queries))
     for part in np.array_split(pairs, max(1, len(pairs) // 100_000)):
         q, row = part // n, part % n
@@ -236,8 +238,7 @@ def _links(members: pd.DataFrame, queries: pd.DataFrame, cosine: float) -> pd.Da
     home = members["home"].to_numpy(bool)
     exact, asked = stacked(members["vector"]), stacked(queries["vector"])
     query_ids = queries["id"].to_numpy(np.int64)
-    unit = (exact / np.linalg.norm(exact, axis=1, keepdims=True)).astype(np.float32)
-    unit_asked = (asked / np.linalg.norm(asked, axis=1, keepdims=True)).astype(np.float32)
+    scaled, scaled_asked = unit(exact).astype(np.float32), unit(asked).astype(np.float32)
 
     n = len(ids)
     lists = [np.asarray(a, dtype=np.int64) for a in members["neighbours"]]
@@ -249,9 +250,10 @@ def _links(members: pd.DataFrame, queries: pd.DataFrame, cosine: float) -> pd.Da
         graph[row, : len(here)] = here
 
     audited = np.linspace(0, len(asked) - 1, min(AUDITED, len(asked))).astype(int)
-    starts = medoids(unit)
-    searched = [range_search(unit, graph, starts, part, cosine) for part in _slices(unit_asked)]
-    truth = unit_asked[audited] @ unit.T >= cosine
+    starts = medoids(scaled)
+    searched = [range_search(scaled, graph, starts, part, cosine) for part in _slices(scaled_asked)]
+    # A query's own row, which every search finds, says nothing.
+    truth = (scaled_asked[audited] @ scaled.T >= cosine) & (query_ids[audited][:, None] != ids[None, :])
     seen = np.concatenate([np.zeros((0, n), bool), *searched])[audited] if len(searched) else truth
     exhaustive = (truth & seen).sum() < RECALL * truth.sum()
 
@@ -265,8 +267,8 @@ def _links(members: pd.DataFrame, queries: pd.DataFrame, cosine: float) -> pd.Da
         return node
 
     first = 0
-    for part, found in zip(_slices(unit_asked), searched):
-        hits = (part @ unit.T >= cosine - 1e-4) if exhaustive else found
+    for part, found in zip(_slices(scaled_asked), searched):
+        hits = (part @ scaled.T >= cosine - 1e-4) if exhaustive else found
         pairs = np.flatnonzero(hits & home)
         pairs = _verified(exact, asked[first : first + len(part)], pairs, n, cosine)
         q, row = pairs // n + first, pairs % n
@@ -301,8 +303,9 @@ def linked_vectors(
     """id, n_links, component_id, kept for every row of ``df``.
 
     Two vectors are linked when their labels are equal and not NULL and their cosine is at least
-    ``cosine``. Vectors that are NULL, zero, hold NULL or non-finite components or have another
-    length than most are linked with nothing, like rows without a label. ``component_id`` is the
+    ``cosine``. Vectors that are NULL, zero or hold NULL or non-finite components are linked with
+    nothing, like rows without a label; vectors of different numbers of components are not linked
+    with each other and have clusters of their own. ``component_id`` is the
     smallest id that links reach and ``kept`` says whether it is the row's own. Rows that repeat
     an id are vectors of their own in the counts. Rows without an id get no links.
     """
@@ -317,23 +320,21 @@ def linked_vectors(
     )
     copies = stored(copies, folder, "copies")
     good = usable_vectors(copies, "node", "vector")
-    nodes = stored(good.join(copies.select(F.col("node").alias("id"), "vec", "label", "times"), "id"), folder, "nodes")
+    known = copies.select(F.col("node").alias("id"), "vec", "times", F.col("label").alias("of"))
+    nodes = good.join(known, "id").withColumn("label", F.concat_ws(":", "length", F.col("of").cast("string"))).drop("of")
+    nodes = stored(nodes, folder, "nodes")
 
-    total = nodes.count()
-    sample = sample_matrix(nodes, CLUSTER_SAMPLE)
-    if len(sample):
-        sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        centres = cluster_centres(sample, min(CLUSTERS, -(-total // TARGET)))
-    else:
-        centres = np.ones((1, 1))
+    totals = {r["length"]: r["count"] for r in nodes.groupBy("length").count().collect()}
+    centres = {
+        length: cluster_centres(unit(sample), min(CLUSTERS, -(-totals[length] // TARGET)))
+        for length, sample in sample_matrices(nodes, CLUSTER_SAMPLE).items()
+    }
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                x = stacked(batch["vector"])
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"id": batch["id"], "shards": clusters_to_search(x, centres, cosine)})
+            for length, rows in batch.groupby(batch["vector"].map(len)):
+                shards = clusters_to_search(unit(stacked(rows["vector"])), centres[length], cosine)
+                yield pd.DataFrame({"id": rows["id"].to_numpy(), "shards": shards})
 
     places = nodes.select("id", "vector").mapInPandas(placed, "id long, shards array<int>")
     places = stored(places, folder, "places")
@@ -360,7 +361,7 @@ def linked_vectors(
         group = group.sort_values("id", kind="stable")
         x = stacked(group["vector"])
         ids = group["id"].to_numpy(np.int64)
-        graph = shard_graph((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
+        graph = shard_graph(unit(x).astype(np.float32))
         return pd.DataFrame({"id": ids, "neighbours": [ids[g[g >= 0]] for g in graph]})
 
     lists = members.select("id", "vector", "label", "shard", "part").groupBy("label", "shard", "part")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,23 +17,30 @@ def usable(vector: str | Column) -> Column:
 
 
 def usable_vectors(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(id, vector of doubles) of the rows that take part.
+    """(id, vector of doubles, length) of the rows that take part; ids must not be NULL.
 
-    Ids must not be NULL. Vectors can only be compared at one length: that of most rows, the
-    shorter of equally frequent ones; others take no part.
+    Vectors can only be compared at one number of components, ``length``.
     """
     rows = df.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable("vector"))
-    # One row per length of vectors in the table.
-    lengths = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").head(1)
-    return rows.where(F.size("vector") == (lengths[0]["length"] if lengths else 0))
+    return rows.withColumn("length", F.size("vector"))
 
 
-def sample_matrix(vectors: DataFrame, rows: int) -> np.ndarray:
-    """The vectors of the ``rows`` ids of smallest hash, as a matrix on the driver."""
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("id", "vector").collect()
-    chosen.sort(key=lambda r: r["id"])
-    return np.array([r["vector"] for r in chosen], dtype=float)
+def sample_matrices(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """For every length at most ``rows`` vectors (id, vector, length), those of smallest hash of the
+    id, as a matrix on the driver."""
+    first = Window.partitionBy("length").orderBy(F.xxhash64("id"), "id")
+    chosen = vectors.withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows)
+    found: dict[int, list] = {}
+    for r in sorted(chosen.select("length", "id", "vector").collect(), key=lambda r: (r["id"], r["vector"])):
+        found.setdefault(r["length"], []).append(r["vector"])
+    return {length: np.array(of_length, dtype=float) for length, of_length in found.items()}
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1, whatever their size."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def stacked(vectors: pd.Series) -> np.ndarray:

@@ -86,6 +86,14 @@ def test_clusters_to_search_hold_every_partner():
     assert np.mean([len(s) for s in shards]) < 20
 
 
+def test_links_of_the_rarer_lengths(spark):
+    rows = [(i, [float(v) for v in np.random.default_rng(i % 7).normal(size=3 + 2 * (i % 3 == 0))], i % 2) for i in range(60)]
+    rows += [(100, [1e-200, 0.0], 0), (101, [1e200, 1e190], 0), (102, [0.0, 1.0], 0)]
+    found = graph_dedup.linked_vectors(frame(spark, [(*r, "x") for r in rows])).collect()
+    truth = brute_links([r for r in rows if r[0] < 100]) + [(100, 1, 100), (101, 1, 100), (102, 0, 102)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == sorted(truth)
+
+
 def test_an_empty_table(spark):
     assert graph_dedup.linked_vectors(frame(spark, [])).count() == 0
     assert permutation_index.nearest(frame(spark, []), "id % 2 = 0").count() == 0
@@ -136,16 +144,54 @@ def test_fewer_candidates_than_asked_for(spark):
     assert sorted((r["rank"], r["vec_id"]) for r in found) == [(1, 1), (2, 2), (3, 3), (4, 4)]
 
 
-def test_recall_of_the_index_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(permutation_index, "BLOCK", 600)
-    monkeypatch.setattr(permutation_index, "QUERY_BLOCK", 32)
-    monkeypatch.setattr(permutation_index, "AT_LEAST", 64)
+def shapes(kind, n, dim):
     choose = np.random.default_rng(9)
-    rows = [(i, [float(v) for v in choose.normal(size=32)], 0) for i in range(2000)]
-    found = permutation_index.nearest(frame(spark, [(*r, "x") for r in rows]), "id % 20 = 0", share=0.3).collect()
-    truth = brute_nearest(rows, range(0, 2000, 20))
+    if kind == "clusters":
+        return choose.normal(size=(50, dim))[choose.integers(0, 50, n)] + 0.3 * choose.normal(size=(n, dim))
+    x = choose.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x * np.exp(choose.normal(size=(n, 1))) if kind == "lengths" else x
+
+
+@pytest.mark.parametrize("kind", ["sphere", "lengths", "clusters"])
+def test_recall_at_production_size(spark, kind):
+    """10,000 vectors, several blocks: evenly spread, of very different lengths, in clusters."""
+    x = shapes(kind, 10_000, 64)
+    rows = [(i, [float(c) for c in v], 0, "x") for i, v in enumerate(x)]
+    found = permutation_index.nearest(frame(spark, rows).repartition(8), "id % 200 = 0").collect()
+    truth = brute_nearest(rows, range(0, 10_000, 200))
     hits = sum((r["vec_id"] in {v for v, _ in truth[r["query_id"]]}) for r in found)
-    assert hits >= 0.9 * sum(map(len, truth.values()))
+    assert len(found) == 50 * 20 and hits >= 0.9 * len(found)
+    scores = {(q, v): s for q, near in truth.items() for v, s in near}
+    assert all(abs(r["score"] - scores[r["query_id"], r["vec_id"]]) < 1e-12 for r in found if (r["query_id"], r["vec_id"]) in scores)
+
+
+def test_files_hold_what_they_should_and_agreement_is_the_footrule():
+    choose = np.random.default_rng(4)
+    x, pivots = choose.normal(size=(300, 8)), permutation_index.unit(choose.normal(size=(40, 8)))
+    near = permutation_index.nearest_pivots(x, pivots, 6)
+    assert [list(r) for r in near] == [list(np.argsort(-(permutation_index.unit(v[None])[0] @ pivots.T), kind="stable")[:6]) for v in x]
+    files = permutation_index.InvertedFiles(near, 40)
+    asked = near[7][:4]
+    gain = files.agreement(asked)
+    for row, held in enumerate(near):
+        places = [list(held).index(p) if p in held else 6 for p in asked]
+        assert gain[row] == sum(max(0, 6 - abs(place - at)) * (place < 6) for at, place in enumerate(places))
+    # Rows that no file of the query holds are not touched.
+    assert (gain == 0).sum() == sum(not set(held) & set(asked) for held in near) > 0
+
+
+def test_other_lengths_are_searched_apart(spark):
+    choose = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in choose.normal(size=3 if i % 3 else 5)], 0, "x") for i in range(60)]
+    rows += [(100 + i, [10.0**e, -(10.0**e), 10.0**e], 0, "x") for i, e in enumerate((-300, -150, 150, 300))]
+    found = permutation_index.nearest(frame(spark, rows), "id % 20 = 0", k=5).collect()
+    for query in range(0, 101, 20):
+        own = next(r for r in rows if r[0] == query)
+        alike = [r for r in rows if len(r[1]) == len(own[1])]
+        with np.errstate(over="ignore"):
+            truth = brute_nearest(alike, [query], 5)[query]
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == query] == [v for v, _ in truth]
 
 
 def test_queries_on_the_tables(spark):
