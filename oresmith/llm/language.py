@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oresmith.llm.common import held_out
 
-BITS = 14
+BITS = 18
 LENGTHS = (1, 2, 3)
 UNKNOWN = "und"
 _not_letters = re.compile(r"[\W\d_]+")
@@ -37,20 +37,29 @@ def presence(text: str | None) -> np.ndarray | None:
     if not words:
         return None
     codes = np.frombuffer(f" {words} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    seen = np.zeros(1 << BITS, dtype=bool)
+    found = []
     gram = np.zeros(len(codes), dtype=np.uint64)
     for n in LENGTHS:
         gram = gram[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
         mixed = (gram ^ (gram >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        seen[mixed >> np.uint64(64 - BITS)] = True
-    return np.flatnonzero(seen)
+        found.append((mixed >> np.uint64(64 - BITS)).astype(np.int32))
+    places = np.sort(np.concatenate(found))
+    return places[np.concatenate([[True], places[1:] != places[:-1]])]
 
 
-def presence_rows(places: list[np.ndarray]) -> np.ndarray:
-    """One row per text with 1/sqrt(set size) at its places, so that products are kernels."""
-    rows = np.zeros((len(places), 1 << BITS), dtype=np.float32)
+def column_of(columns: np.ndarray) -> np.ndarray:
+    """For every hash place its number among ``columns``, -1 for the others."""
+    found = np.full(1 << BITS, -1, dtype=np.int32)
+    found[columns] = np.arange(len(columns), dtype=np.int32)
+    return found
+
+
+def presence_rows(places: list[np.ndarray], column: np.ndarray, width: int) -> np.ndarray:
+    """One row per text with 1/sqrt(set size) at its places among the columns."""
+    rows = np.zeros((len(places), width), dtype=np.float32)
     for row, p in zip(rows, places):
-        row[p] = 1.0 / np.sqrt(len(p))
+        at = column[p]
+        row[at[at >= 0]] = 1.0 / np.sqrt(len(p))
     return rows
 
 
@@ -62,7 +71,7 @@ class StringKernelClassifier:
     weights: np.ndarray  # landmark values -> one decision value per language
 
     def decide(self, places: list[np.ndarray]) -> np.ndarray:
-        kernel = presence_rows(places)[:, self.columns] @ self.landmarks
+        kernel = presence_rows(places, column_of(self.columns), len(self.columns)) @ self.landmarks
         return kernel.astype(float) @ self.weights
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -95,15 +104,15 @@ def fit(places: list[np.ndarray], languages: list[str], landmarks: int = 160, ri
     of_language = [[i for i, name in enumerate(languages) if name == n] for n in names]
     most = -(-landmarks // len(names))
     chosen = [i for rows in of_language for i in rows[:most]]
-    rows = presence_rows([places[i] for i in chosen])
-    columns = np.flatnonzero(rows.any(0))
-    marks = np.ascontiguousarray(rows[:, columns].T)
-    own = (rows @ rows.T).astype(float)
+    columns = np.unique(np.concatenate([places[i] for i in chosen]))
+    column = column_of(columns)
+    marks = np.ascontiguousarray(presence_rows([places[i] for i in chosen], column, len(columns)).T)
+    own = (marks.T @ marks).astype(float)
     values, vectors = np.linalg.eigh(own)
     held = values > 1e-6 * values.max()
     to_features = vectors[:, held] / np.sqrt(values[held])
     kernel = np.concatenate(
-        [presence_rows(places[i : i + _BATCH])[:, columns] @ marks for i in range(0, len(places), _BATCH)]
+        [presence_rows(places[i : i + _BATCH], column, len(columns)) @ marks for i in range(0, len(places), _BATCH)]
     ).astype(float)
     features = kernel @ to_features
     target = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
@@ -113,17 +122,22 @@ def fit(places: list[np.ndarray], languages: list[str], landmarks: int = 160, ri
 
 
 def learn(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = 3_000
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = 3_000, at_least: int = 20
 ) -> StringKernelClassifier:
     """Fit on at most ``sample`` documents with a language that are not held out.
 
-    The sample is the ids of smallest hash. Documents without an id, a language or a letter
+    Every language gives as many, those with the ids of smallest hash, so a rare one has its
+    landmarks, too; with more than ``sample`` / ``at_least`` languages each still gives that many.
+    Documents without an id, a language or a letter
     teach nothing; of an id with several languages, the first by name counts. Only hash places
     of the sample reach the driver.
     """
     known = docs.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
     known = known.groupBy(F.col(id_column).alias("id")).agg(F.min(lang_column).alias("lang"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    languages = known.select("lang").distinct().count()
+    each = max(at_least, sample // max(1, languages))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).select("id", "lang")
 
     @F.pandas_udf("binary")
     def places(texts: pd.Series) -> pd.Series:
@@ -131,7 +145,7 @@ def learn(
         return pd.Series([None if p is None else p.astype("<i4").tobytes() for p in found], dtype=object)
 
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    # At most ``sample`` rows of an id and a name, so the broadcast is bounded.
+    # As many rows of an id and a name as are learned from, so the broadcast is bounded.
     rows = texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("h"), "id", "lang", places("text").alias("places"))
     learned = [r for r in rows.collect() if r["places"]]
     learned.sort(key=lambda r: (r["h"], r["id"], len(r["places"])))

@@ -6,9 +6,10 @@ forms share, each hashed to one of ``2 ** bits`` places. The model is
     bias + sum of w[j] x[j] + sum over pairs of <v[i], v[j]> x[i] x[j],
 
 so a pair of terms, such as an insult and the mention of a group, can count for more than its
-two terms. Terms that say nothing about the label in the learning sample have x = 0: only those
-whose share among toxic texts differs from their share among the others by several standard
-errors are used, scaled by their log ratio. Long clean texts thus score like short ones.
+two terms. Terms that say nothing about the label in the learning sample have x = 0, so long clean
+texts score like short ones. Used are terms whose share among toxic texts differs from their
+share among the others by several standard errors, scaled by their log ratio, and frequent terms
+that tell nothing alone but do so together with another one: the share of texts with both differs.
 """
 
 from __future__ import annotations
@@ -60,12 +61,32 @@ class FactorizationMachine:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.logit(text), -40, 40))))
 
 
+def paired_terms(places: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, z: float, least: int = 8) -> np.ndarray:
+    """Those of the terms that tell the labels apart together with another of them.
+
+    The texts with both terms of a pair are counted, for all pairs; ``z`` is how many standard
+    errors their share must differ between the labels, ``least`` how many there must be.
+    """
+    column = {int(t): i for i, t in enumerate(terms)}
+    holds = np.zeros((len(places), len(terms)), dtype=np.float32)
+    for row, p in zip(holds, places):
+        row[[column[t] for t in p.tolist() if t in column]] = 1
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    both_1, both_0 = (holds[labels == y].T @ holds[labels == y] for y in (1, 0))
+    p1, p0, both = (both_1 + 0.5) / (n1 + 1), (both_0 + 0.5) / (n0 + 1), (both_1 + both_0 + 1) / (n1 + n0 + 2)
+    telling = (np.abs(p1 - p0) > z * np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))) & (both_1 + both_0 >= least)
+    np.fill_diagonal(telling, False)
+    return terms[telling.any(1)]
+
+
 def fit(
     places: list[np.ndarray],
     labels: np.ndarray,
     bits: int,
     rank: int = 8,
     z: float = 3.5,
+    frequent: int = 400,
+    pair_z: float = 5.5,
     epochs: int = 400,
     rate: float = 0.05,
     decay: float = 1e-4,
@@ -73,7 +94,8 @@ def fit(
 ) -> FactorizationMachine:
     """Learn from hash places of texts and labels of 0 and 1 by Adam on the logistic loss.
 
-    ``z`` is how many standard errors a term's share must differ between the labels. Without
+    ``z`` is how many standard errors a term's share must differ between the labels, ``pair_z``
+    how many that of two terms together, of the ``frequent`` most frequent others. Without
     texts of both labels, the score is the share of label 1 (smoothed), whatever the text.
     """
     labels = np.asarray(labels, dtype=float)
@@ -89,9 +111,13 @@ def fit(
     both = (with_1 + with_0 + 1) / (n1 + n0 + 2)
     error = np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
     telling = np.flatnonzero((np.abs(p1 - p0) > z * error) & (with_1 + with_0 >= 4))
+    others = np.setdiff1d(np.flatnonzero(with_1 + with_0 >= 8), telling)
+    others = others[np.argsort(-(with_1 + with_0)[others], kind="stable")][:frequent]
+    paired = paired_terms(places, labels, others, pair_z)
+    ratio = np.concatenate([np.clip(np.log(p1[telling] / p0[telling]), -4, 4), np.ones(len(paired))])
+    telling = np.concatenate([telling, paired])
     if not len(telling):
         return none
-    ratio = np.clip(np.log(p1[telling] / p0[telling]), -4, 4)
     row_of = np.full(1 << bits, -1, dtype=np.int64)
     row_of[telling] = np.arange(len(telling))
 

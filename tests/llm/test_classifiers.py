@@ -22,6 +22,38 @@ def test_factorization_machine_learns_a_pair_of_terms():
     assert machine.logit("insult group") > machine.logit("insult") + machine.logit("group") - machine.bias
 
 
+def test_a_pair_of_terms_that_tell_nothing_alone():
+    """Each term comes as often with either label, like all others; only both or none is toxic."""
+    choose = np.random.default_rng(2)
+    vocabulary = ["".join(chr(97 + c) for c in choose.integers(0, 26, 5)) for _ in range(200)]
+    texts, labels = [], []
+    for _ in range(4000):
+        a, b = (choose.random(2) < 0.5).tolist()
+        words = [vocabulary[i] for i in choose.integers(0, 200, 12)] + ["alpha"] * a + ["beta"] * b
+        texts.append(" ".join(words))
+        labels.append(int(a == b))
+    places = [np.array(toxicity.term_places(t, 16)) for t in texts]
+    machine = toxicity.fit(places, np.array(labels), 16)
+    assert len(machine.rows) < 20
+    right = [(machine.score(t) > 0.5) == y for t, y in zip(texts, labels)]
+    assert np.mean(right) > 0.99
+    assert min(machine.score("alpha beta w1"), machine.score("w1")) > 0.9 > 0.1 > max(machine.score("alpha"), machine.score("beta w2"))
+
+
+def test_scores_are_the_sum_over_pairs():
+    choose = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in choose.integers(0, 26, 6)) for _ in range(30)]
+    texts = [" ".join(choose.choice(words, 6)) for _ in range(300)]
+    labels = np.array([int(words[1] in t.split() or words[2] in t.split()) for t in texts])
+    machine = toxicity.fit([np.array(toxicity.term_places(t, 12)) for t in texts], labels, 12)
+    assert len(machine.rows) >= 2
+    for text in texts[:50]:
+        rows = [machine.rows[p] for p in toxicity.term_places(text, 12) if p in machine.rows]
+        logit = machine.bias + sum(machine.linear[i] for i in rows)
+        logit += sum(machine.factors[i] @ machine.factors[j] for at, i in enumerate(rows) for j in rows[:at])
+        assert abs(machine.score(text) - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
 def test_factorization_machine_without_both_labels():
     machine = toxicity.fit([np.array([1, 2])], np.array([0]), 8)
     assert 0 <= machine.score("anything") < 0.5
@@ -60,7 +92,8 @@ def test_kernel_against_sets_of_ngrams():
 
     a, b = "some words here", "other words there"
     pa, pb = language.presence(a), language.presence(b)
-    rows = language.presence_rows([pa, pb])
+    columns = np.union1d(pa, pb)
+    rows = language.presence_rows([pa, pb], language.column_of(columns), len(columns))
     exact = len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
     assert abs(rows[0] @ rows[1] - exact) < 0.03
     assert language.presence(None) is None and language.presence("12 34 !?") is None
@@ -74,3 +107,25 @@ def test_language_of_odd_rows(spark, odd_docs):
     nothing = language.learn(empty)
     assert language.predict_documents(empty, nothing).count() == 0
     assert {r["lang_pred"] for r in language.predict_documents(odd_docs, nothing).collect()} == {"und"}
+
+
+def test_a_rare_language_is_learned(spark):
+    """One of 5,000 documents is in it, so a sample of all of them would hold none or one."""
+    choose = np.random.default_rng(5)
+
+    def prose(letters):
+        return " ".join("".join(choose.choice(list(letters), 5)) for _ in range(30))
+
+    rows = [(i, prose("abcdefgh"), "x") for i in range(3000)] + [(i, prose("hijklmno"), "y") for i in range(3000, 5000)]
+    rows += [(5000 + i, prose("opqrstuv"), "rare") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    classifier = language.learn(docs, sample=300)
+    assert classifier.languages == ["rare", "x", "y"]
+    found, scores = classifier.predict([prose("opqrstuv"), prose("abcdefgh"), prose("hijklmno")])
+    assert found == ["rare", "x", "y"] and min(scores) > 0.5
+
+
+def test_large_alphabets_do_not_fill_the_places():
+    choose = np.random.default_rng(6)
+    text = "".join(chr(c) for c in choose.integers(0x4E00, 0x9FFF, 30_000))
+    assert len(language.presence(text)) < 0.35 * (1 << language.BITS)
