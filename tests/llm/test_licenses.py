@@ -1,3 +1,6 @@
+import random
+import textwrap
+
 from oresmith.llm import licenses
 from oresmith.llm.queries import QUERIES
 from tests.conftest import SMALL
@@ -60,8 +63,57 @@ def test_a_bsd_text_that_names_an_organisation():
         assert names(f"{two}. {endorse}.") == [("BSD-3-Clause", True)], who
 
 
+def test_notices_that_name_a_licence():
+    for text, licence in [
+        ("This project is licensed under the MIT License.", "MIT"),
+        ("Licensed under the Apache License 2.0.", "Apache-2.0"),
+        ("This file is released under the MIT license.", "MIT"),
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+        ("The source code is distributed under the terms of the GNU General Public License version 3.", "GPL-3.0-only"),
+        ("All code is available under the BSD 3-Clause licence", "BSD-3-Clause"),
+        ("                  Apache License\n            Version 2.0, January 2004\n         http://www.apache.org/licenses/\n\n1. Definitions.", "Apache-2.0"),
+        ("   GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Copyright (C) 2007", "GPL-3.0-only"),
+    ]:
+        assert (licence, True) in names(text), text
+        assert (licence, True) in names(f"Some prose.\n\n{text}\n\nMore prose."), text
+
+
+def test_spellings_gaps_and_missing_sentences():
+    assert names(MIT.replace("NONINFRINGEMENT", "NON-INFRINGEMENT").replace("sublicense", "sub-license")) == [("MIT", True)]
+    between = MIT.replace("furnished to do so, subject to the following conditions:", "furnished to do so, subject to the following conditions:\n\nAll rights reserved.")
+    assert sorted(names(between)) == [("MIT", True), ("proprietary-notice", True)]
+    start, end = MIT.index("The above"), MIT.index("THE SOFTWARE")
+    assert names(MIT[:start] + MIT[end:]) == [("MIT", True)]
+    # Two of three missing are too many, and a second beginning is another text.
+    assert names(MIT[:start]) == [("mit-grant", False)]
+    assert names(MIT + "\n\n" + MIT) == [("MIT", True), ("MIT", True)]
+    s = licenses.SENTENCES
+    assert names(f"{s['zlib-as-is']}. In no event. {s['zlib-grant']}:") == [("Zlib", True)]
+
+
+def test_recall_on_a_made_corpus():
+    """Every rule's sentences, wrapped, commented and spelled at random within other prose."""
+    choose, found, asked, wrong = random.Random(7), 0, 0, 0
+    for _ in range(400):
+        licence, rule = choose.choice([r for r in licenses.RULES if not r[1][0].startswith("notice:")])
+        sentences = [licenses.SENTENCES[name] for name in rule]
+        if choose.random() < 0.3:
+            sentences = [w for w in sentences for w in [w.replace("License", "Licence")]]
+        text = "\n\n".join("\n".join(textwrap.wrap(x + choose.choice([".", ":"]), choose.choice([40, 72, 100]))) for x in sentences)
+        if choose.random() < 0.3:
+            mark = choose.choice(["#", " *", "//"])
+            text = "\n".join(f"{mark} {line}".rstrip() for line in text.splitlines())
+        text = f"A heading\n\nWords of prose before it.\n\n{text}\n\nWords after it."
+        got = {name for name, complete in names(text) if complete}
+        asked += 1
+        found += licence in got
+        wrong += bool(got - {licence})
+    assert found >= 0.95 * asked and wrong <= 0.02 * asked
+
+
 def test_clean_texts():
-    for text in (None, "", "A license to drive. The public has rights.", "x" * 100_000, "name " * 50_000):
+    for text in (None, "", "A license to drive. The public has rights.", "We walked under the bridge, released under the moon.", "x" * 100_000, "name " * 50_000):
         assert names(text) == []
 
 
