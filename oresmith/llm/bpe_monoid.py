@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 # Characters with the Unicode property White_Space, which ``\s`` means in the pattern.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LEAF = 6
+_SCANNED = 64  # bytes up to which the pair to merge is found by a scan
 _REMEMBERED_WINDOW = 16
 _REMEMBERED = 250_000
 
@@ -44,7 +46,9 @@ class BpeMonoid:
         self._short: dict[bytes, list[bytes]] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
-        """Encode a short byte string directly: merge the pair of lowest rank, leftmost first."""
+        """Encode a byte string directly: merge the pair of lowest rank, leftmost first."""
+        if len(data) > _SCANNED:
+            return self._merge_by_heap(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         rank = self.ranks.get
         pairs = [rank(a + b) for a, b in zip(parts, parts[1:])]
@@ -60,6 +64,34 @@ class BpeMonoid:
             if i < len(pairs):
                 pairs[i] = rank(parts[i] + parts[i + 1])
 
+    def _merge_by_heap(self, data: bytes) -> list[bytes]:
+        """``merge`` in a time that grows little more than the data: pairs wait in a heap."""
+        parts: list[bytes | None] = [data[i : i + 1] for i in range(len(data))]
+        following, before = list(range(1, len(data) + 1)), list(range(-1, len(data) - 1))
+        rank, end = self.ranks.get, len(data)
+        waiting = [(r, i) for i in range(end - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapify(waiting)
+
+        def push(i: int, j: int) -> None:
+            r = rank(parts[i] + parts[j])
+            if r is not None:
+                heappush(waiting, (r, i))
+
+        while waiting:
+            r, i = heappop(waiting)
+            j = following[i]
+            # Entries of pairs that have changed since are left in the heap.
+            if parts[i] is None or j == end or rank(parts[i] + parts[j]) != r:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], None
+            following[i] = after = following[j]
+            if after < end:
+                before[after] = i
+                push(i, after)
+            if before[i] >= 0:
+                push(before[i], i)
+        return [part for part in parts if part is not None]
+
     def neighbours(self, left: bytes, right: bytes) -> bool:
         """Whether the two tokens stay as they are when their bytes are encoded together."""
         key = (left, right)
@@ -84,8 +116,9 @@ class BpeMonoid:
             right_holds = not tail or self.neighbours(window[-1], tail[0])
             if left_holds and right_holds:
                 return rest + window + tail
-            a = a if left_holds else min(2 * a, len(left))
-            b = b if right_holds else min(2 * b, len(right))
+            # In a run of one letter the whole right side moves; few large steps meet its end.
+            a = a if left_holds else min((2 if a < 64 else 8) * a, len(left))
+            b = b if right_holds else min((2 if b < 64 else 8) * b, len(right))
 
     def _short_merge(self, data: bytes) -> list[bytes]:
         """``merge``, remembered for short data: leaves and windows repeat."""
@@ -99,11 +132,17 @@ class BpeMonoid:
         return found
 
     def encode(self, data: bytes) -> list[bytes]:
-        """Halves encoded and joined; leaves are merged directly."""
+        """Two parts encoded and joined; leaves are merged directly.
+
+        The left part is the largest power of two, so repeated letters and blocks give equal
+        halves, of which one is encoded.
+        """
         if len(data) <= _LEAF:
             return self._short_merge(data)
-        middle = len(data) // 2
-        return self.join(self.encode(data[:middle]), self.encode(data[middle:]))
+        middle = 1 << (len(data) - 1).bit_length() - 1
+        left, right = data[:middle], data[middle:]
+        encoded = self.encode(left)
+        return self.join(encoded, encoded if left == right else self.encode(right))
 
 
 class _Remembering(dict):

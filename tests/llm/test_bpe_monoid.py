@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -63,6 +64,25 @@ def test_random_texts(library, encoder):
         assert unpacked(encoder.encode(text)) == library.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("unit", ["a", "=", "ab", "é", "word", "\u4e2d"])
+def test_long_runs_take_seconds(library, encoder, unit):
+    text = unit * (200_000 // len(unit.encode()) + 1)
+    started = time.process_time()
+    ids = encoder.encode(text)
+    assert time.process_time() - started < 10
+    # The library itself takes long for such runs, so a shorter one is compared.
+    assert encoder.decode(ids) == text.encode()
+    short = unit * 3001
+    assert unpacked(encoder.encode(short)) == library.encode_ordinary(short)
+
+
+def test_heap_and_scan_merge_alike():
+    monoid, choose = bpe_monoid.BpeMonoid(RANKS), random.Random(6)
+    for _ in range(400):
+        data = bytes(choose.choice(b"aab the\xc3\xa9=") for _ in range(choose.randint(0, 64)))
+        assert monoid._merge_by_heap(data) == monoid.merge(data)
+
+
 def test_columns(spark, odd_docs, library):
     done = odd_docs.select("text", bpe_monoid.encode("text", BPE_RANKS, PATTERN).alias("ids"))
     rows = done.select("text", bpe_monoid.unpack("ids").alias("list"), bpe_monoid.decode("ids", BPE_RANKS, PATTERN).alias("back")).collect()
