@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from oresmith.llm.common import rank_within, step_folder, stored
 
 WINDOW = 1024
+PER_SALT = 50_000  # pieces of one length that one task numbers
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -96,13 +97,15 @@ def pack(pieces: DataFrame, order: list[str], length: str = "length", window: in
     All other columns are kept, whatever their names but these two and ``salt``, ``rank``.
     ``order`` settles which of several equally long pieces comes first; rows equal in it may
     change places. Each sequence is filled without gaps from offset 0, and each row is in one.
-    The rows are stored once; the driver sees one count per length. An empty table stays empty.
+    The rows are stored once; the driver sees one count per length. Equal tables are packed alike,
+    but for rows equal in ``order``. An empty table stays empty.
     """
     spark = pieces.sparkSession
-    salts = max(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = pieces.withColumn("salt", F.floor(F.rand() * salts).cast("int"))
-    salted = stored(salted, step_folder(spark, "packing"), "pieces")
-    counts = {r[length]: r["count"] for r in salted.groupBy(length).count().collect()}
+    kept = stored(pieces, step_folder(spark, "packing"), "pieces")
+    counts = {r[length]: r["count"] for r in kept.groupBy(length).count().collect()}
+    # As many salts as give each a bounded number of the most frequent length's pieces.
+    salts = max(1, -(-max(counts.values(), default=0) // PER_SALT))
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
 
     keys: list[tuple[int, int]] = []
     values: list[tuple[int, int, int]] = []
