@@ -119,7 +119,7 @@ def _catalog() -> tuple[Rule, ...]:
 
 RULES = _catalog()
 
-# Row predicates that hold on silver tables beside the catalog.
+# Names and predicates of what holds on silver tables beside the catalog.
 EXTRA_EXPECTATIONS = (
     Expectation("pk_date_sk_positive", "silver_date_dim", "d_date_sk > 0"),
     Expectation("valid_day_of_month", "silver_date_dim", "d_dom BETWEEN 1 AND 31"),
@@ -245,6 +245,7 @@ def _spec(rule_id: str, keys: tuple[str, ...], *reasons: tuple[str, str]) -> Iss
 SALES_KEYS = ("ss_ticket_number", "ss_item_sk", "ss_store_sk", "ss_customer_sk")
 FACT_KEYS = ("ticket_number", "item_key", "store_key", "customer_key")
 
+# Reason codes and the order in which they are tried, here and in the specs below.
 MONEY_REASONS = (
     ("NEGATIVE_SALES_PRICE", "ss_sales_price < 0"),
     ("NEGATIVE_LIST_PRICE", "ss_list_price < 0"),
