@@ -186,7 +186,7 @@ def test_other_lengths_are_searched_apart(spark):
     rows = [(i, [float(c) for c in choose.normal(size=3 if i % 3 else 5)], 0, "x") for i in range(60)]
     rows += [(100 + i, [10.0**e, -(10.0**e), 10.0**e], 0, "x") for i, e in enumerate((-300, -150, 150, 300))]
     found = permutation_index.nearest(frame(spark, rows), "id % 20 = 0", k=5).collect()
-    for query in range(0, 101, 20):
+    for query in (0, 20, 40, 100):
         own = next(r for r in rows if r[0] == query)
         alike = [r for r in rows if len(r[1]) == len(own[1])]
         with np.errstate(over="ignore"):
