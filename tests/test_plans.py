@@ -1,10 +1,13 @@
 """Shapes of physical plans that matter on large tables."""
 
+import contextlib
+import io
 import re
 
 import pytest
 
 from oresmith.plans import gold, silver
+from oresmith.plans.contracts import SALES
 from oresmith.plans.queries import QUERIES, SALES_TIES, Star
 from oresmith.quality.metrics import rule_status, table_profile
 
@@ -21,6 +24,17 @@ def test_fact_is_read_once_and_pruned(spark, star):
     assert "l_extendedprice" not in plan and "o_totalprice" not in plan
 
 
+def test_the_typed_fact_is_short_enough_to_be_compiled(spark):
+    """The JVM leaves generated functions of more than 8,000 bytes uncompiled."""
+    wider = {"int": "bigint", "decimal(7,2)": "decimal(12,2)"}
+    raw = spark.range(1).selectExpr(*[f"CAST(id AS {wider.get(f.type, f.type)}) AS {f.name}" for f in SALES.fields])
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        SALES.checked(raw).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
 def test_fact_keys_are_limited_before_the_shuffle(star):
     assert "row_number(), 1, Partial" in plan_of(star.sales)
 
