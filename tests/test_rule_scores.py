@@ -1,10 +1,15 @@
 """Scores of predicates, keys and references, several kinds on one table."""
 
+import pytest
+
 from oresmith.operators.references import Reference
+from oresmith.plans import queries
 from oresmith.quality.metrics import rule_scores
 from oresmith.rules.catalog import RULES
 from oresmith.rules.model import Rule
 
+from conftest import SMALL
+
 RULE_SET = [
     Rule("a_key", "silver_t", "G", "a IS NOT NULL", "EXPECT", "HIGH"),
     Rule("a_once", "silver_t", "G", "duplicate(a)", "MONITOR", "LOW", kind="duplicate", columns=("a",)),
@@ -47,3 +52,25 @@ def test_the_whole_catalog_has_a_score(raw_star):
     found = rule_scores(tables, raw_star.references).collect()
     assert sorted(r.rule_id for r in found) == sorted(r.rule_id for r in RULES) and len(found) == 37
     assert {r.rule_kind for r in found} == {"predicate", "duplicate", "foreign_key"}
+
+
+@pytest.mark.parametrize(
+    ("query", "fact"),
+    [
+        ("silver_issues", set()),
+        ("expectation_counts", set()),
+        ("rule_status", set()),
+        ("gold_issues", {"silver_store_sales"}),
+        ("rule_scores", {"annotated_sales"}),
+    ],
+)
+def test_the_fact_is_stored_only_where_several_branches_read_it(spark, monkeypatch, query, fact):
+    names = []
+
+    def recorded(df, folder, name):
+        names.append(name)
+        return df
+
+    monkeypatch.setattr(queries, "stored", recorded)
+    queries.QUERIES[query](spark, SMALL)
+    assert {n for n in names if n.endswith("_sales")} == fact
