@@ -2,9 +2,11 @@ import pytest
 
 from oresmith.operators.references import (
     Reference,
+    counted,
     keep_optional,
     keep_required,
     keep_resolved,
+    key_words,
     orphans,
     reference_flags,
 )
@@ -87,3 +89,102 @@ def test_one_hot_key_gives_the_same_result(spark, join_mode):
     flagged = reference_flags(fact, [Reference("fk", dim, "k", "ok")])
     assert flagged.count() == 3000
     assert flagged.where("ok = 1").count() == fact.where("fk < 10").count()
+
+
+LONGEST = (1 << 63) - 1
+
+
+@pytest.mark.parametrize("kind, of_fact", [("int", "int"), ("bigint", "int"), ("smallint", "bigint"), ("bigint", "bigint")])
+@pytest.mark.parametrize("required", [True, False])
+def test_counted_references_give_the_same(spark, join_mode, kind, of_fact, required):
+    keys = [0, 1, 63, 64, 127, 128, 500, -1, -64, -65, -300, 63, None, None]
+    sought = [*range(-310, -295), *range(-70, 200), 500, 501, None, None]
+    if kind == of_fact == "bigint":
+        keys += [LONGEST, -LONGEST - 1]
+        sought += [LONGEST, LONGEST - 1, -LONGEST - 1, -LONGEST]
+    dim = spark.createDataFrame([(k,) for k in keys], f"k {kind}")
+    fact = spark.createDataFrame([(n, k) for n, k in enumerate(sought)], f"id bigint, fk {of_fact}")
+    ref = counted(Reference("fk", dim, "k", "ok", required))
+    assert ref.words == key_words(dim, "k").count() <= len(set(keys)) - 1
+    present = {n for n, k in enumerate(sought) if k is not None and k in keys}
+    missing = {n for n, k in enumerate(sought) if k is None}
+    flagged = reference_flags(fact, [ref])
+    assert flagged.columns == ["id", "fk", "ok"] and flagged.count() == len(sought)
+    assert {r.id for r in flagged.where("ok = 1").collect()} == (present if required else present | missing)
+    assert ids(keep_required(fact, ref)) == sorted(present)
+    assert ids(keep_optional(fact, ref)) == sorted(present if required else present | missing)
+    assert ids(orphans(fact, ref)) == sorted(set(range(len(sought))) - present - missing)
+
+
+def test_an_empty_dimension_resolves_nothing(spark, join_mode):
+    fact = spark.createDataFrame([(1, 5), (2, None)], "id bigint, fk int")
+    ref = counted(Reference("fk", spark.createDataFrame([], "k int"), "k", "ok"))
+    assert ref.words == 0 and ids(keep_optional(fact, ref)) == [2] and ids(keep_required(fact, ref)) == []
+
+
+def test_keys_that_are_no_whole_numbers_stay_uncounted(spark):
+    fact = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, fk string")
+    ref = counted(Reference("fk", spark.createDataFrame([("a",)], "k string"), "k", "ok"))
+    assert ref.words is None and ids(keep_required(fact, ref)) == [1]
+
+
+@pytest.mark.parametrize("apart, join", [(1, "BroadcastHashJoin"), (64, "SortMergeJoin")])
+def test_stored_keys_are_broadcast_by_their_number(spark, tmp_path, apart, join):
+    """By its compressed file the dimension looks small, whatever its keys take in memory."""
+    rows = spark.range(100_000).selectExpr(f"CAST(id * {apart} AS INT) AS k", *[f"'the same text' AS c{n}" for n in range(20)])
+    rows.write.parquet(str(tmp_path / "dim"))
+    dim = spark.read.parquet(str(tmp_path / "dim"))
+    fact = spark.range(1000).selectExpr("id", "CAST(id AS INT) AS fk")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        ref = Reference("fk", dim, "k", "ok")
+        plain = reference_flags(fact, [ref])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plain  # 100,000 keys of 24 bytes, by Spark's estimate
+        sized = reference_flags(fact, [counted(ref)])
+        assert join in sized._jdf.queryExecution().executedPlan().toString()
+        assert sized.where("ok = 1").count() == (1000 if apart == 1 else 16)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_missing_keys_are_spread_where_words_are_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from oresmith.operators.references import _with_bits
+
+    fact = spark.range(4000).withColumn("fk", F.lit(None).cast("int"))
+    ref = counted(Reference("fk", spark.range(10).selectExpr("CAST(id AS INT) AS k"), "k", "ok"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined, _ = _with_bits(fact, ref)
+        per_partition = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in per_partition) == 4000 and max(r["count"] for r in per_partition) < 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("query", ["change_impact"])
+def test_references_to_stored_dimensions_are_counted(spark, monkeypatch, query):
+    from oresmith.plans import gold, silver
+    from oresmith.plans.queries import QUERIES
+
+    from conftest import SMALL
+
+    references, flags, leaders = [], silver.annotated_sales, gold.top_items_month
+
+    def annotated(bronze, refs, tie_break=None):
+        references.extend(refs)
+        return flags(bronze, refs, tie_break)
+
+    def top_items(*tables, items=None):
+        references.append(items)
+        return leaders(*tables, items=items)
+
+    monkeypatch.setattr(silver, "annotated_sales", annotated)
+    monkeypatch.setattr(gold, "top_items_month", top_items)
+    QUERIES[query](spark, SMALL)
+    assert len(references) == 5 and all(r is not None and r.words is not None for r in references)
