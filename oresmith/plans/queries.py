@@ -23,7 +23,7 @@ from oresmith.operators.distinct_counts import distinct_keys, key_bitmaps, merge
 from oresmith.operators.keys import duplicate_row_count, latest_by_key
 from oresmith.operators.near_duplicates import near_duplicates
 from oresmith.operators.near_edits import near_edits
-from oresmith.operators.references import keep_optional, keep_required, orphans, reference_flags
+from oresmith.operators.references import counted, keep_optional, keep_required, orphans, reference_flags
 from oresmith.plans import gold, silver
 from oresmith.plans.bronze import SOURCES, bronze_ingest
 from oresmith.plans.contracts import SALES, cast_failure_report
@@ -178,9 +178,9 @@ class Star:
 
     def _build_gold(self, name: str) -> DataFrame:
         if name == "gold_top_items_month":
-            return gold.top_items_month(
-                self._gold["gold_fact_store_sales"], self._gold["gold_dim_date"], self._gold["gold_dim_item"]
-            )
+            days, items = self._gold["gold_dim_date"], self._gold["gold_dim_item"]
+            known = gold.item_reference(items) if "silver_item" in self._staged else None
+            return gold.top_items_month(self._gold["gold_fact_store_sales"], days, items, items=known)
         source, build = {
             "gold_dim_date": ("silver_date_dim", gold.gold_date),
             "gold_dim_item": ("silver_item", gold.gold_item),
@@ -192,7 +192,8 @@ class Star:
 
     @cached_property
     def references(self) -> list:
-        return silver.sales_references(*[self._silver[n] for n in DIMENSIONS])
+        found = silver.sales_references(*[self._silver[n] for n in DIMENSIONS])
+        return [counted(r) for r in found] if self._staged.issuperset(DIMENSIONS) else found
 
     @cached_property
     def annotated(self) -> DataFrame:

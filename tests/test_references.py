@@ -167,7 +167,7 @@ def test_missing_keys_are_spread_where_words_are_shuffled(spark):
             spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("query", ["change_impact", "column_impact", "layer_run"])
+@pytest.mark.parametrize("query", ["change_impact", "column_impact", "layer_run", "rule_scores"])
 def test_references_to_stored_dimensions_are_counted(spark, monkeypatch, query):
     from oresmith.plans import gold, silver
     from oresmith.plans.queries import QUERIES
