@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 
 from oresmith.operators.references import (
@@ -104,8 +106,10 @@ def test_counted_references_give_the_same(spark, join_mode, kind, of_fact, requi
         sought += [LONGEST, LONGEST - 1, -LONGEST - 1, -LONGEST]
     dim = spark.createDataFrame([(k,) for k in keys], f"k {kind}")
     fact = spark.createDataFrame([(n, k) for n, k in enumerate(sought)], f"id bigint, fk {of_fact}")
-    ref = counted(Reference("fk", dim, "k", "ok", required))
-    assert ref.words == key_words(dim, "k").count() <= len(set(keys)) - 1
+    few = Reference("fk", dim, "k", "ok", required)
+    ref = replace(few, words=key_words(dim, "k").count())
+    assert counted([few]) == [few if join_mode == "broadcast" else ref]
+    assert ref.words <= len(set(keys)) - 1
     present = {n for n, k in enumerate(sought) if k is not None and k in keys}
     missing = {n for n, k in enumerate(sought) if k is None}
     flagged = reference_flags(fact, [ref])
@@ -118,14 +122,18 @@ def test_counted_references_give_the_same(spark, join_mode, kind, of_fact, requi
 
 def test_an_empty_dimension_resolves_nothing(spark, join_mode):
     fact = spark.createDataFrame([(1, 5), (2, None)], "id bigint, fk int")
-    ref = counted(Reference("fk", spark.createDataFrame([], "k int"), "k", "ok"))
-    assert ref.words == 0 and ids(keep_optional(fact, ref)) == [2] and ids(keep_required(fact, ref)) == []
+    ref = Reference("fk", spark.createDataFrame([], "k int"), "k", "ok")
+    assert counted([ref])[0].words == (None if join_mode == "broadcast" else 0)
+    ref = replace(ref, words=0)
+    assert ids(keep_optional(fact, ref)) == [2] and ids(keep_required(fact, ref)) == []
 
 
-def test_keys_that_are_no_whole_numbers_stay_uncounted(spark):
+def test_keys_that_are_no_whole_numbers_stay_uncounted(spark, join_mode):
     fact = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, fk string")
-    ref = counted(Reference("fk", spark.createDataFrame([("a",)], "k string"), "k", "ok"))
-    assert ref.words is None and ids(keep_required(fact, ref)) == [1]
+    text = Reference("fk", spark.createDataFrame([("a",)], "k string"), "k", "ok")
+    ref, beside = counted([text, Reference("id", spark.range(65), "id", "id_ok")])
+    assert beside.words == (None if join_mode == "broadcast" else 2)
+    assert counted([text]) == [text] and ref.words is None and ids(keep_required(fact, ref)) == [1]
 
 
 @pytest.mark.parametrize("apart, join", [(1, "BroadcastHashJoin"), (64, "SortMergeJoin")])
@@ -141,7 +149,7 @@ def test_stored_keys_are_broadcast_by_their_number(spark, tmp_path, apart, join)
         ref = Reference("fk", dim, "k", "ok")
         plain = reference_flags(fact, [ref])._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plain  # 100,000 keys of 24 bytes, by Spark's estimate
-        sized = reference_flags(fact, [counted(ref)])
+        sized = reference_flags(fact, counted([ref]))
         assert join in sized._jdf.queryExecution().executedPlan().toString()
         assert sized.where("ok = 1").count() == (1000 if apart == 1 else 16)
     finally:
@@ -154,7 +162,7 @@ def test_missing_keys_are_spread_where_words_are_shuffled(spark):
     from oresmith.operators.references import _with_bits
 
     fact = spark.range(4000).withColumn("fk", F.lit(None).cast("int"))
-    ref = counted(Reference("fk", spark.range(10).selectExpr("CAST(id AS INT) AS k"), "k", "ok"))
+    ref = Reference("fk", spark.range(10).selectExpr("CAST(id AS INT) AS k"), "k", "ok", words=1)
     before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -186,5 +194,10 @@ def test_references_to_stored_dimensions_are_counted(spark, monkeypatch, query):
 
     monkeypatch.setattr(silver, "annotated_sales", annotated)
     monkeypatch.setattr(gold, "top_items_month", top_items)
-    QUERIES[query](spark, SMALL)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")  # five keys, so every dimension has many
+    try:
+        QUERIES[query](spark, SMALL)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(references) == 5 and all(r is not None and r.words is not None for r in references)
